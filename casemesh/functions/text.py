@@ -63,13 +63,17 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def _formatted(number: Column, pattern: str) -> Column:
+    return F.call_function("format_number", number, F.lit(pattern))
+
+
 def days_label(days: Column, suffix: str = " Days") -> Column:
     """``2.25`` becomes ``2.2 Days``: one place, halves to even as the binary value says."""
-    return F.concat(F.format_number(days, "0.0"), F.lit(suffix))
+    return F.concat(_formatted(days, "0.0"), F.lit(suffix))
 
 
 def distance_label(distance: Column) -> Column:
-    return F.format_number(distance, "0.0000")
+    return _formatted(distance, "0.0000")
 
 
 def eta_label(forced: Column, days: Column) -> Column:
