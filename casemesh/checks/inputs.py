@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemesh.operators.rules import DEFAULT_RULES, Rule
+from casemesh.sources.tables import read_table
 
 SCOPE_WORDS = ("thouou", "menteux", "thinor")
 EMERGENCY_WORDS = ("hent", "eau", "anble")
@@ -32,7 +33,7 @@ def check_media_rules() -> tuple:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def damage(quality, toxic):

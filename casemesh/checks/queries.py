@@ -171,7 +171,7 @@ def _nearest_vectors(spark, sf_dir, k, metric="l2sq", layout=Layout(), nprobe=No
 
 def _labelled(spark, sf_dir, matches: DataFrame) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return with_payload(materialize(matches, "matches"), labels)
+    return with_payload(matches, labels)
 
 
 def _topk_columns(matches: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def q_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = k_nearest(
         queries, entries, 2, query_id="complaint_id", index_id="id", exclude_self=True
     )
-    cases = with_payload(materialize(near, "matches"), entries.drop("embedding"))
+    cases = with_payload(near, entries.drop("embedding"))
     return report.match_report(cases, "complaint_id")
 
 
@@ -243,7 +243,7 @@ def q_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("complaint_text")
     )
-    vectors = features.featurize(documents, features.fit_text(documents))
+    _, vectors = features.fit_featurize(documents)
     weights = features.as_array(F.col("features"))
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
     return vectors.select(
@@ -255,13 +255,17 @@ def q_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_similar_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What users say in conversations, looked up among the documents."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.col("text").alias("complaint_text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", text)
     spoken = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
-        F.concat_ws("-", "conv_id", "turn").alias("complaint_id"), "text"
+        F.concat_ws("-", "conv_id", "turn").alias("complaint_id"), text
+    )
+    model, featured = features.fit_featurize(documents)
+    array = features.as_array(F.col("features")).alias("embedding")
+    index = materialize(featured.select("doc_id", array), "text-vectors")
+    queries = materialize(
+        features.featurize(spoken, model).select("complaint_id", array), "text-vectors"
     )
-    model = features.fit_text(documents.withColumnRenamed("text", "complaint_text"))
-    index = duplicates.text_vectors(documents, "doc_id", "text", model)
-    queries = duplicates.text_vectors(spoken, "complaint_id", "text", model)
     near = k_nearest(
         queries, index, 2, query_id="complaint_id", index_id="doc_id", metric="cosine"
     )

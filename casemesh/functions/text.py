@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ WORD_CLASS = r"\p{L}\p{N}_"
 # What counts as content, and how a broken input announces itself.
 CONTENT_CLASS = "a-zA-Z0-9"
 ERROR_PREFIX = "Error:"
+MAX_PLAIN_WORDS = 16
 
 
 def is_blank(text: Column) -> Column:
@@ -54,9 +57,18 @@ def keyword_pattern(keywords: Iterable[str]) -> str:
     return "|".join(_bounded(w) for w in words)
 
 
-def keyword_any(text: Column, keywords: Iterable[str]) -> Column:
-    """Any keyword occurs in ``text`` as a whole word, whatever its case."""
-    return F.coalesce(F.lower(text).rlike(keyword_pattern(keywords)), F.lit(False))
+def keyword_any(text: Column, keywords: Iterable[str], lowered: bool = False) -> Column:
+    """Any keyword occurs in ``text`` as a whole word, whatever its case.
+
+    A short list is first searched as plain substrings, which is far cheaper than the
+    pattern; only texts that pass are held against the word boundaries.
+    """
+    words = [w.lower() for w in keywords if w]
+    column = text if lowered else F.lower(text)
+    hit = column.rlike(keyword_pattern(words))
+    if 0 < len(words) <= MAX_PLAIN_WORDS:
+        hit = reduce(or_, [column.contains(w) for w in words]) & hit
+    return F.coalesce(hit, F.lit(False))
 
 
 def basename(path: Column) -> Column:

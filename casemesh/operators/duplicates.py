@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemesh.operators.features import TOKEN_PATTERN, as_array, featurize, fit_text
+from casemesh.operators.features import TOKEN_PATTERN, as_array, fit_featurize
 from casemesh.operators.joins import join_unique
 from casemesh.operators.neighbours import Layout, links_within, pairs_within
-from casemesh.session import materialize
+from casemesh.session import materialize, materialize_counted
 
 
 def word_key(text):
@@ -25,7 +24,7 @@ def split_copies(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     link to the first says the same in one row each. The smallest ids are aggregated
     before the shuffle, and the join back to them spreads a text many rows share.
     """
-    keyed = materialize(
+    keyed, seen = materialize_counted(
         df.where(F.col(text_col).isNotNull()).select(
             F.col(id_col).alias("b"), word_key(F.col(text_col)).alias("key")
         ),
@@ -33,26 +32,20 @@ def split_copies(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     )
     firsts = keyed.groupBy("key").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n"))
     shared = firsts.where(F.col("n") > 1).select("key", "a")
-    copies = join_unique(keyed, shared, "key", "inner").where("a < b").select("a", "b")
-    return firsts.select(F.col("a").alias(id_col)), copies
-
-
-def text_vectors(
-    df: DataFrame, id_col: str, text_col: str, model: PipelineModel | None = None
-) -> DataFrame:
-    """``id_col, embedding`` for every text, written once because joins read it repeatedly."""
-    texts = df.where(F.col(text_col).isNotNull()).select(
-        id_col, F.col(text_col).alias("complaint_text")
-    )
-    model = model or fit_text(texts)
-    vectors = featurize(texts, model).select(id_col, as_array(F.col("features")).alias("embedding"))
-    return materialize(vectors, "text-vectors")
+    copies = join_unique(keyed, shared, "key", "inner", left_rows=seen["rows"])
+    return firsts.select(F.col("a").alias(id_col)), copies.where("a < b").select("a", "b")
 
 
 def _distinct_text_vectors(df, id_col, text_col):
+    """Vectors of the first of every text, weighted by all texts, and the copy links.
+
+    Vectors are written because the join reads them more than once.
+    """
     firsts, copies = split_copies(df, id_col, text_col)
-    model = fit_text(df.select(F.col(text_col).alias("complaint_text")))
-    return text_vectors(df.join(firsts, id_col, "left_semi"), id_col, text_col, model), copies
+    texts = df.select(id_col, F.col(text_col).alias("complaint_text"))
+    _, featured = fit_featurize(texts)
+    vectors = featured.select(id_col, as_array(F.col("features")).alias("embedding"))
+    return materialize(vectors.join(firsts, id_col, "left_semi"), "text-vectors"), copies
 
 
 def duplicate_pairs(
@@ -92,16 +85,12 @@ def duplicate_clusters(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     star around each smallest id in a logarithmic number of rounds. Each round is written
     to the shared folder, so lineage stays short and a lost executor costs one round.
     """
-    edges = materialize(
-        pairs.where("a <> b")
-        .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-        .distinct(),
-        "cluster-edges",
+    edges, state = _settle_edges(
+        pairs.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
     )
-    state = _fingerprint(edges)
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "cluster-edges")
-        after = _fingerprint(edges)
+        starred = _small_star(_large_star(edges, state["rows"]), state["rows"])
+        edges, after = _settle_edges(starred)
         if after == state:
             break
         state = after
@@ -112,17 +101,18 @@ def duplicate_clusters(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     return members.unionByName(roots)
 
 
-def _fingerprint(edges: DataFrame):
-    """Equal, for all practical purposes, only for equal sets of edges."""
-    marks = edges.agg(
-        F.count(F.lit(1)),
-        F.bit_xor(F.xxhash64("v", "u")),
-        F.sum(F.hash("v", "u").cast("long")),
+def _settle_edges(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The distinct edges as a table, with marks that for all practical purposes are equal
+    only for equal sets of edges."""
+    return materialize_counted(
+        edges.select("v", "u").distinct(),
+        "cluster-edges",
+        mixed=F.bit_xor(F.xxhash64("v", "u")),
+        total=F.sum(F.hash("v", "u").cast("long")),
     )
-    return tuple(marks.first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node next to it."""
     both = edges.select(F.col("v").alias("node"), F.col("u").alias("next")).unionByName(
         edges.select(F.col("u").alias("node"), F.col("v").alias("next"))
@@ -132,18 +122,16 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
     larger = both.where(F.col("next") > F.col("node"))
     return (
-        join_unique(larger, least, "node", "inner")
+        join_unique(larger, least, "node", "inner", left_rows=rows)
         .select(F.col("next").alias("v"), F.col("m").alias("u"))
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = join_unique(edges, least, "v", "inner").where(F.col("u") > F.col("m"))
-    return (
-        moved.select(F.col("u").alias("v"), F.col("m").alias("u"))
-        .unionByName(least.select("v", F.col("m").alias("u")))
-        .distinct()
-    )
+    moved = join_unique(edges, least, "v", "inner", left_rows=rows)
+    return moved.where(F.col("u") > F.col("m")).select(
+        F.col("u").alias("v"), F.col("m").alias("u")
+    ).unionByName(least.select("v", F.col("m").alias("u")))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casemesh.session import materialize
+
 # Fixed value: the width of the vectors.
 WIDTH = 384
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
@@ -39,6 +41,22 @@ def fit_text(df: DataFrame, text: str = "complaint_text", width: int = WIDTH) ->
     return text_pipeline(text, width=width).fit(df.where(F.col(text).isNotNull()).select(text))
 
 
+def fit_featurize(
+    df: DataFrame, text: str = "complaint_text", width: int = WIDTH
+) -> tuple[PipelineModel, DataFrame]:
+    """Fits the text pipeline on ``df`` and adds its ``features``, reading the text once.
+
+    The hashed counts, which are small beside the text, are written between the pass that
+    makes them and the two that use them.
+    """
+    tokenizer, hasher, idf, normalizer = text_pipeline(text, width=width).getStages()
+    counts = hasher.transform(tokenizer.transform(df.where(F.col(text).isNotNull())))
+    table = materialize(counts.drop("_tokens"), "term-counts")
+    weigher = idf.fit(table)
+    model = PipelineModel(stages=[tokenizer, hasher, weigher, normalizer])
+    return model, normalizer.transform(weigher.transform(table)).drop("_counts", "_weighted")
+
+
 def featurize(df: DataFrame, model: PipelineModel) -> DataFrame:
     """Adds the vector column ``features``."""
     return model.transform(df).drop("_tokens", "_counts", "_weighted")

@@ -9,16 +9,24 @@ HOT_ROWS = 1_000_000
 
 
 def join_unique(
-    left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per ``key``.
 
     Keys with more than ``hot_rows`` rows on the left are split over several salts, and
     only those keys are repeated on the right. There are fewer than
-    ``rows(left) / hot_rows`` of them, two numbers each, which bounds the broadcast.
+    ``rows(left) / hot_rows`` of them, two numbers each, which bounds the broadcast. A
+    left side known to have no more than ``hot_rows`` rows cannot have such a key.
     """
     if how not in ("left", "inner"):
         raise ValueError(how)
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right, key, how)
     hot = (
         left.groupBy(key)
         .count()

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from casemesh.operators.joins import join_unique
-from casemesh.session import materialize
+from casemesh.session import materialize, materialize_counted
 
 # Distances are compared at this resolution, so that the order of summation inside a
 # matrix product cannot change which of two equally near cases comes first.
@@ -32,6 +32,8 @@ MAX_CELLS = 4096
 # A table of block loads (20 bytes a row) is broadcast up to this many rows; beyond it the
 # join shuffles and adaptive execution splits its skewed partitions.
 BROADCAST_BLOCKS = 1_000_000
+# An index of so few blocks is compared whole: finding cells would cost more than it saves.
+GRID_BLOCKS = 16
 # Slack of the pruning test, far above rounding noise.
 SLACK = 1e-6
 # Queries compared at once inside a task.
@@ -47,6 +49,7 @@ class Layout:
     block_rows: int = BLOCK_ROWS
     query_rows: int = QUERY_ROWS
     max_cells: int = MAX_CELLS
+    grid_blocks: int = GRID_BLOCKS
 
 
 # --- vectors inside a task ---------------------------------------------------------
@@ -92,6 +95,10 @@ def _cell_count(rows: int, layout: Layout) -> int:
     return max(1, min(layout.max_cells, math.ceil(rows / layout.block_rows)))
 
 
+def _fits_grid(rows: int, layout: Layout) -> bool:
+    return rows <= layout.grid_blocks * layout.block_rows
+
+
 def _pivots(index: DataFrame, cells: int, metric: str) -> np.ndarray:
     """At most ``cells`` (hence ``max_cells``) distinct index vectors, chosen by hashed id."""
     chosen = index.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec")
@@ -196,17 +203,30 @@ def _grid(queries: DataFrame, index: DataFrame, groups: int, compare, schema: st
     return left.cogroup(right).applyInArrow(compare, schema)
 
 
-def _single_block(queries: DataFrame, index: DataFrame, query_count: int, layout: Layout):
-    """The whole index is one block: only the queries are sliced."""
+def _whole_grid(
+    queries: DataFrame, index: DataFrame, query_count: int, index_count: int, layout: Layout
+):
+    """Every slice of queries with every block of a small index.
+
+    Each side is repeated once per slice of the other, never paired row by row.
+    """
     salts = max(1, math.ceil(query_count / layout.query_rows))
-    where = {"cell": F.lit(0), "block": F.lit(0)}
+    blocks = max(1, math.ceil(index_count / layout.block_rows))
     left = queries.withColumns(
-        {**where, "salt": F.pmod(F.xxhash64("qid"), F.lit(salts)).cast("int")}
+        {
+            "cell": F.lit(0),
+            "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
+            "salt": F.pmod(F.xxhash64("qid"), F.lit(salts)).cast("int"),
+        }
     )
     right = index.withColumns(
-        {**where, "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))}
+        {
+            "cell": F.lit(0),
+            "block": F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"),
+            "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))),
+        }
     )
-    return left, right, salts
+    return left, right, salts * blocks
 
 
 def _blocks_of(stats, layout: Layout, spark) -> DataFrame:
@@ -395,10 +415,12 @@ def k_nearest(
     compare = _k_nearest_in_block(metric, k, exclude_self)
     distinct = _distinct_vectors(right, depth)
 
-    cells = _cell_count(right.count(), layout)
-    if cells == 1:
-        found = _grid(*_single_block(left, distinct, left.count(), layout), compare, schema)
+    rows = right.count()
+    if rows <= layout.block_rows or (nprobe is None and _fits_grid(rows, layout)):
+        sides = _whole_grid(left, distinct, left.count(), rows, layout)
+        partial = _grid(*sides, compare, schema)
     else:
+        cells = _cell_count(rows, layout)
         pivots = spark.sparkContext.broadcast(_pivots(right, cells, metric))
         homed = materialize(_with_home(distinct, pivots, metric), "index-cells")
         stats = _cell_stats(homed)
@@ -412,8 +434,10 @@ def k_nearest(
         )
         visits = _all_visits(candidates, blocks)
         partial = _grid(*_many_blocks(visits, homed, blocks, layout), compare, schema)
+    if rows > layout.block_rows:
         ranked = Window.partitionBy("qid").orderBy("distance", "id")
-        found = partial.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+        partial = partial.withColumn("rank", F.row_number().over(ranked))
+    found = partial.where(F.col("rank") <= k)
     return found.select(F.col("qid").alias(query_id), "rank", "id", "distance")
 
 
@@ -522,9 +546,9 @@ def _self_join(df, id_col, vec_col, metric, limit, layout, compare, schema) -> D
     left = _vectors(df, id_col, vec_col, "qid")
     right = _vectors(df, id_col, vec_col, "id")
     rows = right.count()
+    if _fits_grid(rows, layout):
+        return _grid(*_whole_grid(left, right, rows, rows, layout), compare, schema)
     cells = _cell_count(rows, layout)
-    if cells == 1:
-        return _grid(*_single_block(left, right, rows, layout), compare, schema)
     pivots = spark.sparkContext.broadcast(_pivots(right, cells, metric))
     homed = materialize(_with_home(right, pivots, metric), "index-cells")
     stats = _cell_stats(homed)
@@ -571,9 +595,13 @@ def links_within(
 
 
 def with_payload(matches: DataFrame, index: DataFrame, index_id: str = "id") -> DataFrame:
-    """Joins each match to its index row. Some case may match a large share of requests."""
+    """Joins each match to its index row. Some case may match a large share of requests.
+
+    The matches are written first: they are costly, and counting the hot ones reads them.
+    """
     payload = index.withColumnRenamed(index_id, "id") if index_id != "id" else index
-    return join_unique(matches, payload, "id", "inner")
+    found, seen = materialize_counted(matches, "matches")
+    return join_unique(found, payload, "id", "inner", left_rows=seen["rows"])
 
 
 def distance_percentile(distances: DataFrame, share: float, column: str = "distance") -> DataFrame:

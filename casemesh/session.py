@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -47,16 +48,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize_counted(df: DataFrame, name: str, **marks: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage at a durable table, so that a lost executor costs a re-read and not
-    a recomputation, and later reads still prune columns.
+    a recomputation, and later reads still prune columns. The row count (``rows``) and
+    any other aggregate in ``marks`` are observed by the writing job itself.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation(name)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[
+        mark.alias(alias) for alias, mark in marks.items()
+    ])
+    counted.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    return materialize_counted(df, name)[0]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
