@@ -14,7 +14,7 @@ from casemesh.functions import text as tx
 from casemesh.functions.hashing import md5_bucket
 from casemesh.operators import duplicates, evaluate, features, learn, modality, report, rules
 from casemesh.operators.clean import clean_history, with_position_id
-from casemesh.operators.neighbours import BLOCK_ROWS, Layout, k_nearest, with_payload
+from casemesh.operators.neighbours import Layout, k_nearest, with_payload
 from casemesh.plans import training
 from casemesh.plans.triage import triage, triage_rules
 from casemesh.schemas import INDEX_ENTRY
@@ -193,7 +193,7 @@ def q_similar_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _few_cells(spark, sf_dir) -> Layout:
     """At least eight cells, also on tables that would fit one block."""
     rows = table(spark, sf_dir, "embeddings").count()
-    return Layout(block_rows=min(BLOCK_ROWS, math.ceil(rows / 8)))
+    return Layout(block_rows=min(Layout.block_rows, math.ceil(rows / 8)), broadcast_bytes=0)
 
 
 def q_similar_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace a strip() removes, and the characters of a "word".
-BLANK_CLASS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+BLANK_CLASS = (
+    r"\t-\r\x1c-\x20\x85\xa0"
+    r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
 WORD_CLASS = r"\p{L}\p{N}_"
 # What counts as content, and how a broken input announces itself.
 CONTENT_CLASS = "a-zA-Z0-9"

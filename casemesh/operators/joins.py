@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+# Rows without a key match nothing, but would all hash to one task.
+NULL_SALTS = 1024
 
 
 def join_unique(
@@ -21,7 +23,8 @@ def join_unique(
     Keys with more than ``hot_rows`` rows on the left are split over several salts, and
     only those keys are repeated on the right. There are fewer than
     ``rows(left) / hot_rows`` of them, two numbers each, which bounds the broadcast. A
-    left side known to have no more than ``hot_rows`` rows cannot have such a key.
+    left side known to have no more than ``hot_rows`` rows cannot have such a key. Rows
+    without a key are spread too.
     """
     if how not in ("left", "inner"):
         raise ValueError(how)
@@ -30,14 +33,17 @@ def join_unique(
     hot = (
         left.groupBy(key)
         .count()
-        .where(F.col("count") > hot_rows)
+        .where(F.col(key).isNotNull() & (F.col("count") > hot_rows))
         .select(key, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_salts"))
     )
     width = F.coalesce(F.col("_salts"), F.lit(1))
     spread = F.xxhash64(*[c for c in left.columns if c != key] or [F.lit(0)])
+    salt = F.when(F.col(key).isNull(), F.pmod(spread, F.lit(NULL_SALTS))).when(
+        width > 1, F.pmod(spread, width)
+    )
     salted = (
         left.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.when(width > 1, F.pmod(spread, width)).otherwise(0).cast("int"))
+        .withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int"))
         .drop("_salts")
     )
     repeated = (

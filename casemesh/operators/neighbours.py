@@ -1,391 +1,87 @@
 """Exact and approximate vector joins: k nearest, all within a radius, linked groups.
 
-No pair of rows is ever a row of its own. The index is cut into *cells* around pivot
-vectors, cells into *blocks* of bounded size, and each query visits the blocks of those
-cells that the triangle inequality cannot rule out. One task then compares a bounded
-slice of queries with one block by a matrix product and emits only what the caller asked
-for. A block that many queries visit is repeated for several salts, so the work of the
-hottest key spreads over as many tasks as it needs.
+No pair of rows is ever a row of its own. A small index (its size is checked) goes to
+every executor and the queries stay where they are. A larger one is cut into cells and
+blocks (see ``cells``), and only queries that a block may answer travel to it.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from casemesh.operators import cells as ce
+from casemesh.operators.blocks import (
+    DECIMALS,
+    k_nearest_in_block,
+    links_in_block,
+    pairs_in_block,
+)
+from casemesh.operators.cells import CellIndex, Layout
 from casemesh.operators.joins import join_unique
-from casemesh.session import materialize, materialize_counted
-
-# Distances are compared at this resolution, so that the order of summation inside a
-# matrix product cannot change which of two equally near cases comes first.
-DECIMALS = 9
-QUERY_ROWS = 1024
-BLOCK_ROWS = 4096
-MAX_CELLS = 4096
-# A table of block loads (20 bytes a row) is broadcast up to this many rows; beyond it the
-# join shuffles and adaptive execution splits its skewed partitions.
-BROADCAST_BLOCKS = 1_000_000
-# An index of so few blocks is compared whole: finding cells would cost more than it saves.
-GRID_BLOCKS = 16
-# Slack of the pruning test, far above rounding noise.
-SLACK = 1e-6
-# Queries compared at once inside a task.
-STRIP = 512
+from casemesh.session import materialize_counted
 
 METRICS = ("l2sq", "cosine")
+BYTES_PER_NUMBER = 8
 
 
-@dataclass(frozen=True)
-class Layout:
-    """Sizes that bound one task's share of a join."""
-
-    block_rows: int = BLOCK_ROWS
-    query_rows: int = QUERY_ROWS
-    max_cells: int = MAX_CELLS
-    grid_blocks: int = GRID_BLOCKS
-
-
-# --- vectors inside a task ---------------------------------------------------------
-
-
-def _matrix(column, metric: str, side: str) -> np.ndarray:
-    """An Arrow list column as a matrix of doubles.
-
-    For ``cosine`` the rows are scaled to length one and two coordinates are added, which
-    put zero vectors at right angles to everything. Half the squared distance is then
-    ``1 - cos`` for every pair, so both metrics obey the same geometry.
-    """
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = len(column)
-    if rows == 0:
-        return np.zeros((0, 1))
-    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    matrix = matrix.reshape(rows, -1)
-    if metric == "cosine":
-        length = np.sqrt((matrix * matrix).sum(axis=1))
-        zero = length == 0.0
-        matrix = matrix / np.where(zero, 1.0, length)[:, None]
-        extra = np.zeros((rows, 2))
-        extra[zero, 0 if side == "query" else 1] = 1.0
-        matrix = np.hstack([matrix, extra])
-    return matrix
-
-
-def _square_distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    squares = (queries * queries).sum(axis=1)[:, None] + (points * points).sum(axis=1)[None, :]
-    return np.maximum(squares - 2.0 * (queries @ points.T), 0.0)
-
-
-def _distances(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
-    square = _square_distances(queries, points)
-    return np.round(square / 2.0 if metric == "cosine" else square, DECIMALS)
-
-
-# --- cells -------------------------------------------------------------------------
-
-
-def _cell_count(rows: int, layout: Layout) -> int:
-    return max(1, min(layout.max_cells, math.ceil(rows / layout.block_rows)))
-
-
-def _fits_grid(rows: int, layout: Layout) -> bool:
-    return rows <= layout.grid_blocks * layout.block_rows
-
-
-def _pivots(index: DataFrame, cells: int, metric: str) -> np.ndarray:
-    """At most ``cells`` (hence ``max_cells``) distinct index vectors, chosen by hashed id."""
-    chosen = index.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec")
-    return np.unique(_matrix(chosen.toArrow()["vec"], metric, "index"), axis=0)
-
-
-def _with_home(index: DataFrame, pivots, metric: str) -> DataFrame:
-    """Adds the nearest pivot ``cell`` and the distance ``radius`` to it."""
-    schema = T.StructType(
-        index.schema.fields
-        + [T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]
+def _vectors(df: DataFrame, key: str, vec: str, alias: str) -> DataFrame:
+    return df.where(F.col(vec).isNotNull()).select(
+        F.col(key).alias(alias), F.col(vec).alias("vec")
     )
 
-    def assign(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            square = _square_distances(_matrix(batch["vec"], metric, "index"), pivots.value)
-            cell = square.argmin(axis=1)
-            radius = np.sqrt(square[np.arange(len(cell)), cell])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)],
-                names=[*batch.schema.names, "cell", "radius"],
-            )
-
-    return index.mapInArrow(assign, schema)
-
-
-def _cell_stats(homed: DataFrame) -> dict[str, np.ndarray]:
-    """Rows and radius range per cell: at most ``MAX_CELLS`` rows, whatever the index holds."""
-    rows = homed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
-    )
-    found = rows.orderBy("cell").toPandas()
-    return {name: found[name].to_numpy() for name in ("cell", "n", "low", "high")}
 
+def _fits_broadcast(index: DataFrame, rows: int, layout: Layout) -> bool:
+    """Whether all of ``index`` is within ``layout.broadcast_bytes``, counted as doubles."""
+    first = index.select(F.size("vec")).first() if rows else None
+    width = first[0] if first else 1
+    return rows * width * BYTES_PER_NUMBER <= layout.broadcast_bytes
 
-def _candidate_cells(
-    queries: DataFrame, pivots, stats, metric: str, need: int, nprobe, radius
+
+def _against_broadcast(
+    queries: DataFrame, index: DataFrame, compare, schema: str, layout: Layout, block_rows: int
 ) -> DataFrame:
-    """Adds ``cells``: those that may hold an answer to the query.
+    """Compares the queries, partition by partition, with an index sent to every executor."""
+    whole = index.sparkSession.sparkContext.broadcast(index.toArrow().combine_chunks())
+    step = layout.query_rows
 
-    The largest useful distance is ``radius`` if the caller gave one, else the column
-    ``bound``, else what the cell radii alone guarantee. A cell is left out only when even
-    its nearest possible point is further away. With ``nprobe`` the nearest that many
-    cells are taken instead.
-    """
-    fields = [f for f in queries.schema.fields if f.name != "bound"]
-    schema = T.StructType(fields + [T.StructField("cells", T.ArrayType(T.IntegerType()))])
-    ids, low, high, sizes = stats["cell"], stats["low"], stats["high"], stats["n"]
-
-    def reach(batch, to_pivot):
-        if radius is not None:
-            return np.full(len(to_pivot), radius)
-        full = sizes >= need
-        sure = (to_pivot + high)[:, full].min(axis=1) if full.any() else np.full(
-            len(to_pivot), np.inf
-        )
-        if "bound" in batch.schema.names:
-            seen = batch["bound"].to_numpy(zero_copy_only=False).astype(np.float64)
-            sure = np.fmin(sure, np.where(np.isnan(seen), np.inf, seen))
-        return sure
-
-    def choose(batches):
+    def run(batches):
+        index_rows = whole.value.num_rows
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = _matrix(batch["vec"], metric, "query")
-            to_pivot = np.sqrt(_square_distances(vectors, pivots.value[ids]))
-            if nprobe is not None:
-                near = np.argsort(to_pivot, axis=1, kind="stable")[:, :nprobe]
-                lists = [ids[row] for row in near]
-            else:
-                gap = np.maximum(np.maximum(to_pivot - high, low - to_pivot), 0.0)
-                open_cells = gap <= reach(batch, to_pivot)[:, None] + SLACK
-                lists = [ids[row] for row in open_cells]
-            kept = [batch[f.name] for f in fields]
-            cells = pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*kept, cells], names=[f.name for f in fields] + ["cells"])
-
-    return queries.mapInArrow(choose, schema)
+            table = pa.Table.from_batches([batch])
+            for at in range(0, table.num_rows, step):
+                for start in range(0, index_rows, block_rows):
+                    found = compare(table.slice(at, step), whole.value.slice(start, block_rows))
+                    yield from found.to_batches()
 
-
-# --- the grid ----------------------------------------------------------------------
-
-
-def _tasks(spark, groups: int) -> int:
-    floor = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return max(1, min(4 * groups, 16 * floor))
-
-
-def _grid(queries: DataFrame, index: DataFrame, groups: int, compare, schema: str) -> DataFrame:
-    """Brings each slice of queries together with its block. Both sides are bounded.
-
-    The partition count is explicit: few bytes mean much work here, and adaptive
-    coalescing, which looks at bytes, would put it all into one task.
-    """
-    key = ["cell", "block", "salt"]
-    tasks = _tasks(queries.sparkSession, groups)
-    left = queries.repartition(tasks, *key).groupBy(*key)
-    right = index.repartition(tasks, *key).groupBy(*key)
-    return left.cogroup(right).applyInArrow(compare, schema)
-
-
-def _whole_grid(
-    queries: DataFrame, index: DataFrame, query_count: int, index_count: int, layout: Layout
-):
-    """Every slice of queries with every block of a small index.
-
-    Each side is repeated once per slice of the other, never paired row by row.
-    """
-    salts = max(1, math.ceil(query_count / layout.query_rows))
-    blocks = max(1, math.ceil(index_count / layout.block_rows))
-    left = queries.withColumns(
-        {
-            "cell": F.lit(0),
-            "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-            "salt": F.pmod(F.xxhash64("qid"), F.lit(salts)).cast("int"),
-        }
-    )
-    right = index.withColumns(
-        {
-            "cell": F.lit(0),
-            "block": F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"),
-            "salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))),
-        }
-    )
-    return left, right, salts * blocks
-
-
-def _blocks_of(stats, layout: Layout, spark) -> DataFrame:
-    blocks = np.ceil(stats["n"] / layout.block_rows).astype(int)
-    rows = [(int(c), int(b)) for c, b in zip(stats["cell"], blocks)]
-    return F.broadcast(spark.createDataFrame(rows, "cell int, blocks int"))
-
-
-def _many_blocks(visits: DataFrame, homed: DataFrame, blocks: DataFrame, layout: Layout):
-    """Splits the queries visiting a block over salts, and repeats the block as often."""
-    load = materialize(
-        visits.groupBy("cell", "block")
-        .count()
-        .select(
-            "cell", "block",
-            F.ceil(F.col("count") / F.lit(layout.query_rows)).cast("int").alias("salts"),
-        ),
-        "block-load",
-    )
-    size = load.agg(F.count(F.lit(1)).alias("blocks"), F.sum("salts").alias("groups")).first()
-    if size["blocks"] <= BROADCAST_BLOCKS:
-        load = F.broadcast(load)
-    left = (
-        visits.join(load, ["cell", "block"])
-        .withColumn("salt", F.pmod(F.xxhash64("qid", F.lit(1)), F.col("salts")).cast("int"))
-        .drop("salts")
-    )
-    right = (
-        _with_block(homed, blocks)
-        .join(load, ["cell", "block"])
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .drop("salts")
-    )
-    return left, right, size["groups"] or 1
-
-
-def _all_visits(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row per query and block of its candidate cells."""
-    return (
-        candidates.withColumn("cell", F.explode("cells"))
-        .drop("cells")
-        .join(blocks, "cell")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .drop("blocks")
-    )
-
-
-def _home_visit(home: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row per query: a single block of its nearest cell."""
-    return (
-        home.withColumn("cell", F.element_at("cells", 1))
-        .drop("cells")
-        .join(blocks, "cell")
-        .withColumn("block", F.pmod(F.xxhash64("qid"), F.col("blocks")).cast("int"))
-        .drop("blocks")
-    )
-
-
-def _with_block(homed: DataFrame, blocks: DataFrame) -> DataFrame:
-    return (
-        homed.join(blocks, "cell")
-        .withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
-        .drop("blocks", "radius")
-    )
+    return queries.mapInArrow(run, schema)
 
 
 # --- k nearest ---------------------------------------------------------------------
 
 
-def _k_nearest_in_block(metric: str, k: int, exclude_self: bool):
-    """Compares one slice with one block; emits the k best of each query, already ranked."""
-    depth = k + 1 if exclude_self else k
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        qid_type = left.schema.field("qid").type
-        id_type = right.schema.field("ids").type.value_type
-        schema = pa.schema(
-            [("qid", qid_type), ("rank", pa.int32()), ("id", id_type), ("distance", pa.float64())]
-        )
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        ids = right["ids"].combine_chunks()
-        flat, offsets = ids.flatten(), ids.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        # Each distinct vector stands at the place of its smallest id, so that argmin,
-        # which takes the first of equals, breaks ties by id.
-        order = np.argsort(flat.to_numpy(zero_copy_only=False), kind="stable")
-        position = np.empty(len(flat), dtype=np.int64)
-        position[order] = np.arange(len(flat))
-        entries = np.argsort(position[offsets[:-1]], kind="stable")
-        points = _matrix(right["vec"], metric, "index")[entries]
-        starts, counts = offsets[:-1][entries], np.diff(offsets)[entries]
-        qids = left["qid"].combine_chunks()
-        queries = _matrix(left["vec"], metric, "query")
-
-        parts = []
-        for begin in range(0, len(queries), STRIP):
-            near = _distances(queries[begin : begin + STRIP], points, metric)
-            rows = np.arange(len(near))
-            for _ in range(min(depth, len(points))):
-                best = near.argmin(axis=1)
-                parts.append((rows + begin, best, near[rows, best]))
-                near[rows, best] = np.inf
-        query, entry, distance = (np.concatenate(column) for column in zip(*parts))
-
-        # One row per id behind each chosen vector.
-        times = counts[entry]
-        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        flat_at = np.repeat(starts[entry], times) + within
-        query, distance = np.repeat(query, times), np.repeat(distance, times)
-        if exclude_self:
-            same = np.asarray(qids.to_numpy(zero_copy_only=False)[query]
-                              == flat.to_numpy(zero_copy_only=False)[flat_at])
-            query, distance, flat_at = query[~same], distance[~same], flat_at[~same]
-        by = np.lexsort((position[flat_at], distance, query))
-        query, distance, flat_at = query[by], distance[by], flat_at[by]
-        first = np.searchsorted(query, query, side="left")
-        rank = np.arange(len(query)) - first + 1
-        keep = rank <= k
-        return pa.table(
-            [
-                qids.take(pa.array(query[keep])),
-                pa.array(rank[keep].astype(np.int32)),
-                flat.take(pa.array(flat_at[keep])),
-                pa.array(distance[keep]),
-            ],
-            schema=schema,
-        )
-
-    return compare
-
-
-def _distinct_vectors(index: DataFrame, depth: int) -> DataFrame:
-    """One row per distinct vector with the ``depth`` smallest ids that share it.
-
-    Ties go to the smaller id, so no later copy can appear in an answer: this loses
-    nothing, and a vector shared by a third of all rows shrinks to one entry. The
-    window limits each partition before the shuffle.
-    """
-    copies = Window.partitionBy("h", "g", "vec").orderBy("id")
-    return (
-        index.select("id", "vec", F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
-        .withColumn("copy", F.row_number().over(copies))
-        .where(F.col("copy") <= depth)
-        .groupBy("h", "g", "vec")
-        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        .select("ids", "vec")
-    )
-
-
-def _vectors(df: DataFrame, key: str, vec: str, alias: str) -> DataFrame:
-    return df.where(F.col(vec).isNotNull()).select(
-        F.col(key).alias(alias), F.col(vec).alias("vec")
-    )
+def prepare_cells(
+    index: DataFrame,
+    path: str | None = None,
+    *,
+    index_id: str = "id",
+    index_vec: str = "embedding",
+    metric: str = "l2sq",
+    max_k: int = 10,
+    layout: Layout = Layout(),
+) -> CellIndex:
+    """Cuts a large index once, for joins that come again and again (a stream's batches)."""
+    right = _vectors(index, index_id, index_vec, "id")
+    return ce.build_cells(right, right.count(), metric, max_k + 1, layout, path)
 
 
 def k_nearest(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | CellIndex,
     k: int = 2,
     *,
     query_id: str = "id",
@@ -400,64 +96,59 @@ def k_nearest(
     """The k nearest index entries of every query: ``query_id, rank, id, distance``.
 
     Exact by default; ``nprobe`` looks only into that many nearest cells. Ties are broken
-    by ``index_id``. Both inputs are read more than once: hand in a table, or
-    ``materialize`` what is costly to derive.
+    by ``index_id``. Query ids are unique. Both inputs may be read more than once: hand in
+    tables, or ``materialize`` what is costly to derive.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = queries.sparkSession
     left = _vectors(queries, query_id, query_vec, "qid")
-    right = _vectors(index, index_id, index_vec, "id")
-    qid_type = left.schema["qid"].dataType.simpleString()
-    id_type = right.schema["id"].dataType.simpleString()
-    schema = f"qid {qid_type}, rank int, id {id_type}, distance double"
     depth = k + 1 if exclude_self else k
-    compare = _k_nearest_in_block(metric, k, exclude_self)
-    distinct = _distinct_vectors(right, depth)
+    compare = k_nearest_in_block(metric, k, exclude_self)
+    qid_type = left.schema["qid"].dataType.simpleString()
 
-    rows = right.count()
-    if rows <= layout.block_rows or (nprobe is None and _fits_grid(rows, layout)):
-        sides = _whole_grid(left, distinct, left.count(), rows, layout)
-        partial = _grid(*sides, compare, schema)
+    if isinstance(index, CellIndex):
+        if index.metric != metric or index.depth < depth:
+            raise ValueError(f"cells were prepared for {index.metric}, k < {index.depth}")
+        id_type = index.entries.schema["ids"].dataType.elementType.simpleString()
+        schema = f"qid {qid_type}, rank int, id {id_type}, distance double"
+        found = _through_cells(left, index, k, depth, nprobe, compare, schema)
     else:
-        cells = _cell_count(rows, layout)
-        pivots = spark.sparkContext.broadcast(_pivots(right, cells, metric))
-        homed = materialize(_with_home(distinct, pivots, metric), "index-cells")
-        stats = _cell_stats(homed)
-        blocks = _blocks_of(stats, layout, spark)
-        if nprobe is None:
-            left = _bounded_queries(
-                left, homed, pivots, stats, blocks, metric, depth, layout, compare, schema, k
-            )
-        candidates = materialize(
-            _candidate_cells(left, pivots, stats, metric, depth, nprobe, None), "query-cells"
-        )
-        visits = _all_visits(candidates, blocks)
-        partial = _grid(*_many_blocks(visits, homed, blocks, layout), compare, schema)
-    if rows > layout.block_rows:
-        ranked = Window.partitionBy("qid").orderBy("distance", "id")
-        partial = partial.withColumn("rank", F.row_number().over(ranked))
-    found = partial.where(F.col("rank") <= k)
+        right = _vectors(index, index_id, index_vec, "id")
+        id_type = right.schema["id"].dataType.simpleString()
+        schema = f"qid {qid_type}, rank int, id {id_type}, distance double"
+        rows = right.count()
+        if nprobe is None and _fits_broadcast(right, rows, layout):
+            single = right.select(F.array("id").alias("ids"), "vec")
+            found = _against_broadcast(left, single, compare, schema, layout, max(rows, 1))
+        elif rows == 0:
+            found = left.sparkSession.createDataFrame([], schema)
+        else:
+            cells = ce.build_cells(right, rows, metric, depth, layout)
+            found = _through_cells(left, cells, k, depth, nprobe, compare, schema)
     return found.select(F.col("qid").alias(query_id), "rank", "id", "distance")
 
 
-def _bounded_queries(
-    queries, homed, pivots, stats, blocks, metric, depth, layout, compare, schema, k
-) -> DataFrame:
+def _through_cells(left, cells: CellIndex, k, depth, nprobe, compare, schema) -> DataFrame:
+    if nprobe is None:
+        left = _with_bound(left, cells, k, compare, schema)
+    candidates = ce.candidate_cells(left, cells, depth, nprobe)
+    partial = ce.compare_visits(ce.all_visits(candidates, cells), cells, compare, schema)
+    ranked = Window.partitionBy("qid").orderBy("distance", "id")
+    merged = partial.withColumn("rank", F.row_number().over(ranked))
+    return merged.where(F.col("rank") <= k)
+
+
+def _with_bound(queries: DataFrame, cells: CellIndex, k: int, compare, schema: str) -> DataFrame:
     """Adds ``bound``: the k-th distance within one block of the query's nearest cell.
 
     Any k entries bound the answer from above; those of the nearest cell do so tightly,
     which is what lets the second pass skip cells. Fewer than k leave the bound open.
     """
-    home = materialize(
-        _candidate_cells(queries, pivots, stats, metric, depth, 1, None), "query-home"
-    )
-    visits = _home_visit(home, blocks)
-    seen = _grid(*_many_blocks(visits, homed, blocks, layout), compare, schema)
-    scale = 2.0 if metric == "cosine" else 1.0
-    bound = (
-        seen.where(F.col("rank") == k)
-        .select("qid", F.sqrt(F.col("distance") * scale).alias("bound"))
+    home = ce.candidate_cells(queries, cells, nprobe=1)
+    seen = ce.compare_visits(ce.home_visit(home, cells), cells, compare, schema)
+    scale = 2.0 if cells.metric == "cosine" else 1.0
+    bound = seen.where(F.col("rank") == k).select(
+        "qid", F.sqrt(F.col("distance") * scale).alias("bound")
     )
     return queries.join(bound, "qid", "left")
 
@@ -465,99 +156,17 @@ def _bounded_queries(
 # --- within a radius ---------------------------------------------------------------
 
 
-def _pairs_in_block(metric: str, limit: float):
-    """The pairs of one slice and one block that are within the limit, smaller id first."""
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = left.schema.field("qid").type
-        schema = pa.schema([("a", kind), ("b", kind), ("distance", pa.float64())])
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        a, b = (left["qid"].to_numpy(), right["id"].to_numpy())
-        queries = _matrix(left["vec"], metric, "query")
-        points = _matrix(right["vec"], metric, "index")
-        parts = []
-        for begin in range(0, len(queries), STRIP):
-            near = _distances(queries[begin : begin + STRIP], points, metric)
-            rows, cols = np.nonzero(near <= limit)
-            rows_at = rows + begin
-            forward = a[rows_at] < b[cols]
-            parts.append((rows_at[forward], cols[forward], near[rows, cols][forward]))
-        rows, cols, distance = (np.concatenate(column) for column in zip(*parts))
-        return pa.table(
-            [
-                left["qid"].combine_chunks().take(pa.array(rows)),
-                right["id"].combine_chunks().take(pa.array(cols)),
-                pa.array(distance),
-            ],
-            schema=schema,
-        )
-
-    return compare
-
-
-def _links_in_block(metric: str, limit: float):
-    """Links that join the same rows into groups as all pairs of this block would.
-
-    Every row of a group is linked to the smallest id of the group, so a slice and a block
-    yield fewer links than they have rows, however many pairs are within the limit.
-    """
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = left.schema.field("qid").type
-        schema = pa.schema([("a", kind), ("b", kind)])
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        a, b = (left["qid"].to_numpy(), right["id"].to_numpy())
-        names = np.unique(np.concatenate([a, b]))
-        of_a, of_b = np.searchsorted(names, a), np.searchsorted(names, b)
-        queries = _matrix(left["vec"], metric, "query")
-        points = _matrix(right["vec"], metric, "index")
-        near = np.vstack(
-            [
-                _distances(queries[at : at + STRIP], points, metric) <= limit
-                for at in range(0, len(queries), STRIP)
-            ]
-        )
-        group = np.arange(len(names))
-        far = len(names)
-        while True:
-            before = group.copy()
-            for at in range(0, len(a), STRIP):
-                strip = near[at : at + STRIP]
-                reached = np.where(strip, group[of_b][None, :], far).min(axis=1)
-                np.minimum.at(group, of_a[at : at + STRIP], reached)
-                back = np.where(strip, group[of_a[at : at + STRIP]][:, None], far).min(axis=0)
-                np.minimum.at(group, of_b, back)
-            group = group[group]
-            if np.array_equal(group, before):
-                break
-        linked = np.flatnonzero(group != np.arange(len(names)))
-        return pa.table(
-            [pa.array(names[group[linked]], kind), pa.array(names[linked], kind)], schema=schema
-        )
-
-    return compare
-
-
 def _self_join(df, id_col, vec_col, metric, limit, layout, compare, schema) -> DataFrame:
-    spark = df.sparkSession
-    limit_length = math.sqrt(max(limit, 0.0) * (2.0 if metric == "cosine" else 1.0))
     left = _vectors(df, id_col, vec_col, "qid")
     right = _vectors(df, id_col, vec_col, "id")
     rows = right.count()
-    if _fits_grid(rows, layout):
-        return _grid(*_whole_grid(left, right, rows, rows, layout), compare, schema)
-    cells = _cell_count(rows, layout)
-    pivots = spark.sparkContext.broadcast(_pivots(right, cells, metric))
-    homed = materialize(_with_home(right, pivots, metric), "index-cells")
-    stats = _cell_stats(homed)
-    candidates = materialize(
-        _candidate_cells(left, pivots, stats, metric, 1, None, limit_length), "query-cells"
-    )
-    blocks = _blocks_of(stats, layout, spark)
-    visits = _all_visits(candidates, blocks)
-    return _grid(*_many_blocks(visits, homed, blocks, layout), compare, schema)
+    if _fits_broadcast(right, rows, layout):
+        single = right.select(F.array("id").alias("ids"), "vec")
+        return _against_broadcast(left, single, compare, schema, layout, layout.block_rows)
+    cells = ce.build_cells(right, rows, metric, None, layout)
+    radius = math.sqrt(max(limit, 0.0) * (2.0 if metric == "cosine" else 1.0))
+    candidates = ce.candidate_cells(left, cells, radius=radius)
+    return ce.compare_visits(ce.all_visits(candidates, cells), cells, compare, schema)
 
 
 def pairs_within(
@@ -571,7 +180,7 @@ def pairs_within(
 ) -> DataFrame:
     """All pairs of rows at most ``limit`` apart: ``a, b, distance`` with ``a < b``."""
     kind = df.schema[id_col].dataType.simpleString()
-    compare = _pairs_in_block(metric, round(limit, DECIMALS))
+    compare = pairs_in_block(metric, round(limit, DECIMALS))
     schema = f"a {kind}, b {kind}, distance double"
     return _self_join(df, id_col, vec_col, metric, limit, layout, compare, schema)
 
@@ -590,10 +199,13 @@ def links_within(
     Their number grows with rows times visited blocks, never with the number of pairs.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    compare = _links_in_block(metric, round(limit, DECIMALS))
+    compare = links_in_block(metric, round(limit, DECIMALS))
     return _self_join(df, id_col, vec_col, metric, limit, layout, compare, f"a {kind}, b {kind}")
 
 
+# --- around a join -----------------------------------------------------------------
+
+
 def with_payload(matches: DataFrame, index: DataFrame, index_id: str = "id") -> DataFrame:
     """Joins each match to its index row. Some case may match a large share of requests.
 
