@@ -33,7 +33,9 @@ def read_history(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 
 def write_history(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    csv = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    csv = csv.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    csv.csv(path)
 
 
 def inline_history(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
