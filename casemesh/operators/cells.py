@@ -271,7 +271,7 @@ def compare_visits(visits: DataFrame, cells: CellIndex, compare, schema: str) ->
     )
     key = ["cell", "block", "salt"]
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(4 * (seen["groups"] or 1), 16 * shuffle))
+    tasks = max(1, min(2 * (seen["groups"] or 1), 16 * shuffle))
     return (
         left.repartition(tasks, *key)
         .groupBy(*key)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return materialize_counted(df, name)[0]
 
 
+def side_by_side(spark: SparkSession, *jobs: Callable) -> list:
+    """Runs independent driver-side jobs at the same time, so that the many short stages
+    of one fill the executors that another leaves idle."""
+    target = inheritable_thread_target(spark)
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(lambda job: job(), [target(job) for job in jobs])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through Hadoop's FileSystem, so any storage scheme works."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path``, spread over the cores when it is too small to occupy them.
+def spread_if_narrow(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when it has fewer splits than there are cores.
 
-    Text work is heavy per byte, so one small file would keep one core busy. A table with
-    at least as many splits as there are cores is left where it is: no shuffle.
+    Text work is heavy per byte, so one small file would keep one core busy. Data with at
+    least as many splits as there are cores is left where it is: no shuffle. Meant for
+    scans, whose number of splits is known without running anything.
     """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
-    return table
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spread_if_narrow(spark.read.parquet(path))
