@@ -12,6 +12,9 @@ import pyarrow as pa
 # Distances are compared at this resolution, so that the order of summation inside a
 # matrix product cannot change which of two equally near cases comes first.
 DECIMALS = 9
+# Adding COARSE to a number near zero rounds it to multiples of GRID, about 1e-9.
+GRID = 2.0**-30
+COARSE = 1.5 * 2.0**52 * GRID
 # Distances held at once inside a task.
 STRIP_CELLS = 1 << 21
 
@@ -50,9 +53,35 @@ def _strips(rows: int, points: int):
     return [slice(at, min(at + step, rows)) for at in range(0, rows, step)]
 
 
-def _distances(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
-    square = square_distances(queries, points)
-    return np.round(square / 2.0 if metric == "cosine" else square, DECIMALS)
+def _prepared(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What all queries share: the transposed points times -2, and their squared lengths."""
+    return np.ascontiguousarray(-2.0 * points.T), (points * points).sum(axis=1)
+
+
+def _scale(metric: str) -> float:
+    """Squared distances per unit of reported distance."""
+    return 2.0 if metric == "cosine" else 1.0
+
+
+def _exact(queries, points, query, entry, metric: str) -> np.ndarray:
+    """Distances of chosen pairs from the differences of their coordinates."""
+    found = np.empty(len(query))
+    step = max(1, STRIP_CELLS // max(points.shape[1], 1))
+    for at in range(0, len(query), step):
+        gap = queries[query[at : at + step]] - points[entry[at : at + step]]
+        found[at : at + step] = (gap * gap).sum(axis=1)
+    return np.round(found / _scale(metric), DECIMALS)
+
+
+def _within(queries: np.ndarray, prepared, limit: float, metric: str):
+    """For a strip of queries: the squared distances less the queries' own squared lengths,
+    and which of them are, at the stated resolution, within the limit."""
+    turned, squares = prepared
+    partial = queries @ turned
+    partial += squares
+    own = (queries * queries).sum(axis=1)
+    reach = (limit + 0.5 * 10.0**-DECIMALS) * _scale(metric) - own
+    return partial, own, partial <= reach[:, None]
 
 
 def _single_ids(block: pa.Table):
@@ -86,15 +115,21 @@ def k_nearest_in_block(metric: str, k: int, exclude_self: bool):
         qids = left["qid"].combine_chunks()
         queries = matrix_of(left["vec"], metric, "query")
 
+        turned, squares = _prepared(points)
         parts = []
         for strip in _strips(len(queries), len(points)):
-            near = _distances(queries[strip], points, metric)
+            near = queries[strip] @ turned
+            near += squares
+            # At this magnitude a double only resolves GRID: nearly equal distances become
+            # equal, and the first of them is taken whatever the product's rounding.
+            near += COARSE
             rows = np.arange(len(near))
             for _ in range(min(depth, len(points))):
                 best = near.argmin(axis=1)
-                parts.append((rows + strip.start, best, near[rows, best]))
+                parts.append((rows + strip.start, best))
                 near[rows, best] = np.inf
-        query, entry, distance = (np.concatenate(column) for column in zip(*parts))
+        query, entry = (np.concatenate(column) for column in zip(*parts))
+        distance = _exact(queries, points, query, entry, metric)
 
         # One row per id behind each chosen vector.
         times = counts[entry]
@@ -134,13 +169,16 @@ def pairs_in_block(metric: str, limit: float):
         a, b = left["qid"].to_numpy(), _single_ids(right).to_numpy(zero_copy_only=False)
         queries = matrix_of(left["vec"], metric, "query")
         points = matrix_of(right["vec"], metric, "index")
+        prepared = _prepared(points)
         parts = []
         for strip in _strips(len(queries), len(points)):
-            near = _distances(queries[strip], points, metric)
-            rows, cols = np.nonzero(near <= limit)
-            rows_at = rows + strip.start
-            forward = a[rows_at] < b[cols]
-            parts.append((rows_at[forward], cols[forward], near[rows, cols][forward]))
+            partial, own, near = _within(queries[strip], prepared, limit, metric)
+            rows, cols = np.nonzero(near)
+            forward = a[rows + strip.start] < b[cols]
+            rows, cols = rows[forward], cols[forward]
+            square = np.maximum(partial[rows, cols] + own[rows], 0.0)
+            distance = np.round(square / _scale(metric), DECIMALS)
+            parts.append((rows + strip.start, cols, distance))
         rows, cols, distance = (np.concatenate(column) for column in zip(*parts))
         return pa.table(
             [
@@ -171,20 +209,22 @@ def links_in_block(metric: str, limit: float):
         of_a, of_b = np.searchsorted(names, a), np.searchsorted(names, b)
         queries = matrix_of(left["vec"], metric, "query")
         points = matrix_of(right["vec"], metric, "index")
-        strips = _strips(len(queries), len(points))
-        near = np.vstack([_distances(queries[s], points, metric) <= limit for s in strips])
+        prepared = _prepared(points)
+        ends = []
+        for strip in _strips(len(queries), len(points)):
+            rows, cols = np.nonzero(_within(queries[strip], prepared, limit, metric)[2])
+            ends.append((of_a[rows + strip.start], of_b[cols]))
+        one, other = (np.concatenate(column) for column in zip(*ends))
         group = np.arange(len(names))
-        far = len(names)
         while True:
-            before = group.copy()
-            for s in strips:
-                reached = np.where(near[s], group[of_b][None, :], far).min(axis=1)
-                np.minimum.at(group, of_a[s], reached)
-                back = np.where(near[s], group[of_a[s]][:, None], far).min(axis=0)
-                np.minimum.at(group, of_b, back)
-            group = group[group]
-            if np.array_equal(group, before):
+            least = np.minimum(group[one], group[other])
+            settled = group.copy()
+            for end in (one, other, group[one], group[other]):
+                np.minimum.at(settled, end, least)
+            settled = settled[settled]
+            if np.array_equal(settled, group):
                 break
+            group = settled
         linked = np.flatnonzero(group != np.arange(len(names)))
         return pa.table(
             [pa.array(names[group[linked]], kind), pa.array(names[linked], kind)], schema=schema
