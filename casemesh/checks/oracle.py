@@ -33,10 +33,10 @@ REQUESTS = """
   FROM labels
 """
 
-TRIAGE_RULES = f"""
-WITH requests AS ({REQUESTS}),
+STAGED = f"""
+requests AS ({REQUESTS}),
 staged AS (
-  SELECT complaint_id, CASE
+  SELECT complaint_id, text, CASE
       WHEN NOT {_not_blank('text')} THEN 'pending'
       WHEN starts_with(text, 'Error:') THEN 'failure'
       WHEN NOT regexp_matches(text, '[{CONTENT_CLASS}]') THEN 'rejected'
@@ -45,7 +45,9 @@ staged AS (
       WHEN {_words('text', inputs.WATER_WORDS)} THEN 'water'
       ELSE 'model' END AS status
   FROM requests)
-SELECT complaint_id, status,
+"""
+
+FIELDS = f"""
   CASE status WHEN 'pending' THEN '{r.PENDING}' WHEN 'failure' THEN '{r.FAILURE}'
     WHEN 'rejected' THEN '{r.REJECTED_OFFICER}' WHEN 'out_of_scope' THEN '{r.OUT_OF_SCOPE_OFFICER}'
     WHEN 'emergency' THEN '{FIRE.officer}' WHEN 'water' THEN '{WATER.officer}' END AS officer,
@@ -56,9 +58,10 @@ SELECT complaint_id, status,
   CASE status WHEN 'pending' THEN '{r.PENDING}' WHEN 'failure' THEN '{r.FAILURE}'
     WHEN 'rejected' THEN '{r.REJECTED_ETA}' WHEN 'out_of_scope' THEN '{r.OUT_OF_SCOPE_ETA}'
     WHEN 'emergency' THEN '{FIRE.eta_label}' END AS eta_label
-FROM staged
 """
 
+TRIAGE_RULES = f"WITH {STAGED} SELECT complaint_id, status, {FIELDS} FROM staged"
+
 ETA_LABEL = """
 SELECT event_id,
   CASE WHEN event_type = 'error' THEN '0.1 Days' ELSE printf('%.1f', value) || ' Days' END
@@ -305,6 +308,48 @@ reach AS (
 SELECT id AS doc_id, min(other) AS cluster FROM reach GROUP BY id
 """
 
+SCOPE_REPORT = r.OUT_OF_SCOPE_REPORT.replace("\n", "' || chr(10) || '")
+TRIAGE_EXPLAINED = f"""
+WITH {STAGED},
+history AS (
+  SELECT 'H' || d.doc_id AS id, d.text, 'Officer_' || d.lang AS officer,
+    CASE WHEN l.toxic = 1 THEN 'High' WHEN l.quality = 1 THEN 'Medium' ELSE 'Low' END AS priority
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+all_texts AS (
+  SELECT id, text FROM history
+  UNION ALL
+  SELECT complaint_id, text FROM staged WHERE status IN ('emergency', 'water', 'model')),
+fitted AS (SELECT id FROM history),
+{HASHED},
+single AS (SELECT id, v::FLOAT[]::DOUBLE[] AS v FROM dense),
+compared AS (
+  SELECT q.id AS complaint_id, h.id, round(pow(list_distance(q.v, h.v), 2), 9) AS distance
+  FROM single q, single h WHERE q.id NOT IN (SELECT id FROM fitted)
+    AND h.id IN (SELECT id FROM fitted)),
+nearest AS (
+  SELECT *, row_number() OVER (PARTITION BY complaint_id ORDER BY distance, id) AS rank
+  FROM compared QUALIFY rank <= 2),
+found AS (
+  SELECT n.complaint_id, min(n.distance) AS best_distance,
+    string_agg('MATCH DISTANCE: ' || printf('%.4f', distance) || chr(10) || 'COMPLAINT: ' || h.text
+      || chr(10) || 'ROUTING ASSIGNMENT: ' || h.officer || ' | HISTORICAL PRIORITY: '
+      || h.priority || chr(10) || repeat('-', 60) || chr(10), '' ORDER BY rank) AS blocks
+  FROM nearest n JOIN history h USING (id) GROUP BY n.complaint_id),
+gated AS (
+  SELECT s.complaint_id, f.best_distance, f.blocks, s.status AS ruled,
+    CASE WHEN s.status = 'model' AND f.best_distance > {inputs.GATE} THEN 'out_of_scope'
+      ELSE s.status END AS status
+  FROM staged s LEFT JOIN found f ON f.complaint_id = s.complaint_id)
+SELECT complaint_id, status, {FIELDS}, round(best_distance, 4) AS best_distance,
+  CASE WHEN status = 'pending' THEN '{r.PENDING_REPORT}' WHEN status = 'failure'
+    THEN '{r.FAILURE_REPORT}' WHEN status = 'rejected' THEN '{r.REJECTED_REPORT}'
+    WHEN ruled = 'out_of_scope' THEN '{SCOPE_REPORT}' || '{r.KEYWORD_REASON}'
+    WHEN status = 'out_of_scope' THEN '{SCOPE_REPORT}' || '{r.DISTANCE_REASON}'
+      || printf('%.4f', best_distance) || ' (Threshold Limit: {inputs.GATE})'
+    ELSE blocks END AS report
+FROM gated
+"""
+
 EVAL_METRICS = f"""
 WITH {_nearest(1, 'l2sq', 'id')},
 scored AS (SELECT own_label AS a, label AS p FROM nearest),
@@ -348,6 +393,7 @@ ORACLE_SQL = {
     "match_report": MATCH_REPORT,
     "text_features": TEXT_FEATURES,
     "similar_text_topk": SIMILAR_TEXT_TOPK,
+    "triage_explained": TRIAGE_EXPLAINED,
     "duplicate_pairs": DUPLICATE_PAIRS,
     "duplicate_clusters": DUPLICATE_CLUSTERS,
     "eval_metrics": EVAL_METRICS,

@@ -16,6 +16,7 @@ from casemesh.operators import duplicates, evaluate, features, learn, modality,
 from casemesh.operators.clean import clean_history, with_position_id
 from casemesh.operators.neighbours import Layout, k_nearest, with_payload
 from casemesh.plans import training
+from casemesh.plans.lookup import similar_text
 from casemesh.plans.triage import triage, triage_rules
 from casemesh.schemas import INDEX_ENTRY
 from casemesh.session import materialize, scratch_path, scratch_root
@@ -261,14 +262,9 @@ def q_similar_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "conv_id", "turn").alias("complaint_id"), text
     )
     model, featured = features.fit_featurize(documents)
-    array = features.as_array(F.col("features")).alias("embedding")
-    index = materialize(featured.select("doc_id", array), "text-vectors")
-    queries = materialize(
-        features.featurize(spoken, model).select("complaint_id", array), "text-vectors"
-    )
-    near = k_nearest(
-        queries, index, 2, query_id="complaint_id", index_id="doc_id", metric="cosine"
-    )
+    vector = features.as_array(F.col("features")).alias("embedding")
+    index = materialize(featured.select("doc_id", vector), "text-vectors")
+    near = similar_text(spoken, index, model, 2, index_id="doc_id")
     return near.select(
         "complaint_id", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"),
         F.round("distance", 4).alias("distance"),
@@ -372,6 +368,21 @@ def q_triage_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(triage(requests, models, index, inputs.check_rules(), gate=inputs.GATE))
 
 
+def q_triage_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything the cascade says that no forest decides: gate, distances and matches too."""
+    models, index = artifacts(spark, sf_dir)
+    requests = inputs.requests(spark, sf_dir)
+    result = triage(requests, models, index, inputs.check_rules(), gate=inputs.GATE)
+    status = F.col("status")
+    return result.select(
+        "complaint_id", "status",
+        F.when(status != "model", F.col("officer")).alias("officer"),
+        F.when(~status.isin("model", "water"), F.col("priority")).alias("priority"),
+        F.when(~status.isin("model", "water"), F.col("eta_label")).alias("eta_label"),
+        F.round("best_distance", 4).alias("best_distance"), "report",
+    )
+
+
 def q_triage_model_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     models, index = artifacts(spark, sf_dir)
     requests = inputs.requests(spark, sf_dir)
