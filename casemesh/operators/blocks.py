@@ -47,7 +47,7 @@ def square_distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.maximum(squares - 2.0 * (queries @ points.T), 0.0)
 
 
-def _strips(rows: int, points: int):
+def strips_of(rows: int, points: int):
     """Row ranges of a slice that keep a strip of the distance matrix small."""
     step = max(16, STRIP_CELLS // max(points, 1))
     return [slice(at, min(at + step, rows)) for at in range(0, rows, step)]
@@ -117,7 +117,7 @@ def k_nearest_in_block(metric: str, k: int, exclude_self: bool):
 
         turned, squares = _prepared(points)
         parts = []
-        for strip in _strips(len(queries), len(points)):
+        for strip in strips_of(len(queries), len(points)):
             near = queries[strip] @ turned
             near += squares
             # At this magnitude a double only resolves GRID: nearly equal distances become
@@ -171,7 +171,7 @@ def pairs_in_block(metric: str, limit: float):
         points = matrix_of(right["vec"], metric, "index")
         prepared = _prepared(points)
         parts = []
-        for strip in _strips(len(queries), len(points)):
+        for strip in strips_of(len(queries), len(points)):
             partial, own, near = _within(queries[strip], prepared, limit, metric)
             rows, cols = np.nonzero(near)
             forward = a[rows + strip.start] < b[cols]
@@ -211,7 +211,7 @@ def links_in_block(metric: str, limit: float):
         points = matrix_of(right["vec"], metric, "index")
         prepared = _prepared(points)
         ends = []
-        for strip in _strips(len(queries), len(points)):
+        for strip in strips_of(len(queries), len(points)):
             rows, cols = np.nonzero(_within(queries[strip], prepared, limit, metric)[2])
             ends.append((of_a[rows + strip.start], of_b[cols]))
         one, other = (np.concatenate(column) for column in zip(*ends))

@@ -7,7 +7,6 @@ spreads over as many tasks as it needs.
 
 from __future__ import annotations
 
-import json
 import math
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from casemesh.operators.blocks import matrix_of, square_distances
+from casemesh.operators.blocks import matrix_of, square_distances, strips_of
 from casemesh.session import materialize, materialize_counted, scratch_path
 
 # A table of block loads (20 bytes a row) is broadcast up to this many rows; beyond it the
@@ -26,8 +25,8 @@ from casemesh.session import materialize, materialize_counted, scratch_path
 BROADCAST_BLOCKS = 1_000_000
 # Slack of the pruning test, far above rounding noise.
 SLACK = 1e-6
-# Widest vector the driver takes pivots of: with ``max_cells`` it bounds the pivots' size.
-MAX_WIDTH = 8192
+# What the pivots, which the driver holds and every executor gets, may take as doubles.
+PIVOT_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -36,7 +35,7 @@ class Layout:
 
     block_rows: int = 4096
     query_rows: int = 1024
-    max_cells: int = 4096
+    max_cells: int = 16_384
     # An index of at most so many bytes is sent to every executor instead.
     broadcast_bytes: int = 64 << 20
 
@@ -60,27 +59,41 @@ def distinct_vectors(index: DataFrame, depth: int) -> DataFrame:
     """One row per distinct vector with the ``depth`` smallest ids that share it.
 
     Ties go to the smaller id, so no later copy can appear in an answer: this loses
-    nothing, and a vector shared by a third of all rows shrinks to one entry. The
-    window limits each partition before the shuffle.
+    nothing, and a vector shared by a third of all rows shrinks to one entry. Vectors are
+    known by 128 bits of hash, so the shuffle and its sorts never compare them; the window
+    limits each partition before the shuffle, and the grouping after it needs none.
     """
-    copies = Window.partitionBy("h", "g", "vec").orderBy("id")
+    copies = Window.partitionBy("h", "g").orderBy("id")
     return (
-        index.select("id", "vec", F.xxhash64("vec").alias("h"), F.hash("vec").alias("g"))
+        index.select(
+            "id", "vec", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g")
+        )
         .withColumn("copy", F.row_number().over(copies))
         .where(F.col("copy") <= depth)
-        .groupBy("h", "g", "vec")
-        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        .groupBy("h", "g")
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec"))
         .select("ids", "vec")
     )
 
 
-def _choose_pivots(index: DataFrame, cells: int, metric: str) -> np.ndarray:
-    """At most ``cells`` (hence ``max_cells``) distinct index vectors, chosen by hashed id."""
+def _choose_pivots(index: DataFrame, rows: int, metric: str, layout: Layout) -> np.ndarray:
+    """Distinct index vectors, chosen by hashed id: one per block's worth of rows, and no
+    more than ``max_cells`` or than fit ``PIVOT_BYTES``."""
+    width = index.select(F.size("vec")).first()[0]
+    cells = min(math.ceil(rows / layout.block_rows), PIVOT_BYTES // (8 * max(width, 1)))
+    cells = max(1, min(cells, layout.max_cells))
     chosen = index.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").toArrow()["vec"]
-    pivots = np.unique(matrix_of(chosen, metric, "index"), axis=0)
-    if pivots.shape[1] > MAX_WIDTH:
-        raise ValueError(f"vectors wider than {MAX_WIDTH} are not supported")
-    return pivots
+    return np.unique(matrix_of(chosen, metric, "index"), axis=0)
+
+
+def _by_strips(batches, pivots: np.ndarray, metric: str, side: str):
+    """Each batch in parts, with the distances of its vectors to all pivots: small matrices
+    however many pivots there are."""
+    for batch in batches:
+        vectors = matrix_of(batch["vec"], metric, side)
+        for strip in strips_of(len(vectors), len(pivots)):
+            part = batch.slice(strip.start, strip.stop - strip.start)
+            yield part, np.sqrt(square_distances(vectors[strip], pivots))
 
 
 def _with_home(entries: DataFrame, pivots, metric: str) -> DataFrame:
@@ -91,12 +104,9 @@ def _with_home(entries: DataFrame, pivots, metric: str) -> DataFrame:
     )
 
     def assign(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            square = square_distances(matrix_of(batch["vec"], metric, "index"), pivots.value)
-            cell = square.argmin(axis=1)
-            radius = np.sqrt(square[np.arange(len(cell)), cell])
+        for batch, to_pivot in _by_strips(batches, pivots.value, metric, "index"):
+            cell = to_pivot.argmin(axis=1)
+            radius = to_pivot[np.arange(len(cell)), cell]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)],
                 names=[*batch.schema.names, "cell", "radius"],
@@ -127,25 +137,29 @@ def build_cells(
     With ``depth=None`` copies of a vector stay entries of their own.
     """
     spark = index.sparkSession
-    cells = max(1, min(layout.max_cells, math.ceil(rows / layout.block_rows)))
-    pivots = _choose_pivots(index, cells, metric)
+    pivots = _choose_pivots(index, rows, metric, layout)
     if depth is None:
         entries = index.select(F.array("id").alias("ids"), "vec")
     else:
         entries = distinct_vectors(index, depth)
-    path = path or scratch_path(spark, "index-cells")
+    kept = path or scratch_path(spark, "index-cells")
     homed = _with_home(entries, spark.sparkContext.broadcast(pivots), metric)
-    homed.write.parquet(f"{path}/entries")
-    facts = json.dumps({"metric": metric, "depth": depth or 1, "pivots": pivots.tolist()})
-    spark.createDataFrame([(facts,)], "facts string").coalesce(1).write.text(f"{path}/facts")
-    return load_cells(spark, path, layout)
+    homed.write.parquet(f"{kept}/entries")
+    if path is not None:
+        table = pa.table({"cell": np.arange(len(pivots)), "pivot": list(pivots)})
+        spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/pivots")
+        facts = spark.createDataFrame([(metric, depth or 1)], "metric string, depth int")
+        facts.coalesce(1).write.parquet(f"{path}/facts")
+    stored = spark.read.schema(homed.schema).parquet(f"{kept}/entries")
+    return CellIndex(stored, pivots, _cell_stats(stored), metric, depth or 1, layout)
 
 
 def load_cells(spark: SparkSession, path: str, layout: Layout = Layout()) -> CellIndex:
     entries = spark.read.parquet(f"{path}/entries")
-    facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    pivots = spark.read.parquet(f"{path}/pivots").orderBy("cell").toArrow()["pivot"]
+    facts = spark.read.parquet(f"{path}/facts").first()
     return CellIndex(
-        entries, np.array(facts["pivots"]), _cell_stats(entries), facts["metric"],
+        entries, matrix_of(pivots, "l2sq", "index"), _cell_stats(entries), facts["metric"],
         facts["depth"], layout,
     )
 
@@ -188,11 +202,7 @@ def candidate_cells(
         return sure
 
     def choose(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vectors = matrix_of(batch["vec"], metric, "query")
-            to_pivot = np.sqrt(square_distances(vectors, pivots.value))
+        for batch, to_pivot in _by_strips(batches, pivots.value, metric, "query"):
             if nprobe is not None:
                 near = np.argsort(to_pivot, axis=1, kind="stable")[:, :nprobe]
                 lists = [ids[row] for row in near]
