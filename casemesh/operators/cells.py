@@ -178,7 +178,8 @@ def candidate_cells(
 
     The largest useful distance is ``radius`` if the caller gave one, else the column
     ``bound``, else what the cell radii alone guarantee for ``need`` entries. A cell is
-    left out only when even its nearest possible point is further away. With ``nprobe``
+    left out only when even its nearest possible point, by its radii or by the plane
+    between the two pivots, is further away. With ``nprobe``
     the nearest that many cells are taken instead.
     """
     pivots = queries.sparkSession.sparkContext.broadcast(cells.pivots[cells.stats["cell"]])
@@ -207,7 +208,8 @@ def candidate_cells(
                 near = np.argsort(to_pivot, axis=1, kind="stable")[:, :nprobe]
                 lists = [ids[row] for row in near]
             else:
-                gap = np.maximum(np.maximum(to_pivot - high, low - to_pivot), 0.0)
+                gap = np.maximum(to_pivot - high, low - to_pivot)
+                np.maximum(gap, _beyond_planes(to_pivot, pivots.value), out=gap)
                 lists = [ids[row] for row in gap <= reach(batch, to_pivot)[:, None] + SLACK]
             kept = [batch[f.name] for f in fields]
             yield pa.RecordBatch.from_arrays(
@@ -217,6 +219,18 @@ def candidate_cells(
     return materialize(queries.mapInArrow(choose, schema), "query-cells")
 
 
+def _beyond_planes(to_pivot: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """How far each query is from the plane between its own pivot and every other one.
+
+    Entries of another cell lie beyond that plane, or they would belong to this cell.
+    """
+    home = to_pivot.argmin(axis=1)
+    nearest = to_pivot[np.arange(len(home)), home]
+    between = 2.0 * np.sqrt(square_distances(pivots[home], pivots))
+    ahead = to_pivot**2 - nearest[:, None] ** 2
+    return np.divide(ahead, between, out=np.zeros_like(ahead), where=between > SLACK)
+
+
 def _block_counts(cells: CellIndex) -> DataFrame:
     counts = np.ceil(cells.stats["n"] / cells.layout.block_rows).astype(int)
     rows = [(int(c), int(b)) for c, b in zip(cells.stats["cell"], counts)]
