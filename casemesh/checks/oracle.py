@@ -17,7 +17,10 @@ def _words(column: str, words) -> str:
 
 
 def _not_blank(column: str) -> str:
-    space = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    space = (
+        r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+        r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    )
     return f"coalesce(regexp_matches({column}, '[^{space}]'), false)"
 
 
