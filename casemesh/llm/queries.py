@@ -2,23 +2,86 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from casemesh.llm.decontaminate import contaminated
+from casemesh.llm.host_rules import apply_host_rules
+from casemesh.llm.language_id import fit, language_table
 from casemesh.llm.near_dedup import NearDedup, near_duplicates
+from casemesh.llm.packing import Packing, pack
+from casemesh.llm.url_reputation import ALLOW, BLOCK, UrlRule, judge_urls
+
+TOKENIZER = "word_bpe_49k.json"
+
+# Fixed values of the url query.
+URL_RULES = (
+    UrlRule(ALLOW, "org", "/"),
+    UrlRule(BLOCK, "example.org", "/es/"),
+    UrlRule(BLOCK, "example.org", "/en/1"),
+    UrlRule(ALLOW, "com", "/fr/"),
+    UrlRule(BLOCK, "com", "/de/"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packing_config() -> Packing:
+    return Packing(tokenizer=public_tokenizers.path(TOKENIZER))
+
+
+def op1_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), packing_config())
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(
         table(spark, sf_dir, "documents"), NearDedup(width=3, similarity=85)
     )
 
 
+def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_host_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is bad if the document of its number has low quality."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad")
+    )
+    return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).drop("rate")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_table(docs, fit(docs))
+
+
 QUERIES = {
+    "op1_minimum_bin_slack_packing": op1_minimum_bin_slack_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_host_quality_rules": op7_host_quality_rules,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_url_filters": op9_url_filters,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
