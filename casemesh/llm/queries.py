@@ -11,6 +11,8 @@ from casemesh.llm.host_rules import apply_host_rules
 from casemesh.llm.language_id import fit, language_table
 from casemesh.llm.near_dedup import NearDedup, near_duplicates
 from casemesh.llm.packing import Packing, pack
+from casemesh.llm.quality import fit_quality, predict_quality
+from casemesh.llm.toxicity import fit_toxicity, predict_toxicity
 from casemesh.llm.url_reputation import ALLOW, BLOCK, UrlRule, judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +45,16 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_host_rules(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -78,6 +90,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minimum_bin_slack_packing": op1_minimum_bin_slack_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
     "op7_host_quality_rules": op7_host_quality_rules,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filters": op9_url_filters,
