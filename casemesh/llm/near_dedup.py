@@ -3,14 +3,16 @@
 1. Every text becomes its set of word shingles, a MinHash signature and a fingerprint of
    the set. Texts with equal sets are collapsed to the smallest id before anything else.
 2. Signatures are cut into bands; texts that agree in a band are candidates. A bucket
-   compares its members with its smallest one, so a bucket of n texts costs n rows.
+   compares its members with its most central one, the member that agrees with others most
+   often over all bands, so a bucket of n texts costs n rows.
 3. Candidates are compared signature batch by signature batch. After m values with c
    agreements the posterior of the similarity under a uniform prior is Beta(c + 1, m - c + 1);
    a pair is dropped as soon as it reaches the threshold with less than ``miss``.
-4. Survivors are verified on their full sets.
-5. Buckets whose members lie in more than one component compare, block by block, the members
-   of different components, so that no candidate link is lost to step 2. Pruning happens
-   inside the blocks; only survivors become rows.
+4. Survivors are verified on their full sets, and links join into components.
+5. No candidate link may be lost to step 2: members that are not in the component of their
+   center are compared with all others of that center, in blocks of bounded size. Banded
+   candidates of different components are pruned and verified as above inside the blocks,
+   and only links that join components become rows.
 
 Defined cases: null or wordless texts have no shingles and no link; rows without id take no
 part and are kept; rows that repeat an id are one document for the links and all come back;
@@ -169,27 +171,34 @@ def _prune(pairs: DataFrame, firsts: DataFrame, config: NearDedup) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, config: NearDedup) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Only texts in a pair are shingled."""
-    named = pairs.select(F.col("a").alias("doc_id")).unionByName(
-        pairs.select(F.col("b").alias("doc_id"))
-    )
-    texts = docs.join(named.distinct(), "doc_id", "left_semi")
-    sets = materialize(shingle_table(texts, config), "near-sets").dropDuplicates(["doc_id"])
+def linked(one: np.ndarray, two: np.ndarray, similarity: int) -> bool:
+    """The verdict on two full sets."""
+    low, high = sorted((len(one), len(two)))
+    if 100 * low < similarity * high:
+        return False
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * common >= similarity * (len(one) + len(two) - common)
+
+
+def _set(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.uint64)
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, config: NearDedup) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     both = pairs.join(
-        sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a"
-    ).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
-    share = config.similarity
+        sets.select("a", F.col("shingles").alias("left")), "a"
+    ).join(sets.select(F.col("a").alias("b"), F.col("shingles").alias("right")), "b")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                one = np.frombuffer(left.as_buffer(), dtype=np.uint64)
-                two = np.frombuffer(right.as_buffer(), dtype=np.uint64)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(100 * common >= share * (len(one) + len(two) - common))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array(
+                [
+                    linked(_set(left), _set(right), config.similarity)
+                    for left, right in zip(batch.column(2), batch.column(3))
+                ],
+                pa.bool_(),
+            )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"]
             )
@@ -209,71 +218,123 @@ def _bands(firsts: DataFrame, config: NearDedup) -> DataFrame:
     )
 
 
-def _between_components(bands, components, firsts, config) -> DataFrame:
-    """Plausible pairs inside a bucket whose members are in different components.
+def _centers(shared: DataFrame) -> DataFrame:
+    """``a, b``: every member of a bucket but its center, with the center.
 
-    A bucket is dealt into blocks of about ``config.block`` members, and each two blocks
-    meet in one row; the members are compared in numpy, so that pairs that are not
-    plausible never become rows.
+    ``shared`` has ``a, band, members``. A text that many copies were made from agrees with
+    them in most bands, and so has the largest sum of members; ties go to the smallest id.
     """
-    owned = bands.join(components, F.col("a") == F.col("id"), "left").select(
-        "a", "band", F.coalesce("cluster", "a").alias("component")
+    degree = shared.groupBy("a").agg(F.sum("members").alias("degree"))
+    rank = F.struct(F.col("degree"), -F.col("a"))
+    centers = shared.join(degree, "a").groupBy("band").agg(F.max_by("a", rank).alias("b"))
+    centers = materialize(centers, "near-centers")
+    return shared.join(centers, "band").where("a <> b").select("a", "b").distinct()
+
+
+def _blocks(pairs: DataFrame, components: DataFrame, config: NearDedup) -> DataFrame:
+    """``b, outside, block, blocks, a, component``: the members of every center that has a
+    member outside its component and more than one member.
+
+    ``outside`` members are those not in the component of the center. They, and the others,
+    are dealt into blocks of about ``config.block`` members each.
+    """
+    def owned(rows: DataFrame, key: str) -> DataFrame:
+        named = components.select(F.col("id").alias(key), F.col("cluster").alias(f"of_{key}"))
+        return rows.join(named, key, "left").withColumn(f"of_{key}", F.coalesce(f"of_{key}", key))
+
+    members = owned(owned(pairs, "a"), "b").select(
+        "b", "a", F.col("of_a").alias("component"), (F.col("of_a") != F.col("of_b")).alias("outside")
     )
-    split = (
-        owned.groupBy("band")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-        .where("low < high")
-        .select("band", F.ceil(F.col("members") / config.block).cast("int").alias("blocks"))
+    members = materialize(members, "near-members")
+    outside = F.sum(F.col("outside").cast("long"))
+    sizes = (
+        members.groupBy("b")
+        .agg(outside.alias("out"), F.count(F.lit(1)).alias("all"))
+        .where((F.col("out") > 0) & (F.col("all") > 1))
     )
-    split = materialize(split, "near-split-buckets")
-    chosen = (
-        owned.join(split, "band")
+    count = F.when(F.col("outside"), F.col("out")).otherwise(F.col("all") - F.col("out"))
+    return (
+        members.join(materialize(sizes, "near-split"), "b")
+        .withColumn("blocks", F.ceil(count / config.block).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-        .join(firsts.select("a", "signature"), "a")
+        .withColumn("out_blocks", F.ceil(F.col("out") / config.block).cast("int"))
+        .select("b", "outside", "block", "out_blocks", "a", "component")
     )
+
+
+def _across(members: DataFrame, firsts: DataFrame, sets: DataFrame, config: NearDedup) -> DataFrame:
+    """Links ``a, b`` between members of different components, enough to join them."""
+    payload = F.struct("a", "component", "signature", "shingles")
     blocks = materialize(
-        chosen.groupBy("band", "blocks", "block").agg(
-            F.collect_list(F.struct("a", "component", "signature")).alias("members")
-        ),
+        members.join(firsts.select("a", "signature"), "a")
+        .join(sets, "a")
+        .groupBy("b", "outside", "block", "out_blocks")
+        .agg(F.collect_list(payload).alias("members")),
         "near-blocks",
     )
+    # Blocks outside meet each other once, and every block inside.
+    first = F.when(F.col("outside"), F.col("block")).otherwise(F.lit(0))
     left = blocks.select(
-        "band",
-        "block",
+        "b",
+        F.explode(F.sequence(first, F.col("out_blocks") - 1)).alias("other"),
         F.col("members").alias("left"),
-        F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"),
     )
-    right = blocks.select("band", F.col("block").alias("other"), F.col("members").alias("right"))
-    both = left.join(right, ["band", "other"]).select("left", "right")
+    right = blocks.where("outside").select(
+        "b", F.col("block").alias("other"), F.col("members").alias("right")
+    )
+    both = left.join(right, ["b", "other"]).select("left", "right")
 
     def unpack(members):
         return (
             members.field("a").to_numpy(zero_copy_only=False),
             members.field("component").to_numpy(zero_copy_only=False),
             _signatures(members.field("signature"), config.values),
+            [_set(value) for value in members.field("shingles")],
         )
 
     def run(batches):
         for batch in batches:
+            found = []
             for row in range(batch.num_rows):
-                a, left_component, left_sign = unpack(batch.column(0)[row].values)
-                b, right_component, right_sign = unpack(batch.column(1)[row].values)
-                kept_a, kept_b = [], []
-                for i in range(len(a)):
-                    other = np.flatnonzero(right_component > left_component[i])
-                    less = np.flatnonzero(right_component < left_component[i])
-                    other = np.concatenate([other, less])
-                    mine = np.broadcast_to(left_sign[i], (len(other), config.values))
-                    alive = other[plausible(mine, right_sign[other], config)]
-                    kept_a.extend(np.minimum(a[i], b[alive]).tolist())
-                    kept_b.extend(np.maximum(a[i], b[alive]).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kept_b, pa.int64()), pa.array(kept_a, pa.int64())], ["a", "b"]
+                found += links_between(
+                    unpack(batch.column(0)[row].values), unpack(batch.column(1)[row].values), config
                 )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([pair[side] for pair in found], pa.int64()) for side in (0, 1)],
+                ["a", "b"],
+            )
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def links_between(left, right, config: NearDedup) -> list[tuple[int, int]]:
+    """Links between two blocks that join components not joined by a link before."""
+    ids, components, signs, sets = left
+    other_ids, other_components, other_signs, other_sets = right
+    banded = other_signs.reshape(len(other_ids), config.bands, config.rows)
+    joined: dict[int, int] = {}
+
+    def root(component: int) -> int:
+        while component in joined:
+            component = joined[component]
+        return component
+
+    found = []
+    for i in range(len(ids)):
+        mine = signs[i].reshape(config.bands, config.rows)
+        candidates = np.flatnonzero(
+            (other_components != components[i]) & (banded == mine).all(axis=2).any(axis=1)
+        )
+        same = np.broadcast_to(signs[i], (len(candidates), config.values))
+        for j in candidates[plausible(same, other_signs[candidates], config)]:
+            one, two = root(int(components[i])), root(int(other_components[j]))
+            if one != two and linked(sets[i], other_sets[j], config.similarity):
+                joined[max(one, two)] = min(one, two)
+                pair = int(ids[i]), int(other_ids[j])
+                found.append((max(pair), min(pair)))
+    return found
+
+
 def near_duplicates(docs: DataFrame, config: NearDedup = NearDedup()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -289,26 +350,19 @@ def near_duplicates(docs: DataFrame, config: NearDedup = NearDedup()) -> DataFra
         "near-firsts",
     )
     bands = _bands(firsts, config)
-    leaders = materialize(
-        bands.groupBy("band")
-        .agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("members"))
-        .where("members > 1")
-        .select("band", "b"),
-        "near-buckets",
-    )
-    star = bands.join(leaders, "band").where("a > b").select("a", "b").distinct()
-    close = materialize(_prune(star, firsts, config), "near-plausible")
-    links = materialize(_verify(close, docs, config), "near-links")
+    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialize(bands.join(buckets, "band").select("a", "band", "members"), "near-shared")
+    pairs = materialize(_centers(shared), "near-pairs")
+    close = materialize(_prune(pairs, firsts, config), "near-plausible")
+    banded = shared.select(F.col("a").alias("doc_id")).distinct()
+    sets = materialize(
+        shingle_table(docs.join(banded, "doc_id", "left_semi"), config), "near-sets"
+    ).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "a")
+    links = materialize(_verify(close, sets, config), "near-links")
     components = materialize(duplicate_clusters(links), "near-components")
-    shared = bands.join(leaders.select("band"), "band", "left_semi")
-    rest = materialize(
-        _between_components(shared, components, firsts, config).join(
-            close, ["a", "b"], "left_anti"
-        ),
-        "near-rest",
-    )
-    if not rest.isEmpty():
-        more = materialize(_verify(rest, docs, config), "near-more-links")
+    members = materialize(_blocks(pairs, components, config), "near-outside")
+    more = materialize(_across(members, firsts, sets, config), "near-more-links")
+    if not more.isEmpty():
         components = duplicate_clusters(links.unionByName(more))
     named = firsts.join(components, F.col("a") == F.col("id"), "left").select(
         *whole, F.coalesce("cluster", "a").alias("component_id")
