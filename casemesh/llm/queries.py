@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemesh.llm.decontaminate import contaminated
+from casemesh.llm.disclosure import KINDS, disclosure_spans, span_list
 from casemesh.llm.host_rules import apply_host_rules
 from casemesh.llm.language_id import fit, language_table
 from casemesh.llm.near_dedup import NearDedup, near_duplicates
@@ -45,6 +46,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure_spans(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(span_list("base"), 256).alias("base_sha256"),
+        span_list("spans").alias("spans"),
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -90,6 +105,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minimum_bin_slack_packing": op1_minimum_bin_slack_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_disclosure_sanitisation": op4_disclosure_sanitisation,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
     "op7_host_quality_rules": op7_host_quality_rules,
