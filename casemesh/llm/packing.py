@@ -27,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemesh.llm.learning import worker_state
+from casemesh.llm.words import slices
 from casemesh.session import materialize_counted
 
 ID_BYTES = 4
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 800_000
+GROUP_CHARS = 1 << 20
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-# Fixed value: how the vocabulary's own file cuts a text without white space into words.
-WORD_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+# Fixed value: how the vocabulary's own file cuts usual characters in lower case into words.
+LETTER = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+WORD_PATTERN = re.compile(rf"[{LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{LETTER}0-9\s]+")
 # Characters for which Python and the tokenizer may differ in case, class or composition.
-UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]|<\\|")
+UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
+SPECIAL = "<|"
 WORD_END = "</w>"
 
 
@@ -51,53 +55,61 @@ class Packing(NamedTuple):
 class _Encoder:
     """Ids of whole texts as bytes.
 
-    A text of usual characters is cut at white space and looked up word by word; words not
-    seen before are encoded together. Everything else goes to the tokenizer whole.
+    A text of usual characters is cut at white space and looked up piece by piece. Of pieces
+    not seen before, those that are no word are cut into words, and new words are encoded
+    together by the model of the tokenizer alone: they are in lower case and composed
+    already. Every other text goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+        ])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(size, dtype=bool)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[number] = token.endswith(WORD_END)
-        self.runs: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, runs: set[str]) -> None:
-        cut = {run: WORD_PATTERN.findall(run) for run in runs}
-        new = list({part for parts in cut.values() for part in parts if part not in self.parts})
-        for low in range(0, len(new), 4096):
-            some = new[low : low + 4096]
-            ids = self._ids(" ".join(some))
-            edges = np.flatnonzero(self.ends[ids]) + 1
-            if len(edges) != len(some):
-                raise ValueError("the tokenizer does not end every word")
-            for part, own in zip(some, np.split(ids, edges[:-1])):
-                self.parts[part] = own.tobytes()
-        parts = self.parts
-        for run, own in cut.items():
-            self.runs[run] = b"".join([parts[part] for part in own])
-
-    def _ids(self, text: str) -> np.ndarray:
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        text = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(text[0].ids, dtype="<u4")
+        edges = ((np.flatnonzero(self.ends[ids]) + 1) * ID_BYTES).tolist()
+        if len(edges) != len(words):
+            raise ValueError("the tokenizer does not end every word")
+        known, packed, low = self.known, ids.tobytes(), 0
+        for word, high in zip(words, edges):
+            known[word] = packed[low:high]
+            low = high
+
+    def _whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found[0].ids, dtype="<u4")
-
-    def encode(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return self._ids(text).tobytes()
-        found = text.lower().split()
-        if len(self.runs) > CACHE_ENTRIES:
-            self.runs = {}
-        if len(self.parts) > CACHE_ENTRIES:
-            self.parts = {}
-        runs = self.runs
-        new = {run for run in found if run not in runs}
-        if new:
-            self._learn(new)
-        return b"".join([runs[run] for run in found])
+        return np.array(found[0].ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts that together should be of moderate size: their pieces are held at once."""
+        if len(self.known) > CACHE_ENTRIES:
+            self.known = {}
+        known = self.known
+        usual = [not UNUSUAL.search(text) and SPECIAL not in text for text in texts]
+        cut = [text.lower().split() if plain else [] for text, plain in zip(texts, usual)]
+        new = {piece for found in cut for piece in found if piece not in known}
+        mixed = {piece: WORD_PATTERN.findall(piece) for piece in new if not piece.isalpha()}
+        words = {piece for piece in new if piece not in mixed}
+        words.update(word for found in mixed.values() for word in found if word not in known)
+        if words:
+            self._learn(list(words))
+        for piece, found in mixed.items():
+            known[piece] = b"".join([known[word] for word in found])
+        return [
+            b"".join(map(known.__getitem__, found)) if plain else self._whole(text)
+            for text, found, plain in zip(texts, cut, usual)
+        ]
 
 
 def token_pieces(docs: DataFrame, config: Packing) -> DataFrame:
@@ -112,14 +124,17 @@ def token_pieces(docs: DataFrame, config: Packing) -> DataFrame:
         encoder = state["encoder"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                for low in range(0, len(ids), step):
-                    own = ids[low : low + step]
-                    rows.append((
-                        doc_id, low // ID_BYTES, len(own) // ID_BYTES, zlib.crc32(own),
-                        len(ids) // ID_BYTES,
-                    ))
+            for part in slices(batch.column(1), GROUP_CHARS):
+                texts = batch.column(1)[part.low : part.high].to_pylist()
+                encoded = encoder.encode([text or "" for text in texts])
+                for doc_id, ids in zip(batch.column(0)[part.low : part.high].to_pylist(), encoded):
+                    ids += end
+                    for low in range(0, len(ids), step):
+                        own = ids[low : low + step]
+                        rows.append((
+                            doc_id, low // ID_BYTES, len(own) // ID_BYTES, zlib.crc32(own),
+                            len(ids) // ID_BYTES,
+                        ))
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns],

@@ -10,6 +10,7 @@ from casemesh.llm.decontaminate import contaminated
 from casemesh.llm.disclosure import KINDS, disclosure_spans, span_list
 from casemesh.llm.host_rules import apply_host_rules
 from casemesh.llm.language_id import fit, language_table
+from casemesh.llm.line_dedup import line_components
 from casemesh.llm.near_dedup import NearDedup, near_duplicates
 from casemesh.llm.packing import Packing, pack
 from casemesh.llm.quality import fit_quality, predict_quality
@@ -46,6 +47,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(table(spark, sf_dir, "documents"))
+
+
 def op4_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure_spans(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minimum_bin_slack_packing": op1_minimum_bin_slack_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
     "op4_disclosure_sanitisation": op4_disclosure_sanitisation,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
