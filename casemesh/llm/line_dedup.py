@@ -12,11 +12,13 @@ similarity of their sets of shingles.
    lines agree in a band as often as in that many values of a MinHash signature. Lines with
    few shingles use a band behind each of them; then two lines that are similar enough
    always share one, as their differences leave a gap of ``rows``.
-3. In each band the lines are linked to its first line, and the links are verified on the
-   full sets of shingles. Lines found different are compared with the first of those
-   that are left, as long as any are.
+3. In each band the lines are compared with its most central one, the line that agrees with
+   others most often over all bands, on their full sets of shingles. No link may be lost to
+   that: lines that are not in the component of their center are compared with all others
+   of that center in blocks of bounded size, where each line is linked to the smallest
+   other component it finds, until no line finds any.
 4. Links join into components by large-star and small-star rounds. The first line of each
-   component stays.
+   component, by document and line, stays.
 
 Defined cases: null texts have no lines; blank lines are no duplicates and always stay; rows
 without id take no part and come back as they are; rows that repeat an id are one document;
@@ -29,6 +31,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from casemesh.operators.duplicates import duplicate_clusters
 from casemesh.session import materialize, materialize_counted
@@ -44,6 +47,7 @@ class LineDedup(NamedTuple):
     similarity: int = 80
     bands: int = 8
     rows: int = 4
+    block: int = 64
 
 
 def let(value: Column, body) -> Column:
@@ -107,19 +111,76 @@ def similar(left: Column, right: Column, similarity: int) -> Column:
     return 100 * common >= similarity * (F.size(left) + F.size(right) - common)
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """``a, b``: each line of a band with the first line of the band."""
-    first = members.groupBy("band").agg(F.min("line").alias("b"), F.max("line").alias("z"))
-    shared = materialize(first.where("b < z").select("band", "b"), "line-buckets")
-    return members.join(shared, "band").where("line > b").select(F.col("line").alias("a"), "b")
+def _centers(members: DataFrame) -> DataFrame:
+    """``a, b``: each line that shares a band with others, with the center of the band."""
+    same = Window.partitionBy("band")
+    sized = members.withColumn("lines", F.count(F.lit(1)).over(same)).where("lines > 1")
+    shared = materialize(sized, "line-shared")
+    degree = shared.groupBy("line").agg(F.sum("lines").alias("degree"))
+    rank = F.struct(F.col("degree"), F.col("line"))
+    centers = shared.join(degree, "line").groupBy("band").agg(F.max_by("line", rank).alias("b"))
+    return (
+        shared.join(materialize(centers, "line-centers"), "band")
+        .where("line <> b")
+        .select(F.col("line").alias("a"), "b")
+        .distinct()
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, config: LineDedup) -> DataFrame:
-    """``a, b, similar`` for every pair of line numbers."""
+    """The pairs ``a, b`` that are similar."""
     left = sets.select(F.col("line").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("line").alias("b"), F.col("shingles").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", similar(F.col("left"), F.col("right"), config.similarity).alias("similar"))
+    alike = similar(F.col("left"), F.col("right"), config.similarity)
+    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+
+
+def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: LineDedup) -> DataFrame:
+    """Links ``a, b`` of lines to the smallest other component with a similar line."""
+
+    def owned(rows: DataFrame, key: str) -> DataFrame:
+        named = components.select(F.col("id").alias(key), F.col("cluster").alias(f"of_{key}"))
+        return rows.join(named, key, "left").withColumn(f"of_{key}", F.coalesce(f"of_{key}", key))
+
+    members = materialize(
+        owned(owned(pairs, "a"), "b").select(
+            "b", "a", F.col("of_a").alias("component"), (F.col("of_a") != F.col("of_b")).alias("outside")
+        ),
+        "line-members",
+    )
+    outside = F.sum(F.col("outside").cast("long"))
+    sizes = (
+        members.groupBy("b")
+        .agg(outside.alias("out"), F.count(F.lit(1)).alias("all"))
+        .where((F.col("out") > 0) & (F.col("all") > 1))
+    )
+    count = F.when(F.col("outside"), F.col("out")).otherwise(F.col("all") - F.col("out"))
+    dealt = (
+        members.join(materialize(sizes, "line-split"), "b")
+        .withColumn("block", F.pmod(F.xxhash64("a"), F.ceil(count / config.block)).cast("int"))
+        .withColumn("last", (F.ceil(F.col("out") / config.block) - 1).cast("int"))
+        .join(sets.withColumnRenamed("line", "a"), "a")
+        .groupBy("b", "outside", "block", "last")
+        .agg(F.collect_list(F.struct("component", "a", "shingles")).alias("own"))
+    )
+    blocks = materialize(dealt, "line-blocks")
+    # Blocks outside meet each other once, and every block inside.
+    first = F.when(F.col("outside"), F.col("block")).otherwise(F.lit(0))
+    left = blocks.select("b", F.explode(F.sequence(first, "last")).alias("other"), F.col("own").alias("left"))
+    right = blocks.where("outside").select("b", F.col("block").alias("other"), F.col("own").alias("right"))
+
+    def smallest(x: Column) -> Column:
+        def fits(y: Column) -> Column:
+            one, two = F.size(x["shingles"]), F.size(y["shingles"])
+            sized = 100 * F.least(one, two) >= config.similarity * F.greatest(one, two)
+            alike = similar(x["shingles"], y["shingles"], config.similarity)
+            return (x["component"] != y["component"]) & sized & alike
+
+        found = F.transform(F.filter("right", fits), lambda y: F.struct(y["component"], y["a"].alias("b")))
+        return F.struct(x["a"].alias("a"), F.array_min(found)["b"].alias("b"))
+
+    linked = left.join(right, ["b", "other"]).select(F.explode(F.transform("left", smallest)).alias("l"))
+    return linked.where("l.b IS NOT NULL").select("l.a", "l.b")
 
 
 def line_components(docs: DataFrame, config: LineDedup = LineDedup()) -> DataFrame:
@@ -128,53 +189,37 @@ def line_components(docs: DataFrame, config: LineDedup = LineDedup()) -> DataFra
     ``first_doc`` and ``first_line`` name the line that stays for the component.
     """
     keyed = materialize(keyed_lines(docs), "line-keys")
-    place = F.struct("doc_id", "line_no")
-    firsts = keyed.groupBy("k1", "k2").agg(F.min(place).alias("first"))
-    # A line is named by a hash of its text: the first in order is only known by its place.
     firsts = materialize(
-        firsts.select(F.col("k1").alias("line"), "k2", "first.doc_id", "first.line_no"), "line-firsts"
-    )
-    text = lines_of(docs)
-    members = materialize(
-        text.select(
-            F.xxhash64("line").alias("line"),
-            F.explode(band_hashes(F.col("line"), config)).alias("band"),
-        ).distinct(),
-        "line-bands",
-    )
-    links = None
-    pairs, seen = materialize_counted(_stars(members).distinct(), "line-pairs")
-    named = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
-    sets = materialize(
-        text.select(F.xxhash64("line").alias("line"), F.col("line").alias("own"))
-        .join(named.distinct(), "line", "left_semi")
-        .dropDuplicates(["line"])
-        .select("line", shingle_hashes(F.col("own"), config).alias("shingles")),
-        "line-sets",
+        keyed.groupBy("k1", "k2")
+        .agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+        .select(F.col("k1").alias("line"), "k2", "first.doc_id", "first.line_no"),
+        "line-firsts",
     )
-    while seen["rows"]:
-        checked = materialize(_verified(pairs, sets, config), "line-checked")
-        found = checked.where("similar").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        # What was not like the first line of its band is compared among itself.
-        wrong = checked.where("NOT similar").select("a", "b")
-        firsts_of = _stars_of(members)
-        left = members.join(firsts_of, "band").join(
-            wrong, (F.col("line") == F.col("a")) & (F.col("first") == F.col("b")), "left_semi"
+    text = lines_of(docs).select(F.xxhash64("line").alias("line"), F.col("line").alias("own"))
+    bands = F.explode(band_hashes(F.col("own"), config)).alias("band")
+    # Equal lines are collapsed in each task before the shuffle.
+    members = text.select("line", bands).distinct()
+    pairs, seen = materialize_counted(_centers(members), "line-pairs")
+    components = firsts.select(F.col("line").alias("id"), F.col("line").alias("cluster"))
+    if seen["rows"]:
+        named = pairs.select(F.col("a").alias("line")).unionByName(
+            pairs.select(F.col("b").alias("line"))
+        )
+        sets = materialize(
+            text.join(named.distinct(), "line", "left_semi")
+            .select("line", shingle_hashes(F.col("own"), config).alias("shingles"))
+            .groupBy("line")
+            .agg(F.first("shingles").alias("shingles")),
+            "line-sets",
         )
-        members = materialize(left.select("line", "band"), "line-bands-left")
-        pairs, seen = materialize_counted(_stars(members).distinct(), "line-pairs")
-    if links is None:
-        components = firsts.select(F.col("line").alias("id"), F.col("line").alias("cluster"))
-    else:
-        components = materialize(duplicate_clusters(links), "line-components")
+        links, seen = materialize_counted(_verified(pairs, sets, config), "line-links")
+        while seen["rows"]:
+            components = materialize(duplicate_clusters(links), "line-components")
+            more, seen = materialize_counted(_across(pairs, components, sets, config), "line-more")
+            links = links.unionByName(more)
     return _named(keyed, firsts, components)
 
 
-def _stars_of(members: DataFrame) -> DataFrame:
-    return members.groupBy("band").agg(F.min("line").alias("first"))
-
-
 def _named(keyed: DataFrame, firsts: DataFrame, components: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "line_no")
     grouped = firsts.join(
