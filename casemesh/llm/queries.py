@@ -119,5 +119,3 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
 }
-
-ORACLE_SQL: dict[str, str] = {}
