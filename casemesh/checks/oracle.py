@@ -162,6 +162,17 @@ SELECT vec_id, rank, id, label, round(distance, 4) AS distance FROM nearest"""
 
 SIMILAR_TOPK = _topk(2)
 SIMILAR_TOPK_COSINE = _topk(3, "cosine")
+SIMILAR_TOPK_REPEATED = """
+WITH compared AS (
+  SELECT q.vec_id AS asked, q.label, e.vec_id AS id,
+    round(pow(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 2), 9) AS d
+  FROM embeddings q, embeddings e),
+nearest AS (
+  SELECT *, row_number() OVER (PARTITION BY asked ORDER BY d, id) AS rank
+  FROM compared QUALIFY rank <= 2)
+SELECT way, label::BIGINT AS label, rank, id, round(d, 4) AS distance
+FROM nearest, (VALUES ('broadcast'), ('cells')) AS t(way)
+"""
 
 TRIAGE_GATE = f"""
 WITH {_nearest(1, 'l2sq', 'id')},
@@ -269,7 +280,7 @@ WITH all_texts AS (
   SELECT 'D' || doc_id AS id, doc_id, NULL AS complaint_id, text FROM documents
   UNION ALL
   SELECT 'C' || conv_id || '-' || turn, NULL, conv_id || '-' || turn, text
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 fitted AS (SELECT id FROM all_texts WHERE doc_id IS NOT NULL),
 {HASHED},
 compared AS (
@@ -386,12 +397,14 @@ ORACLE_SQL = {
     "modality_file_first": MODALITY_FILE_FIRST,
     "modality_flag": MODALITY_FLAG,
     "history_clean": HISTORY_CLEAN,
+    "history_clean_ranges": HISTORY_CLEAN,
     "history_csv": HISTORY_CSV,
     "holdout_split": HOLDOUT_SPLIT,
     "index_upsert": INDEX_UPSERT,
     "similar_topk": SIMILAR_TOPK,
     "similar_topk_cosine": SIMILAR_TOPK_COSINE,
     "similar_topk_cells": SIMILAR_TOPK,
+    "similar_topk_repeated": SIMILAR_TOPK_REPEATED,
     "triage_gate": TRIAGE_GATE,
     "match_report": MATCH_REPORT,
     "text_features": TEXT_FEATURES,

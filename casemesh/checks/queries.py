@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from casemesh.checks.inputs import table
 from casemesh.functions import text as tx
 from casemesh.functions.hashing import md5_bucket
 from casemesh.operators import duplicates, evaluate, features, learn, modality, report, rules
-from casemesh.operators.clean import clean_history, with_position_id
+from casemesh.operators.clean import ROWS_PER_RANGE, clean_history, with_position_id
 from casemesh.operators.neighbours import Layout, k_nearest, with_payload
 from casemesh.plans import training
 from casemesh.plans.lookup import similar_text
@@ -67,11 +66,12 @@ def q_media_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_media_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """French documents are the transcripts of the pages with their number."""
+    """Documents are the transcripts of the pages with their number; only French ones could
+    be transcribed."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("media_path"))
-    documents = table(spark, sf_dir, "documents").where(F.col("lang") == "fr")
+    documents = table(spark, sf_dir, "documents")
     transcripts = pages.join(documents, pages["page_id"] == documents["doc_id"]).select(
-        "media_path", F.col("text").alias("transcript")
+        "media_path", F.when(F.col("lang") == "fr", F.col("text")).alias("transcript")
     )
     joined = modality.with_transcripts(pages, transcripts, inputs.check_media_rules())
     return joined.select("page_id", "media_text")
@@ -99,7 +99,7 @@ def q_modality_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- history and index -------------------------------------------------------------
 
 
-def q_history_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history_clean(spark: SparkSession, sf_dir: str, rows_per_range: int) -> DataFrame:
     """Unlabelled documents count as rows without text."""
     labelled = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels"), "doc_id", "left"
@@ -111,14 +111,26 @@ def q_history_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_chars") / 1000.0).alias("eta"),
     )
     cleaned = clean_history(raw)
-    return with_position_id(cleaned, "doc_id").select("id", "doc_id", "lang", "eta_days")
+    return with_position_id(cleaned, "doc_id", rows_per_range=rows_per_range).select(
+        "id", "doc_id", "lang", "eta_days"
+    )
+
+
+def q_history_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One range on small tables."""
+    return _history_clean(spark, sf_dir, ROWS_PER_RANGE)
+
+
+def q_history_clean_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many ranges on all but the smallest tables."""
+    return _history_clean(spark, sf_dir, 40)
 
 
 def q_history_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History written as CSV, line breaks and quotes included, and read back."""
     path = scratch_path(spark, "history-csv")
     history_csv.write_history(inputs.history(spark, sf_dir), path)
-    return history_csv.read_history(spark, path)
+    return history_csv.read_history(spark, path, multi_line=True)
 
 
 def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,26 +203,37 @@ def q_similar_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk_columns(_labelled(spark, sf_dir, near))
 
 
-def _few_cells(spark, sf_dir) -> Layout:
-    """At least eight cells, also on tables that would fit one block."""
-    rows = table(spark, sf_dir, "embeddings").count()
-    return Layout(block_rows=min(Layout.block_rows, math.ceil(rows / 8)), broadcast_bytes=0)
+# Several cells on every table, however small.
+FEW_ROWS = Layout(block_rows=64, broadcast_bytes=0)
 
 
 def q_similar_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact join by way of cells and blocks."""
-    near = _nearest_vectors(spark, sf_dir, 2, layout=_few_cells(spark, sf_dir))
+    near = _nearest_vectors(spark, sf_dir, 2, layout=FEW_ROWS)
     return _topk_columns(_labelled(spark, sf_dir, near))
 
 
 def q_recall_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What looking into three cells finds of the exact ten nearest."""
-    layout = _few_cells(spark, sf_dir)
     exact = _nearest_vectors(spark, sf_dir, 10)
-    probed = _nearest_vectors(spark, sf_dir, 10, layout=layout, nprobe=3)
+    probed = _nearest_vectors(spark, sf_dir, 10, layout=FEW_ROWS, nprobe=3)
     return evaluate.recall_against(exact, probed, "vec_id")
 
 
+def q_similar_topk_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as query ids, so that every id repeats; through broadcast and through cells."""
+    vectors = table(spark, sf_dir, "embeddings")
+    ways = [("broadcast", Layout()), ("cells", FEW_ROWS)]
+    found = [
+        k_nearest(vectors, vectors, 2, query_id="label", index_id="vec_id", layout=layout).select(
+            F.lit(way).alias("way"), F.col("label").cast("long").alias("label"),
+            F.col("rank").cast("long").alias("rank"), "id", F.round("distance", 4).alias("distance"),
+        )
+        for way, layout in ways
+    ]
+    return found[0].unionByName(found[1])
+
+
 def q_triage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate with the other vectors as index, and with an empty one."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -244,7 +267,7 @@ def q_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("complaint_text")
     )
-    _, vectors = features.fit_featurize(documents)
+    _, vectors = features.fit_featurize(documents, keep_text=False)
     weights = features.as_array(F.col("features"))
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)
     return vectors.select(
@@ -255,13 +278,13 @@ def q_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_similar_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What users say in conversations, looked up among the documents."""
+    """What is said in conversations, looked up among the documents."""
     text = F.col("text").alias("complaint_text")
     documents = table(spark, sf_dir, "documents").select("doc_id", text)
-    spoken = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
+    spoken = table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("complaint_id"), text
     )
-    model, featured = features.fit_featurize(documents)
+    model, featured = features.fit_featurize(documents, keep_text=False)
     vector = features.as_array(F.col("features")).alias("embedding")
     index = materialize(featured.select("doc_id", vector), "text-vectors")
     near = similar_text(spoken, index, model, 2, index_id="doc_id")

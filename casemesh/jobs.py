@@ -27,8 +27,10 @@ from casemesh.sources.tables import read_table
 from casemesh.streaming.triage_stream import triage_stream
 
 
-def _history(spark: SparkSession, path: str) -> DataFrame:
-    return read_history(spark, path) if path.endswith(".csv") else read_table(spark, path)
+def _history(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    if path.endswith(".csv"):
+        return read_history(spark, path, multi_line)
+    return read_table(spark, path)
 
 
 def _rules(spark: SparkSession, path: str | None):
@@ -38,7 +40,7 @@ def _rules(spark: SparkSession, path: str | None):
 def run_train(spark: SparkSession, args) -> dict:
     """Models to ``--models``, labelled cases to ``--index``; scores with ``--holdout``."""
     settings = ForestSettings(num_trees=args.trees, max_depth=args.depth)
-    run = train(_history(spark, args.history), settings, args.holdout, args.models)
+    run = train(_history(spark, args.history, args.multi_line), settings, args.holdout, args.models)
     return {"indexed": index_history(index_entries(run.features), args.index), **run.metrics}
 
 
@@ -88,6 +90,7 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--trees", type=int, default=ForestSettings.num_trees)
             job.add_argument("--depth", type=int, default=ForestSettings.max_depth)
             job.add_argument("--holdout", action="store_true")
+            job.add_argument("--multi-line", action="store_true", help="line breaks in CSV quotes")
         else:
             job.add_argument("--k", type=int, default=2)
         if name in ("triage", "stream"):

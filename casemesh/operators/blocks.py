@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Distances are compared at this resolution, so that the order of summation inside a
 # matrix product cannot change which of two equally near cases comes first.
@@ -30,6 +31,11 @@ def matrix_of(column, metric: str, side: str) -> np.ndarray:
     rows = len(column)
     if rows == 0:
         return np.zeros((0, 1))
+    widths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(widths) > 1 or None in widths:
+        raise ValueError(f"vectors must have one width, found {sorted(map(str, widths))}")
+    if column.flatten().null_count:
+        raise ValueError("vectors must not hold nulls")
     matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     matrix = matrix.reshape(rows, -1)
     if metric == "cosine":
@@ -74,14 +80,13 @@ def _exact(queries, points, query, entry, metric: str) -> np.ndarray:
 
 
 def _within(queries: np.ndarray, prepared, limit: float, metric: str):
-    """For a strip of queries: the squared distances less the queries' own squared lengths,
-    and which of them are, at the stated resolution, within the limit."""
+    """For a strip of queries: which entries are, at the stated resolution, within the limit."""
     turned, squares = prepared
     partial = queries @ turned
     partial += squares
     own = (queries * queries).sum(axis=1)
     reach = (limit + 0.5 * 10.0**-DECIMALS) * _scale(metric) - own
-    return partial, own, partial <= reach[:, None]
+    return partial <= reach[:, None]
 
 
 def _single_ids(block: pa.Table):
@@ -90,14 +95,18 @@ def _single_ids(block: pa.Table):
 
 
 def k_nearest_in_block(metric: str, k: int, exclude_self: bool):
-    """Compares one slice with one block; emits the k best of each query, already ranked."""
+    """Compares one slice with one block; emits the k best of each query, already ranked.
+
+    Queries are known by ``qkey`` where they have one, so that ids may repeat.
+    """
     depth = k + 1 if exclude_self else k
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        qid_type = left.schema.field("qid").type
+        carried = [name for name in ("qkey", "qid") if name in left.schema.names]
         id_type = right.schema.field("ids").type.value_type
         schema = pa.schema(
-            [("qid", qid_type), ("rank", pa.int32()), ("id", id_type), ("distance", pa.float64())]
+            [(name, left.schema.field(name).type) for name in carried]
+            + [("rank", pa.int32()), ("id", id_type), ("distance", pa.float64())]
         )
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
@@ -113,6 +122,7 @@ def k_nearest_in_block(metric: str, k: int, exclude_self: bool):
         points = matrix_of(right["vec"], metric, "index")[entries]
         starts, counts = offsets[:-1][entries], np.diff(offsets)[entries]
         qids = left["qid"].combine_chunks()
+        keys = [left[name].combine_chunks() for name in carried]
         queries = matrix_of(left["vec"], metric, "query")
 
         turned, squares = _prepared(points)
@@ -127,7 +137,11 @@ def k_nearest_in_block(metric: str, k: int, exclude_self: bool):
             for _ in range(min(depth, len(points))):
                 best = near.argmin(axis=1)
                 parts.append((rows + strip.start, best))
+                last = near[rows, best]
                 near[rows, best] = np.inf
+            # The product rounds: what lies within two steps of the last one is compared too.
+            close, entry = np.nonzero(near <= (last + 2 * GRID)[:, None])
+            parts.append((close + strip.start, entry))
         query, entry = (np.concatenate(column) for column in zip(*parts))
         distance = _exact(queries, points, query, entry, metric)
 
@@ -147,7 +161,7 @@ def k_nearest_in_block(metric: str, k: int, exclude_self: bool):
         keep = rank <= k
         return pa.table(
             [
-                qids.take(pa.array(query[keep])),
+                *[key.take(pa.array(query[keep])) for key in keys],
                 pa.array(rank[keep].astype(np.int32)),
                 flat.take(pa.array(flat_at[keep])),
                 pa.array(distance[keep]),
@@ -172,13 +186,11 @@ def pairs_in_block(metric: str, limit: float):
         prepared = _prepared(points)
         parts = []
         for strip in strips_of(len(queries), len(points)):
-            partial, own, near = _within(queries[strip], prepared, limit, metric)
+            near = _within(queries[strip], prepared, limit, metric)
             rows, cols = np.nonzero(near)
             forward = a[rows + strip.start] < b[cols]
-            rows, cols = rows[forward], cols[forward]
-            square = np.maximum(partial[rows, cols] + own[rows], 0.0)
-            distance = np.round(square / _scale(metric), DECIMALS)
-            parts.append((rows + strip.start, cols, distance))
+            rows, cols = rows[forward] + strip.start, cols[forward]
+            parts.append((rows, cols, _exact(queries, points, rows, cols, metric)))
         rows, cols, distance = (np.concatenate(column) for column in zip(*parts))
         return pa.table(
             [
@@ -212,7 +224,7 @@ def links_in_block(metric: str, limit: float):
         prepared = _prepared(points)
         ends = []
         for strip in strips_of(len(queries), len(points)):
-            rows, cols = np.nonzero(_within(queries[strip], prepared, limit, metric)[2])
+            rows, cols = np.nonzero(_within(queries[strip], prepared, limit, metric))
             ends.append((of_a[rows + strip.start], of_b[cols]))
         one, other = (np.concatenate(column) for column in zip(*ends))
         group = np.arange(len(names))

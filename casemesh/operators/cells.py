@@ -82,7 +82,11 @@ def _choose_pivots(index: DataFrame, rows: int, metric: str, layout: Layout) ->
     width = index.select(F.size("vec")).first()[0]
     cells = min(math.ceil(rows / layout.block_rows), PIVOT_BYTES // (8 * max(width, 1)))
     cells = max(1, min(cells, layout.max_cells))
-    chosen = index.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").toArrow()["vec"]
+    # A hash threshold leaves about twice as many rows as are needed, and only they are ordered.
+    scale = 1 << 40
+    share = min(1.0, (2 * cells + 100) / rows)
+    few = index.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < int(scale * share))
+    chosen = few.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").toArrow()["vec"]
     return np.unique(matrix_of(chosen, metric, "index"), axis=0)
 
 
@@ -180,7 +184,8 @@ def candidate_cells(
     ``bound``, else what the cell radii alone guarantee for ``need`` entries. A cell is
     left out only when even its nearest possible point, by its radii or by the plane
     between the two pivots, is further away. With ``nprobe``
-    the nearest that many cells are taken instead.
+    the nearest that many cells are taken instead, and more where they hold fewer than
+    ``need`` entries.
     """
     pivots = queries.sparkSession.sparkContext.broadcast(cells.pivots[cells.stats["cell"]])
     metric = cells.metric
@@ -205,8 +210,9 @@ def candidate_cells(
     def choose(batches):
         for batch, to_pivot in _by_strips(batches, pivots.value, metric, "query"):
             if nprobe is not None:
-                near = np.argsort(to_pivot, axis=1, kind="stable")[:, :nprobe]
-                lists = [ids[row] for row in near]
+                near = np.argsort(to_pivot, axis=1, kind="stable")
+                enough = (np.cumsum(sizes[near], axis=1) < need).sum(axis=1) + 1
+                lists = [ids[row[: max(nprobe, n)]] for row, n in zip(near, enough)]
             else:
                 gap = np.maximum(to_pivot - high, low - to_pivot)
                 np.maximum(gap, _beyond_planes(to_pivot, pivots.value), out=gap)
@@ -280,7 +286,7 @@ def compare_visits(visits: DataFrame, cells: CellIndex, compare, schema: str) ->
         load = F.broadcast(load)
     blocks = (
         cells.entries.join(_block_counts(cells), "cell")
-        .withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int"))
         .drop("blocks", "radius")
     )
     left = (
@@ -295,7 +301,8 @@ def compare_visits(visits: DataFrame, cells: CellIndex, compare, schema: str) ->
     )
     key = ["cell", "block", "salt"]
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(2 * (seen["groups"] or 1), 16 * shuffle))
+    groups = seen["groups"] or 1
+    tasks = max(1, min(2 * groups, 16 * shuffle), groups // 8)
     return (
         left.repartition(tasks, *key)
         .groupBy(*key)

@@ -17,6 +17,11 @@ def word_key(text):
     return F.sha2(F.array_join(words, " "), 256)
 
 
+def has_words(text):
+    """Texts without any word are nobody's copy and near to nothing."""
+    return F.coalesce(F.regexp_like(text, F.lit(TOKEN_PATTERN)), F.lit(False))
+
+
 def split_copies(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """``(firsts, copies)``: the smallest id of every text, and a link ``a, b`` per other id.
 
@@ -25,7 +30,7 @@ def split_copies(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     before the shuffle, and the join back to them spreads a text many rows share.
     """
     keyed, seen = materialize_counted(
-        df.where(F.col(text_col).isNotNull()).select(
+        df.where(has_words(F.col(text_col))).select(
             F.col(id_col).alias("b"), word_key(F.col(text_col)).alias("key")
         ),
         "text-keys",
@@ -43,7 +48,7 @@ def _distinct_text_vectors(df, id_col, text_col):
     """
     firsts, copies = split_copies(df, id_col, text_col)
     texts = df.select(id_col, F.col(text_col).alias("complaint_text"))
-    _, featured = fit_featurize(texts)
+    _, featured = fit_featurize(texts, keep_text=False)
     vectors = featured.select(id_col, as_array(F.col("features")).alias("embedding"))
     return materialize(vectors.join(firsts, id_col, "left_semi"), "text-vectors"), copies
 
@@ -55,8 +60,12 @@ def duplicate_pairs(
     text_col: str = "complaint_text",
     layout: Layout = Layout(),
 ) -> DataFrame:
-    """``a, b, similarity``: copies as links to their first, and every pair of different
-    texts whose cosine is at least ``threshold``."""
+    """``a, b, similarity``: each copy of a text with the first of them, and every pair of
+    such firsts whose cosine is at least ``threshold``.
+
+    Two copies of one text, and a near copy of a first with that first's copies, are paired
+    by way of the first only. Texts without words are in no pair.
+    """
     vectors, copies = _distinct_text_vectors(df, id_col, text_col)
     near = pairs_within(vectors, 1.0 - threshold, id_col=id_col, metric="cosine", layout=layout)
     return near.select("a", "b", (1.0 - F.col("distance")).alias("similarity")).unionByName(

@@ -42,16 +42,17 @@ def fit_text(df: DataFrame, text: str = "complaint_text", width: int = WIDTH) ->
 
 
 def fit_featurize(
-    df: DataFrame, text: str = "complaint_text", width: int = WIDTH
+    df: DataFrame, text: str = "complaint_text", width: int = WIDTH, keep_text: bool = True
 ) -> tuple[PipelineModel, DataFrame]:
     """Fits the text pipeline on ``df`` and adds its ``features``, reading the text once.
 
     The hashed counts, which are small beside the text, are written between the pass that
-    makes them and the two that use them.
+    makes them and the two that use them; the text itself only with ``keep_text``.
     """
     tokenizer, hasher, idf, normalizer = text_pipeline(text, width=width).getStages()
     counts = hasher.transform(tokenizer.transform(df.where(F.col(text).isNotNull())))
-    table = materialize(counts.drop("_tokens"), "term-counts")
+    unused = ["_tokens"] if keep_text else ["_tokens", text]
+    table = materialize(counts.drop(*unused), "term-counts")
     weigher = idf.fit(table)
     model = PipelineModel(stages=[tokenizer, hasher, weigher, normalizer])
     return model, normalizer.transform(weigher.transform(table)).drop("_counts", "_weighted")

@@ -23,7 +23,7 @@ from casemesh.operators.blocks import (
 )
 from casemesh.operators.cells import CellIndex, Layout
 from casemesh.operators.joins import join_unique
-from casemesh.session import materialize_counted
+from casemesh.session import materialize, materialize_counted
 
 METRICS = ("l2sq", "cosine")
 BYTES_PER_NUMBER = 8
@@ -35,11 +35,11 @@ def _vectors(df: DataFrame, key: str, vec: str, alias: str) -> DataFrame:
     )
 
 
-def _fits_broadcast(index: DataFrame, rows: int, layout: Layout) -> bool:
-    """Whether all of ``index`` is within ``layout.broadcast_bytes``, counted as doubles."""
-    first = index.select(F.size("vec")).first() if rows else None
-    width = first[0] if first else 1
-    return rows * width * BYTES_PER_NUMBER <= layout.broadcast_bytes
+def _measure(index: DataFrame) -> tuple[int, int]:
+    """Rows of ``index`` (``id, vec``), and their bytes with vectors counted as doubles."""
+    size = F.sum(F.size("vec") * BYTES_PER_NUMBER + F.octet_length(F.col("id").cast("string")))
+    found = index.agg(F.count(F.lit(1)).alias("rows"), size.alias("bytes")).first()
+    return found["rows"], found["bytes"] or 0
 
 
 def _against_broadcast(
@@ -96,7 +96,7 @@ def k_nearest(
     """The k nearest index entries of every query: ``query_id, rank, id, distance``.
 
     Exact by default; ``nprobe`` looks only into that many nearest cells. Ties are broken
-    by ``index_id``. Query ids are unique. Both inputs may be read more than once: hand in
+    by ``index_id``. Each query row has its own answer, ids that repeat included. Both inputs may be read more than once: hand in
     tables, or ``materialize`` what is costly to derive.
     """
     if metric not in METRICS:
@@ -116,8 +116,8 @@ def k_nearest(
         right = _vectors(index, index_id, index_vec, "id")
         id_type = right.schema["id"].dataType.simpleString()
         schema = f"qid {qid_type}, rank int, id {id_type}, distance double"
-        rows = right.count()
-        if nprobe is None and _fits_broadcast(right, rows, layout):
+        rows, size = _measure(right)
+        if nprobe is None and size <= layout.broadcast_bytes:
             single = right.select(F.array("id").alias("ids"), "vec")
             found = _against_broadcast(left, single, compare, schema, layout, max(rows, 1))
         elif rows == 0:
@@ -129,13 +129,16 @@ def k_nearest(
 
 
 def _through_cells(left, cells: CellIndex, k, depth, nprobe, compare, schema) -> DataFrame:
+    # Rows are told apart by a number of their own; it is written, as two passes use it.
+    left = materialize(left.withColumn("qkey", F.monotonically_increasing_id()), "query-rows")
+    schema = f"qkey long, {schema}"
     if nprobe is None:
         left = _with_bound(left, cells, k, compare, schema)
     candidates = ce.candidate_cells(left, cells, depth, nprobe)
     partial = ce.compare_visits(ce.all_visits(candidates, cells), cells, compare, schema)
-    ranked = Window.partitionBy("qid").orderBy("distance", "id")
+    ranked = Window.partitionBy("qkey").orderBy("distance", "id")
     merged = partial.withColumn("rank", F.row_number().over(ranked))
-    return merged.where(F.col("rank") <= k)
+    return merged.where(F.col("rank") <= k).drop("qkey")
 
 
 def _with_bound(queries: DataFrame, cells: CellIndex, k: int, compare, schema: str) -> DataFrame:
@@ -148,9 +151,9 @@ def _with_bound(queries: DataFrame, cells: CellIndex, k: int, compare, schema: s
     seen = ce.compare_visits(ce.home_visit(home, cells), cells, compare, schema)
     scale = 2.0 if cells.metric == "cosine" else 1.0
     bound = seen.where(F.col("rank") == k).select(
-        "qid", F.sqrt(F.col("distance") * scale).alias("bound")
+        "qkey", F.sqrt(F.col("distance") * scale).alias("bound")
     )
-    return queries.join(bound, "qid", "left")
+    return queries.join(bound, "qkey", "left")
 
 
 # --- within a radius ---------------------------------------------------------------
@@ -159,8 +162,8 @@ def _with_bound(queries: DataFrame, cells: CellIndex, k: int, compare, schema: s
 def _self_join(df, id_col, vec_col, metric, limit, layout, compare, schema) -> DataFrame:
     left = _vectors(df, id_col, vec_col, "qid")
     right = _vectors(df, id_col, vec_col, "id")
-    rows = right.count()
-    if _fits_broadcast(right, rows, layout):
+    rows, size = _measure(right)
+    if size <= layout.broadcast_bytes:
         single = right.select(F.array("id").alias("ids"), "vec")
         return _against_broadcast(left, single, compare, schema, layout, layout.block_rows)
     cells = ce.build_cells(right, rows, metric, None, layout)

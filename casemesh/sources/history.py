@@ -11,11 +11,11 @@ from casemesh.schemas import HISTORY
 ETA_NAMES = ("eta", "eta_days")
 
 
-def read_raw_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_raw_history(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """The CSV under its own header, typed by column name instead of by inference.
 
-    ``multi_line`` accepts line breaks inside quotes, at the price of one task per file;
-    turn it off for large files without them, which then split.
+    Files split, however large they are. ``multi_line`` accepts line breaks inside quotes,
+    at the price of one task per file.
     """
     csv = spark.read.option("header", True).option("escape", '"')
     csv = csv.option("multiLine", multi_line)
@@ -27,7 +27,7 @@ def read_raw_history(spark: SparkSession, path: str, multi_line: bool = True) ->
     return csv.option("enforceSchema", False).schema(T.StructType(fields)).csv(path)
 
 
-def read_history(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_history(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Cleaned history: no null text, and the days under ``eta_days``."""
     return clean_history(read_raw_history(spark, path, multi_line))
 

@@ -37,8 +37,8 @@ def test_csv_round_trip(spark, tmp_path):
     )
     path = str(tmp_path / "out")
     write_history(df, path)
-    assert {tuple(r) for r in read_raw_history(spark, path).collect()} == set(rows)
-    again = read_history(spark, path)
+    assert {tuple(r) for r in read_raw_history(spark, path, multi_line=True).collect()} == set(rows)
+    again = read_history(spark, path, multi_line=True)
     assert again.count() == len(rows) - 1 and again.dtypes[-1] == ("eta_days", "double")
 
 
@@ -101,3 +101,15 @@ def test_only_small_tables_are_spread(spark, tmp_path):
     wide = str(tmp_path / "w")
     spark.range(100).repartition(40).write.option("maxRecordsPerFile", 1).parquet(wide)
     assert "Repartition" not in read_table(spark, wide)._jdf.queryExecution().logical().toString()
+
+
+def test_position_ids_keep_rows_without_key(spark):
+    from casemesh.operators.clean import with_position_id
+
+    rows = [(k,) for k in (5, 1, 9, 3)] + [(None,)] * 6
+    df = spark.createDataFrame(rows, "key int")
+    for size in (1, 2, 1_000_000):
+        got = with_position_id(df, "key", rows_per_range=size).collect()
+        assert sorted(int(r["id"][3:]) for r in got) == list(range(10))
+        place = {r["key"]: int(r["id"][3:]) for r in got if r["key"] is not None}
+        assert place == {1: 6, 3: 7, 5: 8, 9: 9}

@@ -181,3 +181,38 @@ def test_join_on_a_hot_key_and_on_no_key(spark):
 def test_gate_percentile(spark):
     df = spark.range(1, 101).select((F.col("id") / 100).alias("distance"))
     assert distance_percentile(df, 0.9).first()["gate"] == 0.9
+
+
+@pytest.mark.parametrize("vectors", [[[1.0, 2.0], [1.0]], [[1.0, None], [1.0, 2.0]]])
+def test_ragged_vectors_are_refused(vectors):
+    import pyarrow as pa
+
+    from casemesh.operators.blocks import matrix_of
+
+    with pytest.raises(ValueError):
+        matrix_of(pa.array(vectors), "l2sq", "index")
+
+
+def test_repeated_query_ids_and_probing_return_k_rows_each(spark):
+    from casemesh.operators.neighbours import Layout, k_nearest
+
+    rows = [(n, [float(n), float(n % 7)]) for n in range(60)]
+    index = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = spark.createDataFrame(
+        [("a", [1.0, 1.0]), ("a", [50.0, 1.0]), ("a", [1.0, 1.0])], "qid string, embedding array<double>"
+    )
+    few = Layout(block_rows=4, broadcast_bytes=0)
+
+    def answers(**options):
+        found = k_nearest(queries, index, 3, query_id="qid", **options).collect()
+        return sorted((r["rank"], r["id"], r["distance"]) for r in found)
+
+    assert len(answers()) == 9 and answers() == answers(layout=few)
+    assert len(answers(layout=few, nprobe=1)) == 9
+
+
+def test_the_size_of_the_index_is_that_of_all_rows(spark):
+    from casemesh.operators.neighbours import _measure
+
+    df = spark.createDataFrame([("a", []), ("bcd", [1.0] * 100)], "id string, vec array<double>")
+    assert _measure(df) == (2, 804)
