@@ -1,8 +1,9 @@
 """Fuzzy duplicate lines: MinHash bands over character shingles, with column functions only.
 
 A line is its text between line ends, without blanks around it. Its shingles are the pieces
-of up to ``width`` characters that begin at a word or every ``step`` characters inside one,
-so an edit never moves the shingles of other words. Lines are compared by the Jaccard
+of up to ``width`` characters that begin at the line, at a word of more than ``short``
+characters, or every ``step`` characters inside one, so an edit never moves the shingles of
+words further on. Lines are compared by the Jaccard
 similarity of their sets of shingles.
 
 1. Equal lines are grouped by two hashes; the first in order of document and line stands
@@ -15,8 +16,8 @@ similarity of their sets of shingles.
 3. In each band the lines are compared with its most central one, the line that agrees with
    others most often over all bands, on their full sets of shingles. No link may be lost to
    that: lines that are not in the component of their center are compared with all others
-   of that center in blocks of bounded size, where each line is linked to the smallest
-   other component it finds, until no line finds any.
+   of that center in blocks of bounded size, and linked to one line of each other
+   component in which a similar one is found.
 4. Links join into components by large-star and small-star rounds. The first line of each
    component, by document and line, stays.
 
@@ -37,6 +38,7 @@ from casemesh.operators.duplicates import duplicate_clusters
 from casemesh.session import materialize, materialize_counted
 
 LINE_END = "\n"
+BLANKS = " \t\r\f\v"
 
 
 class LineDedup(NamedTuple):
@@ -44,6 +46,7 @@ class LineDedup(NamedTuple):
 
     width: int = 12
     step: int = 8
+    short: int = 3
     similarity: int = 80
     bands: int = 8
     rows: int = 4
@@ -61,14 +64,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return (
         docs.where("doc_id IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("doc_id"), cut)
-        .select("doc_id", "line_no", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("line"))
+        .select("doc_id", "line_no", F.trim("raw", F.lit(BLANKS)).alias("line"))
         .where("line <> ''")
     )
 
 
 def shingle_hashes(line: Column, config: LineDedup) -> Column:
     """The sorted hashes of the distinct shingles of a line."""
-    pattern = rf"(?s)(?=(.{{1,{config.width}}}))\S{{1,{config.step}}}\s*"
+    skipped = rf"(?:\S{{1,{config.short}}}\s+)*"
+    pattern = rf"(?s)(?=(.{{1,{config.width}}}))\S{{1,{config.step}}}\s*{skipped}"
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
@@ -136,7 +140,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, config: LineDedup) -> DataFrame
 
 
 def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: LineDedup) -> DataFrame:
-    """Links ``a, b`` of lines to the smallest other component with a similar line."""
+    """Links ``a, b`` of lines to a line of each other component with a similar one."""
 
     def owned(rows: DataFrame, key: str) -> DataFrame:
         named = components.select(F.col("id").alias(key), F.col("cluster").alias(f"of_{key}"))
@@ -169,18 +173,32 @@ def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: Li
     left = blocks.select("b", F.explode(F.sequence(first, "last")).alias("other"), F.col("own").alias("left"))
     right = blocks.where("outside").select("b", F.col("block").alias("other"), F.col("own").alias("right"))
 
-    def smallest(x: Column) -> Column:
+    def links(x: Column) -> Column:
         def fits(y: Column) -> Column:
             one, two = F.size(x["shingles"]), F.size(y["shingles"])
             sized = 100 * F.least(one, two) >= config.similarity * F.greatest(one, two)
             alike = similar(x["shingles"], y["shingles"], config.similarity)
             return (x["component"] != y["component"]) & sized & alike
 
-        found = F.transform(F.filter("right", fits), lambda y: F.struct(y["component"], y["a"].alias("b")))
-        return F.struct(x["a"].alias("a"), F.array_min(found)["b"].alias("b"))
+        # Of several lines of a component the first of the sorted ones is enough.
+        found = F.array_sort(
+            F.transform(F.filter("right", fits), lambda y: F.struct(y["component"], y["a"].alias("b")))
+        )
+        return let(
+            found,
+            lambda own: F.transform(
+                F.filter(
+                    own,
+                    lambda y, i: (i == 0) | (y["component"] != F.get(own, i - 1)["component"]),
+                ),
+                lambda y: F.struct(x["a"].alias("a"), y["b"].alias("b")),
+            ),
+        )
 
-    linked = left.join(right, ["b", "other"]).select(F.explode(F.transform("left", smallest)).alias("l"))
-    return linked.where("l.b IS NOT NULL").select("l.a", "l.b")
+    linked = left.join(right, ["b", "other"]).select(
+        F.explode(F.flatten(F.transform("left", links))).alias("l")
+    )
+    return linked.select("l.a", "l.b")
 
 
 def line_components(docs: DataFrame, config: LineDedup = LineDedup()) -> DataFrame:
@@ -212,11 +230,11 @@ def line_components(docs: DataFrame, config: LineDedup = LineDedup()) -> DataFra
             .agg(F.first("shingles").alias("shingles")),
             "line-sets",
         )
-        links, seen = materialize_counted(_verified(pairs, sets, config), "line-links")
-        while seen["rows"]:
-            components = materialize(duplicate_clusters(links), "line-components")
-            more, seen = materialize_counted(_across(pairs, components, sets, config), "line-more")
-            links = links.unionByName(more)
+        links = materialize(_verified(pairs, sets, config), "line-links")
+        components = materialize(duplicate_clusters(links), "line-components")
+        more, seen = materialize_counted(_across(pairs, components, sets, config), "line-more")
+        if seen["rows"]:
+            components = materialize(duplicate_clusters(links.unionByName(more)), "line-components")
     return _named(keyed, firsts, components)
 
 

@@ -4,7 +4,7 @@ import re
 from casemesh.llm.line_dedup import LineDedup, drop_duplicate_lines, line_components
 from helpers import clash, components, documents, similar_pairs
 
-SHINGLE = re.compile(r"(?=(.{1,12}))\S{1,8}\s*", re.S)
+SHINGLE = re.compile(r"(?=(.{1,12}))\S{1,8}\s*(?:\S{1,3}\s+)*", re.S)
 
 
 def expected(ids, texts, percent=80):
