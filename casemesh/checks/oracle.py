@@ -162,6 +162,12 @@ SELECT vec_id, rank, id, label, round(distance, 4) AS distance FROM nearest"""
 
 SIMILAR_TOPK = _topk(2)
 SIMILAR_TOPK_COSINE = _topk(3, "cosine")
+PREDICT_NAMED_VECTORS = """
+SELECT doc_id, 'Officer_' || lang AS officer,
+  CASE WHEN lang IN ('en', 'fr') THEN 'High' ELSE 'Low' END AS priority,
+  CASE lang WHEN 'en' THEN 1.5 WHEN 'de' THEN 2.25 ELSE 4.0 END::DOUBLE AS eta_days
+FROM documents
+"""
 SIMILAR_TOPK_REPEATED = """
 WITH compared AS (
   SELECT q.vec_id AS asked, q.label, e.vec_id AS id,
@@ -397,6 +403,8 @@ ORACLE_SQL = {
     "modality_file_first": MODALITY_FILE_FIRST,
     "modality_flag": MODALITY_FLAG,
     "history_clean": HISTORY_CLEAN,
+    "predict_named_vectors": PREDICT_NAMED_VECTORS,
+    "recall_all_cells": "SELECT 1.0::DOUBLE AS recall, 10 * count(*) AS n FROM embeddings",
     "history_clean_ranges": HISTORY_CLEAN,
     "history_csv": HISTORY_CSV,
     "holdout_split": HOLDOUT_SPLIT,

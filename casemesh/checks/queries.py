@@ -21,6 +21,7 @@ from casemesh.schemas import INDEX_ENTRY
 from casemesh.session import materialize, scratch_path, scratch_root
 from casemesh.sources import history as history_csv
 from casemesh.sources.index import index_history, load_index
+from casemesh.sources.models import load_models
 from casemesh.streaming.triage_stream import rules_stream, triage_stream
 
 DECISION = ["complaint_id", "status", "officer", "priority", "eta_label"]
@@ -374,6 +375,28 @@ def q_predict_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predict(spark, sf_dir, "eta", training.ETA, "eta_days")
 
 
+def q_predict_named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three forests over vectors that name the answer, which they must then give."""
+    path = scratch_path(spark, "named-models")
+    training.train(inputs.named_history(spark, sf_dir), learn.LIGHT, out=path)
+    models = load_models(spark, path)
+    documents = inputs.named_vectors(table(spark, sf_dir, "documents")).select("doc_id", "embedding")
+    scored = learn.predict(models.featurize(documents), models.officer, models.priority, models.eta)
+    return scored.select(
+        "doc_id",
+        F.col(training.OFFICER).alias("officer"),
+        F.col(training.PRIORITY).alias("priority"),
+        F.round(training.ETA, 6).alias("eta_days"),
+    )
+
+
+def q_recall_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probing that looks into every cell finds all."""
+    exact = _nearest_vectors(spark, sf_dir, 10)
+    probed = _nearest_vectors(spark, sf_dir, 10, layout=FEW_ROWS, nprobe=1 << 20)
+    return evaluate.recall_against(exact, probed, "vec_id")
+
+
 def _flat(result: DataFrame) -> DataFrame:
     """Plain columns only, so that results can be compared as rows."""
     return result.select(
