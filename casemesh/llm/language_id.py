@@ -121,24 +121,26 @@ def fit(docs: DataFrame, train_rows: int = 20_000, max_entries: int = 100_000) -
     return LanguageModel(languages, *kinds)
 
 
-def word_score(word: str, model: LanguageModel) -> np.ndarray:
-    row = model.words.get(word)
-    if row is not None:
-        return model.word_scores[row]
-    for size in range(min(LONGEST, len(word) + 2), 0, -1):
-        rows = [r for r in map(model.grams.get, grams_of(word, size)) if r is not None]
-        if rows:
-            return model.gram_scores[rows].mean(axis=0)
-    return np.zeros(len(model.languages), dtype=np.float32)
-
-
 class _Memo:
     """Scores of the words seen by this worker, started anew when it is full."""
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        # Few numbers per gram: plain tuples are quicker to average than small arrays.
+        scores = list(map(tuple, model.gram_scores.tolist()))
+        self.grams = {gram: scores[row] for gram, row in model.grams.items()}
         self.clear()
 
+    def word_score(self, word: str):
+        row = self.model.words.get(word)
+        if row is not None:
+            return self.model.word_scores[row]
+        for size in range(min(LONGEST, len(word) + 2), 0, -1):
+            rows = [r for r in map(self.grams.get, grams_of(word, size)) if r is not None]
+            if rows:
+                return [sum(column) / len(rows) for column in zip(*rows)]
+        return 0.0
+
     def clear(self):
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.model.languages)), dtype=np.float32)
@@ -150,7 +152,7 @@ class _Memo:
         for word in {word for word in found if word not in rows}:
             if len(rows) == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[len(rows)] = word_score(word, self.model)
+            self.table[len(rows)] = self.word_score(word)
             rows[word] = len(rows)
         return self.table[[rows[word] for word in found]].mean(axis=0, dtype=np.float64)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemesh.llm.boosting import Boosting, isotonic, train
-from casemesh.llm.language_id import fit, grams_of, language_table, word_score
+from casemesh.llm.language_id import _Memo, fit, grams_of, language_table
 from casemesh.llm.learning import bounded_sample
 from casemesh.llm.quality import fit_quality, predict_quality
 from casemesh.llm.statistics import NAMES, statistics
@@ -68,7 +68,7 @@ def test_unseen_words_back_off_to_the_longest_known_grams(corpus):
     longest = max(s for s in range(1, 6) if any(g in model.grams for g in grams_of(word, s)))
     rows = [model.grams[g] for g in grams_of(word, longest) if g in model.grams]
     assert word not in model.words and longest == 5
-    assert np.allclose(word_score(word, model), model.gram_scores[rows].mean(axis=0))
+    assert np.allclose(_Memo(model).word_score(word), model.gram_scores[rows].mean(axis=0))
 
 
 @pytest.mark.parametrize("kind", ["quality", "toxic"])
