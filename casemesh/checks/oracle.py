@@ -404,6 +404,9 @@ ORACLE_SQL = {
     "modality_flag": MODALITY_FLAG,
     "history_clean": HISTORY_CLEAN,
     "predict_named_vectors": PREDICT_NAMED_VECTORS,
+    "index_after_retraining": """
+        SELECT 'H' || doc_id AS complaint_id, 0.0::DOUBLE AS distance FROM documents JOIN labels USING (doc_id)
+    """,
     "recall_all_cells": "SELECT 1.0::DOUBLE AS recall, 10 * count(*) AS n FROM embeddings",
     "history_clean_ranges": HISTORY_CLEAN,
     "history_csv": HISTORY_CSV,

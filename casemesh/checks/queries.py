@@ -20,8 +20,8 @@ from casemesh.plans.triage import triage, triage_rules
 from casemesh.schemas import INDEX_ENTRY
 from casemesh.session import materialize, scratch_path, scratch_root
 from casemesh.sources import history as history_csv
-from casemesh.sources.index import index_history, load_index
-from casemesh.sources.models import load_models
+from casemesh.sources.index import index_entries, index_history, index_with_model, load_index
+from casemesh.sources.models import TriageModels, load_models
 from casemesh.streaming.triage_stream import rules_stream, triage_stream
 
 DECISION = ["complaint_id", "status", "officer", "priority", "eta_label"]
@@ -171,6 +171,19 @@ def q_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_index_after_retraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexed with a model of the good documents, then again with one of all: every stored
+    text finds itself."""
+    history = inputs.history(spark, sf_dir).withColumnRenamed("eta", "eta_days")
+    path = scratch_path(spark, "retrained-index")
+    for rows in (history.where(F.col("priority") == "Medium"), history):
+        model, featured = features.fit_featurize(rows)
+        mark = TriageModels(None, None, None, text=model)
+        index_with_model(index_entries(featured), path, mark.fingerprint(), mark.featurize)
+    near = similar_text(history.withColumnRenamed("id", "complaint_id"), load_index(spark, path), model, 1)
+    return near.select("complaint_id", F.round("distance", 4).alias("distance"))
+
+
 # --- similarity --------------------------------------------------------------------
 
 

@@ -20,8 +20,9 @@ from casemesh.plans.training import train
 from casemesh.plans.triage import triage
 from casemesh.schemas import REQUEST
 from casemesh.sources.history import read_history
-from casemesh.sources.index import index_entries, index_history, load_index
-from casemesh.sources.models import load_models
+from casemesh.session import scratch_scope
+from casemesh.sources.index import check_stamp, index_entries, index_with_model, load_index
+from casemesh.sources.models import TriageModels, load_models
 from casemesh.sources.results import write_results
 from casemesh.sources.tables import read_table
 from casemesh.streaming.triage_stream import triage_stream
@@ -41,32 +42,46 @@ def run_train(spark: SparkSession, args) -> dict:
     """Models to ``--models``, labelled cases to ``--index``; scores with ``--holdout``."""
     settings = ForestSettings(num_trees=args.trees, max_depth=args.depth)
     run = train(_history(spark, args.history, args.multi_line), settings, args.holdout, args.models)
-    return {"indexed": index_history(index_entries(run.features), args.index), **run.metrics}
+    models = run.models
+    added = index_with_model(
+        index_entries(run.features), args.index, models.fingerprint(), models.featurize
+    )
+    return {"indexed": added, **run.metrics}
+
+
+def _artifacts(spark: SparkSession, args) -> tuple[TriageModels, DataFrame]:
+    models = load_models(spark, args.models)
+    check_stamp(spark, args.index, models.fingerprint())
+    return models, load_index(spark, args.index)
 
 
 def run_triage(spark: SparkSession, args) -> dict:
     cascade = None if args.precedence != "text_first" else _rules(spark, args.rules)
+    models, index = _artifacts(spark, args)
     result = triage(
-        read_table(spark, args.requests), load_models(spark, args.models),
-        load_index(spark, args.index), cascade, gate=args.gate, k=args.k,
-        precedence=args.precedence,
+        read_table(spark, args.requests), models, index, cascade, gate=args.gate, k=args.k,
+        precedence=args.precedence, nprobe=args.nprobe,
     )
     return write_results(result, args.out)
 
 
 def run_search(spark: SparkSession, args) -> dict:
     texts = read_table(spark, args.requests).withColumnRenamed("text_input", "complaint_text")
-    index = load_index(spark, args.index)
-    near = similar_text(texts, index, load_models(spark, args.models).text, args.k, metric="l2sq")
+    models, index = _artifacts(spark, args)
+    near = similar_text(texts, index, models.text, args.k, metric="l2sq", nprobe=args.nprobe)
     with_payload(near, index.drop("embedding")).write.mode("append").parquet(args.out)
     return {}
 
 
 def run_stream(spark: SparkSession, args) -> dict:
+    arriving = spark.readStream.schema(REQUEST)
+    if args.files_per_batch:
+        arriving = arriving.option("maxFilesPerTrigger", args.files_per_batch)
+    models, _ = _artifacts(spark, args)
     query = triage_stream(
-        spark.readStream.schema(REQUEST).parquet(args.requests), load_models(spark, args.models),
-        lambda: load_index(spark, args.index), args.out, args.state, _rules(spark, args.rules),
-        gate=args.gate, k=args.k, available_now=args.once,
+        arriving.parquet(args.requests), models, lambda: load_index(spark, args.index), args.out,
+        args.state, _rules(spark, args.rules), gate=args.gate, k=args.k, nprobe=args.nprobe,
+        available_now=args.once,
     )
     query.awaitTermination()
     return {}
@@ -93,6 +108,7 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--multi-line", action="store_true", help="line breaks in CSV quotes")
         else:
             job.add_argument("--k", type=int, default=2)
+            job.add_argument("--nprobe", type=int, help="look into so many nearest cells only")
         if name in ("triage", "stream"):
             job.add_argument("--gate", type=float, default=rules.GATE)
             job.add_argument("--rules", help="JSON lines with a rules table")
@@ -101,13 +117,15 @@ def parser() -> argparse.ArgumentParser:
             job.add_argument("--precedence", choices=choices, default="text_first")
         if name == "stream":
             job.add_argument("--once", action="store_true")
+            job.add_argument("--files-per-batch", type=int, default=1000)
     return top
 
 
 def main(arguments: list[str] | None = None) -> dict:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"casemesh-{args.job}").getOrCreate()
-    report = args.run(spark, args)
+    with scratch_scope(spark):
+        report = args.run(spark, args)
     print(report)
     return report
 

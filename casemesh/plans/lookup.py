@@ -29,6 +29,7 @@ def similar_text(
     index_id: str = "id",
     metric: str = "cosine",
     layout: Layout = Layout(),
+    nprobe: int | None = None,
 ) -> DataFrame:
     """``query_id, rank, id, distance`` of the k cases nearest to each ``complaint_text``.
 
@@ -36,5 +37,5 @@ def similar_text(
     """
     return k_nearest(
         text_vectors(queries, query_id, model), index, k, query_id=query_id,
-        index_id=index_id, metric=metric, layout=layout,
+        index_id=index_id, metric=metric, layout=layout, nprobe=nprobe,
     )

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -47,8 +49,31 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_scopes = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in getattr(_scopes, "open", [])[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes, at its end, the intermediate tables this thread made inside it.
+
+    For code that has written its result by then: a job, or a micro-batch.
+    """
+    scopes = _scopes.__dict__.setdefault("open", [])
+    made: list[str] = []
+    scopes.append(made)
+    try:
+        yield
+    finally:
+        scopes.remove(made)
+        for path in made:
+            remove_path(spark, path)
 
 
 def materialize_counted(df: DataFrame, name: str, **marks: Column) -> tuple[DataFrame, dict]:
@@ -80,8 +105,25 @@ def side_by_side(spark: SparkSession, *jobs: Callable) -> list:
         return pool.map(lambda job: job(), [target(job) for job in jobs])
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    system, hadoop_path = _file_system(spark, path)
+    system.delete(hadoop_path, True)
+
+
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Puts the folder ``new`` in the place of ``path``."""
+    remove_path(spark, path)
+    system, hadoop_path = _file_system(spark, new)
+    if not system.rename(hadoop_path, _file_system(spark, path)[1]):
+        raise OSError(f"could not move {new} to {path}")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through Hadoop's FileSystem, so any storage scheme works."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop_path))
+    system, hadoop_path = _file_system(spark, path)
+    return bool(system.exists(hadoop_path))
