@@ -35,7 +35,8 @@ def labelled_sample(
     known = labels.where(teaches() & F.col(label).isin(0, 1)).select(
         F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")
     )
-    sampled = bounded_sample(known, rows, "doc_id")
+    # The limit holds even if one id has very many labels.
+    sampled = bounded_sample(known, rows, "doc_id").limit(2 * rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.join(F.broadcast(sampled), "doc_id")
 
