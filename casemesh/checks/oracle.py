@@ -205,6 +205,24 @@ FROM nearest GROUP BY vec_id
 """
 
 
+MATCH_REPORT_LINES = f"""
+WITH {_nearest(2, 'l2sq', "'id_' || id")},
+lines AS (
+  SELECT vec_id, string_agg(' -> [Match Dist: ' || printf('%.4f', distance) || '] case ' || id || chr(10)
+    || '    Resolved by: Officer_' || label || ' | Past Priority: '
+    || CASE WHEN label < 5 THEN 'High' ELSE 'Low' END || chr(10) || chr(10), '' ORDER BY rank) AS found
+  FROM nearest GROUP BY vec_id)
+SELECT 'id_' || l.vec_id AS complaint_id,
+  repeat('-', 15) || ' ML INFERENCE ENGINE RESULTS ' || repeat('-', 15) || chr(10)
+  || ' Assigned Officer : Officer_' || e.label || chr(10)
+  || ' Predicted Priority: ' || CASE WHEN e.label < 5 THEN 'High' ELSE 'Low' END || chr(10)
+  || ' Estimated ETA     : ' || e.label || '.0 days' || chr(10) || repeat('-', 59) || chr(10) || chr(10)
+  || repeat('-', 16) || ' SEMANTIC RETRIEVAL MATCHES ' || repeat('-', 16) || chr(10)
+  || found || repeat('=', 50) AS report
+FROM lines l JOIN embeddings e ON e.vec_id = l.vec_id
+"""
+
+
 # --- hashed term weights -------------------------------------------------------------
 # The vectors are term counts in 384 buckets chosen by 32-bit MurmurHash3 (seed 42),
 # weighted by ln((documents + 1) / (documents with the bucket + 1)), at unit length.
@@ -418,6 +436,7 @@ ORACLE_SQL = {
     "similar_topk_repeated": SIMILAR_TOPK_REPEATED,
     "triage_gate": TRIAGE_GATE,
     "match_report": MATCH_REPORT,
+    "match_report_lines": MATCH_REPORT_LINES,
     "text_features": TEXT_FEATURES,
     "similar_text_topk": SIMILAR_TEXT_TOPK,
     "triage_explained": TRIAGE_EXPLAINED,

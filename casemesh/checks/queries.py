@@ -277,6 +277,22 @@ def q_match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.match_report(cases, "complaint_id")
 
 
+def q_match_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command-line layout, with each vector's own labels as predictions."""
+    entries = _vector_entries(table(spark, sf_dir, "embeddings"), "case ")
+    queries = entries.select(F.col("id").alias("complaint_id"), "embedding", "metadata")
+    near = k_nearest(
+        queries, entries, 2, query_id="complaint_id", index_id="id", exclude_self=True
+    )
+    nested = report.nest_matches(with_payload(near, entries.drop("embedding")), "complaint_id")
+    own = F.col("metadata")
+    text = report.command_line_report(
+        own["assigned_officer"], own["priority"], tx.days_label(own["eta_days"], " days"),
+        F.col("matches"),
+    )
+    return queries.join(nested, "complaint_id").select("complaint_id", text.alias("report"))
+
+
 def q_text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").alias("complaint_text")
