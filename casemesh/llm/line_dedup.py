@@ -2,8 +2,8 @@
 
 A line is its text between line ends, without blanks around it. Its shingles are the pieces
 of up to ``width`` characters that begin at the line, at a word of more than ``short``
-characters, or every ``step`` characters inside one, so an edit never moves the shingles of
-words further on. Lines are compared by the Jaccard
+characters, or every ``step`` characters inside one; up to four shorter words in a row begin
+none. So an edit does not move the shingles of words further on. Lines are compared by the Jaccard
 similarity of their sets of shingles.
 
 1. Equal lines are grouped by two hashes; the first in order of document and line stands
@@ -71,7 +71,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def shingle_hashes(line: Column, config: LineDedup) -> Column:
     """The sorted hashes of the distinct shingles of a line."""
-    skipped = rf"(?:\S{{1,{config.short}}}\s+)*"
+    # Bounded: the expression engine descends once per repetition of a group.
+    skipped = rf"(?:\S{{1,{config.short}}}\s+){{0,4}}"
     pattern = rf"(?s)(?=(.{{1,{config.width}}}))\S{{1,{config.step}}}\s*{skipped}"
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
