@@ -96,7 +96,8 @@ def k_nearest(
     """The k nearest index entries of every query: ``query_id, rank, id, distance``.
 
     Exact by default; ``nprobe`` looks only into that many nearest cells. Ties are broken
-    by ``index_id``. Each query row has its own answer, ids that repeat included. Both inputs may be read more than once: hand in
+    by ``index_id``. Each query row has its own answer, ids that repeat included. Both
+    inputs may be read more than once: hand in
     tables, or ``materialize`` what is costly to derive.
     """
     if metric not in METRICS:
