@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casemesh.llm.learning import bounded_sample, held_out, teaches, worker_state
+from casemesh.llm.words import slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -181,7 +182,11 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         if state.get("key") != key:
             state.update(key=key, memo=_Memo(sent.value))
         for batch in batches:
-            found = [identify(text, state["memo"]) for text in batch.column(at).to_pylist()]
+            found = [
+                identify(text, state["memo"])
+                for part in slices(batch.column(at))
+                for text in batch.column(at)[part.low : part.high].to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,

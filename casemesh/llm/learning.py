@@ -40,7 +40,10 @@ def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, shared by its tasks.
 
     Functions of this package travel by value, so their own globals start empty in every
-    task; what is costly to build again is kept here.
+    task; what is costly to build again is kept here. Only one operator's state is kept: a
+    worker that goes on to another stage of a pipeline gives the memory of the last one back.
     """
     module = sys.modules.setdefault("_casemesh_worker", types.ModuleType("_casemesh_worker"))
-    return module.__dict__.setdefault(f"state_{name}", {})
+    for other in [k for k in vars(module) if k.startswith("state_") and k != f"state_{name}"]:
+        vars(module).pop(other)
+    return vars(module).setdefault(f"state_{name}", {})

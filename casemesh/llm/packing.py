@@ -31,7 +31,7 @@ from casemesh.llm.words import slices
 from casemesh.session import materialize_counted
 
 ID_BYTES = 4
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 GROUP_CHARS = 1 << 20
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 # Fixed value: how the vocabulary's own file cuts usual characters in lower case into words.
