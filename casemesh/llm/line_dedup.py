@@ -1,10 +1,9 @@
 """Fuzzy duplicate lines: MinHash bands over character shingles, with column functions only.
 
 A line is its text between line ends, without blanks around it. Its shingles are the pieces
-of up to ``width`` characters that begin at the line, at a word of more than ``short``
-characters, or every ``step`` characters inside one; up to four shorter words in a row begin
-none. So an edit does not move the shingles of words further on. Lines are compared by the Jaccard
-similarity of their sets of shingles.
+of ``width`` characters at every position, or the line itself where it is shorter. So every
+character counts, and an edit changes no shingle that does not hold it, with or without
+spaces. Lines are compared by the Jaccard similarity of their full sets of shingles.
 
 1. Equal lines are grouped by two hashes; the first in order of document and line stands
    for all.
@@ -45,8 +44,6 @@ class LineDedup(NamedTuple):
     """``similarity`` is a share in hundredths; ``bands`` is a power of two."""
 
     width: int = 12
-    step: int = 8
-    short: int = 3
     similarity: int = 80
     bands: int = 8
     rows: int = 4
@@ -71,25 +68,28 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def shingle_hashes(line: Column, config: LineDedup) -> Column:
     """The sorted hashes of the distinct shingles of a line."""
-    # Bounded: the expression engine descends once per repetition of a group.
-    skipped = rf"(?:\S{{1,{config.short}}}\s+){{0,4}}"
-    pattern = rf"(?s)(?=(.{{1,{config.width}}}))\S{{1,{config.step}}}\s*{skipped}"
+    short = f"|^.{{1,{config.width - 1}}}\\z" if config.width > 1 else ""
+    pattern = rf"(?s)(?=(.{{{config.width}}}{short}))."
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
 def band_hashes(line: Column, config: LineDedup) -> Column:
-    """The bands of a line: the hashes behind each point where the leading bits change."""
-    shift = 64 - (config.bands - 1).bit_length()
+    """The bands of a line: the hashes behind each fixed point of the circle."""
+    step = (1 << 64) // config.bands
+    points = [F.lit(n * step - (1 << 63)) for n in range(config.bands)]
 
     def starts(own: Column) -> Column:
-        def begins(hashed: Column, place: Column) -> Column:
-            before = F.get(own, place - 1)
-            new = F.shiftright(hashed, shift) != F.shiftright(before, shift)
-            return (F.size(own) <= config.bands) | (place == 0) | new
+        # The points are sorted in with the hashes: one scan a point, none by lambda.
+        size = F.size(own)
+        merged = F.sort_array(F.concat(own, F.array(*points)))
 
-        marked = F.transform(own, lambda x, i: F.when(begins(x, i), i + 1))
-        return F.filter(marked, lambda i: i.isNotNull())
+        def behind(mixed: Column) -> Column:
+            places = [F.array_position(mixed, p).cast("int") - n for n, p in enumerate(points)]
+            return F.array_distinct(F.array(*[F.when(i > size, 1).otherwise(i) for i in places]))
+
+        every = F.sequence(F.lit(1), size)
+        return F.when(size <= config.bands, every).otherwise(let(merged, behind))
 
     def bands(own: Column) -> Column:
         around = F.concat(own, F.slice(own, 1, config.rows - 1))
