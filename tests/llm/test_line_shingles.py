@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from casemesh.llm.line_dedup import LineDedup, band_hashes, line_components, shingle_hashes
@@ -42,6 +43,31 @@ def test_sets_are_those_of_all_positions(spark):
     assert {r["n"]: r["size"] for r in sizes} == {n: len(shingles(line)) for n, line in enumerate(lines)}
 
 
+@pytest.mark.parametrize("alphabet", ["日月火水木金土年時分", "abcdefghij0123456789"])
+def test_shifted_copies_without_spaces_are_found(spark, alphabet):
+    rng = random.Random(4)
+    lines = []
+    for _ in range(8):
+        base = "".join(rng.choices(alphabet, k=200))
+        lines += [base, base[1:], "x" + base, base[:3] + base[4:], base[:9] + "y" + base[9:]]
+    want = expected(lines)
+    assert want == {n: n - n % 5 for n in range(len(lines))}
+    assert got(spark, lines) == want
+
+
+def test_edited_words_match_brute_force(spark):
+    rng = random.Random(8)
+    lines = []
+    for _ in range(40):
+        base = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(30)]
+        for edits in (0, 1, 1):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(30)] = "xyz"
+            lines.append(" ".join(own))
+    assert got(spark, lines) == expected(lines)
+
+
 def test_bands_begin_behind_fixed_points(spark):
     rows = spark.createDataFrame([(" ".join(f"word{n * n}" for n in range(40)),)], "line string")
     config = LineDedup()
