@@ -14,10 +14,13 @@ from casemesh.llm.line_dedup import line_components
 from casemesh.llm.near_dedup import NearDedup, near_duplicates
 from casemesh.llm.packing import Packing, pack
 from casemesh.llm.quality import fit_quality, predict_quality
+from casemesh.llm.token_files import TokenFiles, read_documents, with_starts, write_token_files
 from casemesh.llm.toxicity import fit_toxicity, predict_toxicity
 from casemesh.llm.url_reputation import ALLOW, BLOCK, UrlRule, judge_urls
+from casemesh.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 # Fixed values of the url query.
 URL_RULES = (
@@ -107,6 +110,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_table(docs, fit(docs))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = TokenFiles(tokenizer=public_tokenizers.path(BYTE_TOKENIZER))
+    path = scratch_path(spark, "token-files")
+    index = write_token_files(table(spark, sf_dir, "documents"), path, config)
+    return with_starts(read_documents(index), index).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
     "op1_minimum_bin_slack_packing": op1_minimum_bin_slack_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -118,4 +130,5 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
+    "op11_token_files": op11_token_files,
 }
