@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 ID_BYTES = 4
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 # Longer units hardly ever come again.
 LONGEST_UNIT = 48
 # Fixed value: the white space of the vocabulary's own pattern.
@@ -23,7 +23,7 @@ BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 WORD = rf"[{LETTER}]+(?=[!-@\[-`{{-~])"
 UNIT = re.compile(f"[{BLANK}]*(?:{WORD}|[^{BLANK}]+)|[{BLANK}]+")
-JOINABLE = re.compile(f"[{BLANK}]+[^{BLANK}]+")
+USUAL = re.compile(f"[{LETTER}]+")
 
 
 def byte_values() -> dict[str, int]:
@@ -56,16 +56,28 @@ def token_bytes(tokenizer) -> list[bytes]:
     return out
 
 
+def uncut(unit: str) -> bool:
+    """Whether the pattern takes ``unit`` as one piece: letters, with a space before or not."""
+    word = unit[1:] if unit[0] == " " else unit
+    return word.isalpha() and (word.isascii() or USUAL.fullmatch(word) is not None)
+
+
 class Encoder:
     """``plain_specials``: strings of special tokens inside texts are ordinary text."""
 
     def __init__(self, path: str, plain_specials: bool = False):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.tokenizer = load_tokenizer(path, plain_specials)
         self.specials = [
             token.content
             for token in self.tokenizer.get_added_tokens_decoder().values()
             if not plain_specials
         ]
+        # The model alone: words are written in its own characters, split at blanks.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = {byte: letter for letter, byte in byte_values().items()} | {0: " "}
         self.sizes = np.array([len(b) for b in token_bytes(self.tokenizer)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
 
@@ -74,18 +86,20 @@ class Encoder:
         return [np.array(one.ids, dtype="<u4").tobytes() for one in found]
 
     def _learn(self, units: list[str]) -> None:
-        """Units that begin with white space are encoded as one text and cut by bytes."""
-        joined = [unit for unit in units if JOINABLE.fullmatch(unit)]
-        if joined:
-            whole = self._ids(["".join(joined)])[0]
-            ends = np.cumsum(self.sizes[np.frombuffer(whole, dtype="<u4")])
-            sizes = np.cumsum([len(unit.encode()) for unit in joined])
+        """Units the pattern does not cut any more are encoded together, without it."""
+        whole = [unit for unit in units if uncut(unit)]
+        if whole:
+            text = "\0".join(whole).encode().decode("latin-1").translate(self.letters)
+            ids = self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            packed = np.array(ids, dtype="<u4")
+            ends = np.cumsum(self.sizes[packed])
+            sizes = np.cumsum(list(map(len, text.split(" "))))
             cuts = np.searchsorted(ends, sizes)
-            if len(ends) == 0 or (ends[np.minimum(cuts, len(ends) - 1)] != sizes).any():
-                raise ValueError("the vocabulary is not byte-level, or joins words with white space")
-            low = 0
-            for unit, high in zip(joined, ((cuts + 1) * ID_BYTES).tolist()):
-                self.known[unit] = whole[low:high]
+            if cuts[-1] != len(ends) - 1 or (ends[cuts] != sizes).any():
+                raise ValueError("the vocabulary is not byte-level")
+            packed, low = packed.tobytes(), 0
+            for unit, high in zip(whole, ((cuts + 1) * ID_BYTES).tolist()):
+                self.known[unit] = packed[low:high]
                 low = high
         others = [unit for unit in units if unit not in self.known]
         self.known.update(zip(others, self._ids(others)))
@@ -99,11 +113,11 @@ class Encoder:
             [text] if any(special in text for special in self.specials) else UNIT.findall(text)
             for text in texts
         ]
-        missed = {unit for found in cut for unit in found if unit not in known}
-        once = [unit for unit in missed if len(unit) > LONGEST_UNIT]
-        own = dict(zip(once, self._ids(once))) if once else {}
+        missed = [unit for unit in set().union(*cut) if unit not in known]
+        once = {unit for unit in missed if len(unit) > LONGEST_UNIT}
+        own = dict(zip(once, self._ids(list(once))))
         if missed:
-            self._learn([unit for unit in missed if unit not in own])
+            self._learn([unit for unit in missed if unit not in once])
         if own:
             return [b"".join([known.get(unit) or own[unit] for unit in found]) for found in cut]
         return [b"".join(map(known.__getitem__, found)) for found in cut]
