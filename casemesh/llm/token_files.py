@@ -43,7 +43,7 @@ from pyspark.sql.window import Window
 from casemesh.llm.byte_pairs import ID_BYTES, Encoder
 from casemesh.llm.learning import worker_state
 from casemesh.llm.words import slices
-from casemesh.session import materialize_counted
+from casemesh.session import materialize_counted, scratch_scope
 
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -185,7 +185,10 @@ class TokenFile:
 
 
 def tokenized(docs: DataFrame, config: TokenFiles) -> DataFrame:
-    """``doc_id, n_tokens, largest, crc, ids``: one row per row of ``docs``."""
+    """``doc_id, n_tokens, width, crc, ids``: one row per row of ``docs``.
+
+    ``ids`` take ``width`` bytes each; ``crc`` is that of the ids with four bytes each.
+    """
     end = np.array([config.end_id], dtype="<u4").tobytes()
 
     def run(batches):
@@ -197,30 +200,44 @@ def tokenized(docs: DataFrame, config: TokenFiles) -> DataFrame:
             for part in slices(batch.column(1), GROUP_CHARS):
                 texts = batch.column(1)[part.low : part.high].to_pylist()
                 found = [ids + end for ids in encoder.encode([text or "" for text in texts])]
-                largest = int(np.frombuffer(b"".join(found), dtype="<u4").max())
+                whole = np.frombuffer(b"".join(found), dtype="<u4")
+                width = 2 if whole.max() < 1 << 16 else ID_BYTES
+                sizes = np.array([len(ids) // ID_BYTES for ids in found])
+                narrow = whole.astype(f"<u{width}").tobytes()
+                edges = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
+                ids = pa.Array.from_buffers(
+                    pa.binary(), len(found), [None, pa.py_buffer(edges), pa.py_buffer(narrow)]
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[part.low : part.high],
-                        pa.array([len(ids) // ID_BYTES for ids in found], pa.int64()),
-                        pa.array([largest] * len(found), pa.int64()),
-                        pa.array([zlib.crc32(ids) for ids in found], pa.int64()),
-                        pa.array(found, pa.binary()),
+                        pa.array(sizes),
+                        pa.array([width] * len(found), pa.int32()),
+                        pa.array([zlib.crc32(own) for own in found], pa.int64()),
+                        ids,
                     ],
-                    ["doc_id", "n_tokens", "largest", "crc", "ids"],
+                    ["doc_id", "n_tokens", "width", "crc", "ids"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, largest long, crc long, ids binary"
+        run, "doc_id long, n_tokens long, width int, crc long, ids binary"
     )
 
 
 def write_token_files(docs: DataFrame, path: str, config: TokenFiles) -> DataFrame:
     """Writes ``docs`` under ``path``, a new folder, and returns the index of the documents."""
-    marks = {"tokens": F.sum("n_tokens"), "largest": F.max("largest")}
-    ready, seen = materialize_counted(tokenized(docs, config), "token-ids", **marks)
+    spark = docs.sparkSession
+    with scratch_scope(spark):
+        marks = {"tokens": F.sum("n_tokens"), "width": F.max("width")}
+        ready, seen = materialize_counted(tokenized(docs, config), "token-ids", **marks)
+        _write_ranges(ready, path, config, seen)
+    return open_index(spark, path)
+
+
+def _write_ranges(ready: DataFrame, path: str, config: TokenFiles, seen: dict) -> None:
     by_tokens = -(-(seen["tokens"] or 0) // config.file_tokens)
     files = max(1, by_tokens, -(-seen["rows"] // config.file_documents))
-    width = 2 if (seen["largest"] or 0) < 1 << 16 else ID_BYTES
+    width = seen["width"] or 2
     # Rows alike in id and content are told apart by their place, so that no range is one key.
     keys = F.asc_nulls_first("doc_id"), F.asc("crc"), F.asc("row")
     ordered = (
@@ -241,8 +258,8 @@ def write_token_files(docs: DataFrame, path: str, config: TokenFiles) -> DataFra
                 out = system.open_output_stream(name)
                 writer = TokenFileWriter(out, config, width)
             rows = []
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(value.as_buffer(), dtype="<u4")
+            for doc_id, own, value in zip(*(batch.column(n).to_pylist() for n in range(2)), batch.column(2)):
+                ids = np.frombuffer(value.as_buffer(), dtype=f"<u{own}")
                 rows.append((shard, file, doc_id, place, *writer.add(doc_id, ids), before))
                 place, before = place + 1, before + len(ids)
             if rows:
@@ -252,9 +269,8 @@ def write_token_files(docs: DataFrame, path: str, config: TokenFiles) -> DataFra
             writer.close()
             out.close()
 
-    index = ordered.select("doc_id", "ids").mapInArrow(run, INDEX_SCHEMA)
+    index = ordered.select("doc_id", "width", "ids").mapInArrow(run, INDEX_SCHEMA)
     index.write.parquet(f"{path.rstrip('/')}/index")
-    return open_index(docs.sparkSession, path)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
