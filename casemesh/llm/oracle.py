@@ -135,7 +135,34 @@ FROM u LEFT JOIN k ON k.host = u.host
 LEFT JOIN hit ON hit.host = u.host AND hit.path = u.path
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, c.r AS cr, c.vec_id, a.label = c.label AS same,
+         list_inner_product(a.q, c.q)::BIGINT AS score
+  FROM v a, v c WHERE a.vec_id % 50 = 0 AND a.r <> c.r
+),
+p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, cr) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY n.score DESC, n.vec_id, n.cr)::INT AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.ar = p.ar AND NOT n.same
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
 ORACLE_SQL = {
+    "op12_bond_hard_negatives": HARD_NEGATIVES,
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op7_host_quality_rules": HOST_RULES,
     "op9_url_filters": URL_FILTERS,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from casemesh.llm.decontaminate import contaminated
 from casemesh.llm.disclosure import KINDS, disclosure_spans, span_list
+from casemesh.llm.hard_negatives import mine_hard_negatives
 from casemesh.llm.host_rules import apply_host_rules
 from casemesh.llm.language_id import fit, language_table
 from casemesh.llm.line_dedup import line_components
@@ -119,6 +120,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_minimum_bin_slack_packing": op1_minimum_bin_slack_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -131,4 +138,5 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_language_id": op10_language_id,
     "op11_token_files": op11_token_files,
+    "op12_bond_hard_negatives": op12_bond_hard_negatives,
 }
