@@ -15,6 +15,7 @@ from casemesh.llm.line_dedup import line_components
 from casemesh.llm.near_dedup import NearDedup, near_duplicates
 from casemesh.llm.packing import Packing, pack
 from casemesh.llm.quality import fit_quality, predict_quality
+from casemesh.llm.token_alignment import Alignment, align_tokens
 from casemesh.llm.token_files import TokenFiles, read_documents, with_starts, write_token_files
 from casemesh.llm.toxicity import fit_toxicity, predict_toxicity
 from casemesh.llm.url_reputation import ALLOW, BLOCK, UrlRule, judge_urls
@@ -22,6 +23,7 @@ from casemesh.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 # Fixed values of the url query.
 URL_RULES = (
@@ -126,6 +128,13 @@ def op12_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = Alignment(*map(public_tokenizers.path, (BYTE_TOKENIZER, PIECE_TOKENIZER)))
+    return align_tokens(table(spark, sf_dir, "documents"), config).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES = {
     "op1_minimum_bin_slack_packing": op1_minimum_bin_slack_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -139,4 +148,5 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_token_files": op11_token_files,
     "op12_bond_hard_negatives": op12_bond_hard_negatives,
+    "op13_token_alignment": op13_token_alignment,
 }

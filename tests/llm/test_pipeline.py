@@ -63,7 +63,7 @@ def test_one_query_per_operator_and_registration():
 
     registered = __spark_entry__.queries()
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and registered["pipeline"] is corpus_pipeline.run
+    assert numbers == list(range(1, 14)) and registered["pipeline"] is corpus_pipeline.run
     assert set(QUERIES) <= set(registered)
 
 
