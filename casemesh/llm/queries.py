@@ -117,9 +117,9 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = TokenFiles(tokenizer=public_tokenizers.path(BYTE_TOKENIZER))
     path = scratch_path(spark, "token-files")
     index = write_token_files(table(spark, sf_dir, "documents"), path, config)
-    return with_starts(read_documents(index), index).select(
-        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
-    )
+    digest = F.crc32("ids").alias("ids_crc32")
+    found = read_documents(index).select("shard", "doc_id", "before", "n_tokens", digest)
+    return with_starts(found, index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op12_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

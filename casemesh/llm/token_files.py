@@ -12,15 +12,15 @@ size, its size and a checksum of its content, then the number of frames and a ma
 so it is found from the end of the file. The directory names the documents of the file: a
 file can be read alone (``TokenFile``).
 
-Texts are tokenized once and written; the totals seen while writing give the number of files.
-A range shuffle by id brings every file's documents into one task, which streams them out
-frame by frame under a name of its own. Its index rows, one per document, name the file: a
+The size of all texts gives the number of files. A range shuffle by id brings every file's
+texts into one task, which tokenizes them once and streams them out frame by frame under a
+name of its own. Its index rows, one per document, name the file: a
 lost task leaves a file that no row points to, and a repeated one writes another. Reading is
 a scan of index rows that opens the files they name, in the order they were written.
 
 Defined cases: null texts count as empty, and an empty text is the end token alone; rows
-without id come first; rows that repeat an id are documents of their own, ordered by the
-checksum of their ids; other columns are ignored; an empty table gives a data set without
+without id come first; rows that repeat an id are documents of their own, ordered by a hash
+of their texts; other columns are ignored; an empty table gives a data set without
 files. A frame whose content differs from either checksum raises ``DamagedFrame``.
 """
 
@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from itertools import islice
 from typing import NamedTuple
@@ -43,7 +42,6 @@ from pyspark.sql.window import Window
 from casemesh.llm.byte_pairs import ID_BYTES, Encoder
 from casemesh.llm.learning import worker_state
 from casemesh.llm.words import slices
-from casemesh.session import materialize_counted, scratch_scope
 
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -71,12 +69,12 @@ class DamagedFrame(ValueError):
 
 class TokenFiles(NamedTuple):
     """``tokenizer``: path of a tokenizer file, the same on all machines. A file holds about
-    ``file_tokens`` ids and ``file_documents`` documents at most."""
+    ``file_bytes`` of text and ``file_documents`` documents at most."""
 
     tokenizer: str
     end_id: int = 0
     frame_tokens: int = 1 << 20
-    file_tokens: int = 1 << 23
+    file_bytes: int = 1 << 24
     file_documents: int = 1 << 18
     level: int = 3
 
@@ -184,70 +182,27 @@ class TokenFile:
         return np.frombuffer(content, dtype=f"<u{self.width}")
 
 
-def tokenized(docs: DataFrame, config: TokenFiles) -> DataFrame:
-    """``doc_id, n_tokens, width, crc, ids``: one row per row of ``docs``.
-
-    ``ids`` take ``width`` bytes each; ``crc`` is that of the ids with four bytes each.
-    """
-    end = np.array([config.end_id], dtype="<u4").tobytes()
-
-    def run(batches):
-        state = worker_state("token_files")
-        if state.get("path") != config.tokenizer:
-            state.update(path=config.tokenizer, encoder=Encoder(config.tokenizer))
-        encoder = state["encoder"]
-        for batch in batches:
-            for part in slices(batch.column(1), GROUP_CHARS):
-                texts = batch.column(1)[part.low : part.high].to_pylist()
-                found = [ids + end for ids in encoder.encode([text or "" for text in texts])]
-                whole = np.frombuffer(b"".join(found), dtype="<u4")
-                width = 2 if whole.max() < 1 << 16 else ID_BYTES
-                sizes = np.array([len(ids) // ID_BYTES for ids in found])
-                narrow = whole.astype(f"<u{width}").tobytes()
-                edges = np.append(0, np.cumsum(sizes * width)).astype(np.int32)
-                ids = pa.Array.from_buffers(
-                    pa.binary(), len(found), [None, pa.py_buffer(edges), pa.py_buffer(narrow)]
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[part.low : part.high],
-                        pa.array(sizes),
-                        pa.array([width] * len(found), pa.int32()),
-                        pa.array([zlib.crc32(own) for own in found], pa.int64()),
-                        ids,
-                    ],
-                    ["doc_id", "n_tokens", "width", "crc", "ids"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, width int, crc long, ids binary"
-    )
-
-
 def write_token_files(docs: DataFrame, path: str, config: TokenFiles) -> DataFrame:
     """Writes ``docs`` under ``path``, a new folder, and returns the index of the documents."""
-    spark = docs.sparkSession
-    with scratch_scope(spark):
-        marks = {"tokens": F.sum("n_tokens"), "width": F.max("width")}
-        ready, seen = materialize_counted(tokenized(docs, config), "token-ids", **marks)
-        _write_ranges(ready, path, config, seen)
-    return open_index(spark, path)
-
-
-def _write_ranges(ready: DataFrame, path: str, config: TokenFiles, seen: dict) -> None:
-    by_tokens = -(-(seen["tokens"] or 0) // config.file_tokens)
-    files = max(1, by_tokens, -(-seen["rows"] // config.file_documents))
-    width = seen["width"] or 2
-    # Rows alike in id and content are told apart by their place, so that no range is one key.
-    keys = F.asc_nulls_first("doc_id"), F.asc("crc"), F.asc("row")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows, size = docs.select(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    files = max(1, -(-(size or 0) // config.file_bytes), -(-rows // config.file_documents))
+    # Rows alike in id and text are told apart by their place, so that no range is one key.
+    keys = F.asc_nulls_first("doc_id"), F.asc("mark"), F.asc("row")
     ordered = (
-        ready.withColumn("row", F.monotonically_increasing_id())
+        docs.withColumns({"mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
         .repartitionByRange(int(files), *keys)
         .sortWithinPartitions(*keys)
     )
     folder = f"{path.rstrip('/')}/data"
+    end = np.array([config.end_id], dtype="<u4").tobytes()
 
     def run(batches):
+        state = worker_state("token_files")
+        if state.get("path") != config.tokenizer:
+            state.update(path=config.tokenizer, encoder=Encoder(config.tokenizer))
+        encoder = state["encoder"]
+        width = 2 if max(len(encoder.sizes), config.end_id + 1) <= 1 << 16 else ID_BYTES
         shard = TaskContext.get().partitionId()
         file = f"{folder}/{shard:06d}-{uuid.uuid4().hex}.tok"
         writer, place, before = None, 0, 0
@@ -257,20 +212,22 @@ def _write_ranges(ready: DataFrame, path: str, config: TokenFiles, seen: dict) -
                 system.create_dir(name.rsplit("/", 1)[0], recursive=True)
                 out = system.open_output_stream(name)
                 writer = TokenFileWriter(out, config, width)
-            rows = []
-            for doc_id, own, value in zip(*(batch.column(n).to_pylist() for n in range(2)), batch.column(2)):
-                ids = np.frombuffer(value.as_buffer(), dtype=f"<u{own}")
-                rows.append((shard, file, doc_id, place, *writer.add(doc_id, ids), before))
-                place, before = place + 1, before + len(ids)
-            if rows:
+            for part in slices(batch.column(1), GROUP_CHARS):
+                own, texts = (batch.column(n)[part.low : part.high].to_pylist() for n in range(2))
+                rows = []
+                for doc_id, ids in zip(own, encoder.encode([text or "" for text in texts])):
+                    ids = np.frombuffer(ids + end, dtype="<u4")
+                    rows.append((shard, file, doc_id, place, *writer.add(doc_id, ids), before))
+                    place, before = place + 1, before + len(ids)
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), INDEX_TYPES)]
                 yield pa.RecordBatch.from_arrays(columns, INDEX_NAMES)
         if writer is not None:
             writer.close()
             out.close()
 
-    index = ordered.select("doc_id", "width", "ids").mapInArrow(run, INDEX_SCHEMA)
+    index = ordered.select("doc_id", "text").mapInArrow(run, INDEX_SCHEMA)
     index.write.parquet(f"{path.rstrip('/')}/index")
+    return open_index(docs.sparkSession, path)
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:

@@ -60,10 +60,11 @@ def test_any_text_is_encoded_alike(text):
     assert _ENCODER.encode([text])[0] == ids_of(text)[:-1].tobytes()
 
 
-def brute_force(rows):
-    """``(doc_id, start, n_tokens, crc)`` in ascending order of id, then checksum."""
-    encoded = [(i, ids_of(text)) for i, text in rows]
-    encoded.sort(key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].tobytes())))
+def brute_force(spark, rows):
+    """``(doc_id, start, n_tokens, crc)`` in ascending order of id, then hash."""
+    marked = spark.createDataFrame(rows, "i long, t string").select("i", "t", F.xxhash64("t")).collect()
+    marked.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    encoded = [(i, ids_of(text)) for i, text, _ in marked]
     out, start = [], 0
     for i, ids in encoded:
         out.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -83,7 +84,7 @@ def written(spark, tmp_path):
     texts += [*ODD, None, "", texts[0], texts[0], "other"]
     ids = [7 * n % 101 for n in range(len(texts) - 5)] + [7, 7, 7, None, None]
     docs = clash(documents(spark, texts, ids))
-    config = TokenFiles(PATH, frame_tokens=64, file_tokens=2000, file_documents=20)
+    config = TokenFiles(PATH, frame_tokens=64, file_bytes=4000, file_documents=20)
     path = str(tmp_path / "files")
     write_token_files(docs, path, config)
     return path, list(zip(ids, texts))
@@ -92,7 +93,7 @@ def written(spark, tmp_path):
 def test_files_hold_every_document_in_order(spark, written):
     path, rows = written
     index = open_index(spark, path)
-    want = brute_force(rows)
+    want = brute_force(spark, rows)
     assert result(read_documents(index), index) == sorted(want, key=lambda r: (r[1], r[2]))
     assert index.select("file").distinct().count() > 3
 
@@ -102,7 +103,7 @@ def test_requested_documents_alone_are_read(spark, written):
     index = open_index(spark, path)
     wanted = spark.createDataFrame([(7,), (7,), (14,), (9999,), (None,)], "doc_id long")
     located = find_documents(index, wanted)
-    want = [r for r in brute_force(rows) if r[0] in (7, 14)]
+    want = [r for r in brute_force(spark, rows) if r[0] in (7, 14)]
     assert result(read_documents(located), index) == want
 
 
@@ -181,4 +182,4 @@ def test_no_rows(spark, tmp_path):
 def test_very_long_text(spark, tmp_path):
     text = "word " * 200_000 + "x" * 100_000
     index = write_token_files(documents(spark, [text, "b"]), str(tmp_path / "long"), TokenFiles(PATH))
-    assert result(read_documents(index), index) == brute_force([(0, text), (1, "b")])
+    assert result(read_documents(index), index) == brute_force(spark, [(0, text), (1, "b")])
