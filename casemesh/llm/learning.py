@@ -1,10 +1,15 @@
-"""What the trained operators share: the split of the labels, bounded samples, worker state."""
+"""What the operators share: the split of the labels, bounded samples, worker state, names."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import pickle
 import sys
 import types
+import uuid
 
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +41,50 @@ def bounded_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys), F.lit(scale)) < int(scale * rows / total))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is none of ``taken``, whatever their case."""
+    used = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, shared by its tasks.
 
     Functions of this package travel by value, so their own globals start empty in every
-    task; what is costly to build again is kept here. Only one operator's state is kept: a
-    worker that goes on to another stage of a pipeline gives the memory of the last one back.
+    task; what is costly to build again is kept here. Only one operator's state is kept:
+    every operator asks for its own, so that a worker which goes on to another stage of a
+    pipeline gives the memory of the last one back, to the system too.
     """
     module = sys.modules.setdefault("_casemesh_worker", types.ModuleType("_casemesh_worker"))
-    for other in [k for k in vars(module) if k.startswith("state_") and k != f"state_{name}"]:
+    stale = [k for k in vars(module) if k.startswith("state_") and k != f"state_{name}"]
+    for other in stale:
         vars(module).pop(other)
+    if stale:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
     return vars(module).setdefault(f"state_{name}", {})
+
+
+class Shipped:
+    """A value for all tasks, unpacked once per worker.
+
+    It is pickled together with the classes it is made of, so that executors need no
+    installation of this package.
+    """
+
+    def __init__(self, sc: SparkContext, name: str, value):
+        self.name, self.key = name, uuid.uuid4().hex
+        self.sent = sc.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        state = worker_state(self.name)
+        if state.get("key") != self.key:
+            state.clear()
+            state.update(key=self.key, value=pickle.loads(self.sent.value))
+        return state["value"]

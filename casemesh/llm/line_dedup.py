@@ -7,22 +7,29 @@ spaces. Lines are compared by the Jaccard similarity of their full sets of shing
 
 1. Equal lines are grouped by two hashes; the first in order of document and line stands
    for all.
-2. The shingles of a line are hashed and sorted around a circle, which is a random order of
-   them. A band is the ``rows`` hashes that follow one of ``bands`` fixed points, so two
-   lines agree in a band as often as in that many values of a MinHash signature. Lines with
-   few shingles use a band behind each of them; then two lines that are similar enough
-   always share one, as their differences leave a gap of ``rows``.
-3. In each band the lines are compared with its most central one, the line that agrees with
-   others most often over all bands, on their full sets of shingles. No link may be lost to
-   that: lines that are not in the component of their center are compared with all others
-   of that center in blocks of bounded size, and linked to one line of each other
-   component in which a similar one is found.
+2. Candidates come from a sketch: the pieces of up to ``width`` characters that begin where
+   a word begins, and at every position that has ``width`` characters without a blank
+   before it. Which pieces these are depends on the characters before them only, so an edit
+   moves none but its neighbours. Their hashes are sorted around a circle, which is a random
+   order of them. A band is the ``rows`` hashes that follow one of ``bands`` fixed points,
+   so two lines agree in a band as often as in that many values of a MinHash signature;
+   small sketches use a band behind each hash.
+3. In each band the lines are compared with its most central one, the line that meets others
+   most often over all bands, on their full sets of shingles. No link may be lost to that:
+   lines that are not in the component of their center are compared with all others of that
+   center in blocks of bounded size, and linked to one line of each other component in which
+   a similar one is found.
 4. Links join into components by large-star and small-star rounds. The first line of each
    component, by document and line, stays.
 
+Measured against all pairs of full sets, lines that are linked at 0.8 get the same component
+in at least 95 of 100 cases (``tests/llm/test_line_recall.py``; edited prose, and scripts
+without spaces); from 0.9 on hardly any is missed. A line is never dropped on the sketch
+alone: every link is verified.
+
 Defined cases: null texts have no lines; blank lines are no duplicates and always stay; rows
 without id take no part and come back as they are; rows that repeat an id are one document;
-other columns come back unchanged; empty tables give empty results.
+other columns come back unchanged whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,10 +38,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from casemesh.llm.learning import fresh
 from casemesh.operators.duplicates import duplicate_clusters
-from casemesh.session import materialize, materialize_counted
+from casemesh.operators.joins import join_unique
+from casemesh.session import materialize, materialize_counted, scratch_path, scratch_scope
 
 LINE_END = "\n"
 BLANKS = " \t\r\f\v"
@@ -74,8 +82,16 @@ def shingle_hashes(line: Column, config: LineDedup) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def band_hashes(line: Column, config: LineDedup) -> Column:
-    """The bands of a line: the hashes behind each fixed point of the circle."""
+def sketch_hashes(line: Column, config: LineDedup) -> Column:
+    """The sorted hashes of the pieces at word starts and deep inside runs without blanks."""
+    width = config.width
+    pattern = rf"(?s)(?=(.{{1,{width}}}))(?:(?<=\S{{{width}}})\S|\S{{1,{width}}})\s*"
+    found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+
+
+def band_hashes(hashes: Column, config: LineDedup) -> Column:
+    """The bands of a sketch: the hashes behind each fixed point of the circle."""
     step = (1 << 64) // config.bands
     points = [F.lit(n * step - (1 << 63)) for n in range(config.bands)]
 
@@ -100,13 +116,17 @@ def band_hashes(line: Column, config: LineDedup) -> Column:
             ),
         )
 
-    return let(shingle_hashes(line, config), bands)
+    return let(hashes, bands)
 
 
-def keyed_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` and two hashes of the line."""
+def keyed_lines(docs: DataFrame, config: LineDedup) -> DataFrame:
+    """``doc_id, line_no``, two hashes of the line, and its bands: one pass over the texts."""
     return lines_of(docs).select(
-        "doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2")
+        "doc_id",
+        "line_no",
+        F.xxhash64("line").alias("k1"),
+        F.xxhash64(F.lit(7), "line").alias("k2"),
+        band_hashes(sketch_hashes(F.col("line"), config), config).alias("bands"),
     )
 
 
@@ -117,15 +137,25 @@ def similar(left: Column, right: Column, similarity: int) -> Column:
 
 
 def _centers(members: DataFrame) -> DataFrame:
-    """``a, b``: each line that shares a band with others, with the center of the band."""
-    same = Window.partitionBy("band")
-    sized = members.withColumn("lines", F.count(F.lit(1)).over(same)).where("lines > 1")
-    shared = materialize(sized, "line-shared")
+    """``a, b``: each line that shares a band with others, with the center of the band.
+
+    ``members`` has ``line, band`` per line of a text, copies included. Bands are counted
+    before they are shuffled, and those of one line go; one that many lines share is spread
+    over salts when their rows meet its count and its center.
+    """
+    met = members.groupBy("band").agg(
+        F.min("line").alias("low"), F.max("line").alias("high"), F.count(F.lit(1)).alias("lines")
+    )
+    counted = materialize(met.where("low < high").select("band", "lines"), "line-counts")
+    shared, seen = materialize_counted(
+        join_unique(members, counted, "band", "inner").distinct(), "line-shared"
+    )
     degree = shared.groupBy("line").agg(F.sum("lines").alias("degree"))
     rank = F.struct(F.col("degree"), F.col("line"))
     centers = shared.join(degree, "line").groupBy("band").agg(F.max_by("line", rank).alias("b"))
+    centers = materialize(centers, "line-centers")
     return (
-        shared.join(materialize(centers, "line-centers"), "band")
+        join_unique(shared.select("line", "band"), centers, "band", "inner", left_rows=seen["rows"])
         .where("line <> b")
         .select(F.col("line").alias("a"), "b")
         .distinct()
@@ -207,36 +237,44 @@ def line_components(docs: DataFrame, config: LineDedup = LineDedup()) -> DataFra
 
     ``first_doc`` and ``first_line`` name the line that stays for the component.
     """
-    keyed = materialize(keyed_lines(docs), "line-keys")
+    keyed = materialize(keyed_lines(docs, config), "line-keys")
     firsts = materialize(
         keyed.groupBy("k1", "k2")
         .agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
         .select(F.col("k1").alias("line"), "k2", "first.doc_id", "first.line_no"),
         "line-firsts",
     )
-    text = lines_of(docs).select(F.xxhash64("line").alias("line"), F.col("line").alias("own"))
-    bands = F.explode(band_hashes(F.col("own"), config)).alias("band")
-    # Equal lines are collapsed in each task before the shuffle.
-    members = text.select("line", bands).distinct()
+    return _named(keyed.drop("bands"), firsts, _components(docs, keyed, firsts, config))
+
+
+def _components(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, config: LineDedup) -> DataFrame:
+    """``id, cluster`` of the lines that are linked."""
+    spark = docs.sparkSession
+
+    def settle(links: DataFrame) -> DataFrame:
+        # Each round writes its edges; with the result written, they can go.
+        path = scratch_path(spark, "line-components")
+        with scratch_scope(spark):
+            duplicate_clusters(links).write.parquet(path)
+        return spark.read.schema("id long, cluster long").parquet(path)
+
+    members = keyed.select(F.col("k1").alias("line"), F.explode("bands").alias("band"))
     pairs, seen = materialize_counted(_centers(members), "line-pairs")
-    components = firsts.select(F.col("line").alias("id"), F.col("line").alias("cluster"))
-    if seen["rows"]:
-        named = pairs.select(F.col("a").alias("line")).unionByName(
-            pairs.select(F.col("b").alias("line"))
-        )
-        sets = materialize(
-            text.join(named.distinct(), "line", "left_semi")
-            .select("line", shingle_hashes(F.col("own"), config).alias("shingles"))
-            .groupBy("line")
-            .agg(F.first("shingles").alias("shingles")),
-            "line-sets",
-        )
-        links = materialize(_verified(pairs, sets, config), "line-links")
-        components = materialize(duplicate_clusters(links), "line-components")
-        more, seen = materialize_counted(_across(pairs, components, sets, config), "line-more")
-        if seen["rows"]:
-            components = materialize(duplicate_clusters(links.unionByName(more)), "line-components")
-    return _named(keyed, firsts, components)
+    if not seen["rows"]:
+        return firsts.select(F.col("line").alias("id"), F.col("line").alias("cluster")).limit(0)
+    named = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
+    text = lines_of(docs).select(F.xxhash64("line").alias("line"), F.col("line").alias("own"))
+    sets = materialize(
+        text.join(named.distinct(), "line", "left_semi")
+        .select("line", shingle_hashes(F.col("own"), config).alias("shingles"))
+        .groupBy("line")
+        .agg(F.first("shingles").alias("shingles")),
+        "line-sets",
+    )
+    links = materialize(_verified(pairs, sets, config), "line-links")
+    components = settle(links)
+    more, seen = materialize_counted(_across(pairs, components, sets, config), "line-more")
+    return settle(links.unionByName(more)) if seen["rows"] else components
 
 
 def _named(keyed: DataFrame, firsts: DataFrame, components: DataFrame) -> DataFrame:
@@ -248,15 +286,15 @@ def _named(keyed: DataFrame, firsts: DataFrame, components: DataFrame) -> DataFr
     best = materialize(best, "line-best")
     classes = materialize(
         grouped.join(best, "cluster").select(
-            F.col("line").alias("k1"),
-            "k2",
+            F.struct(F.col("line").alias("k1"), "k2").alias("key"),
             F.col("best.doc_id").alias("first_doc"),
             F.col("best.line_no").alias("first_line"),
         ),
         "line-classes",
     )
     kept = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return keyed.join(classes, ["k1", "k2"]).select(
+    rows = keyed.select("doc_id", "line_no", F.struct("k1", "k2").alias("key"))
+    return join_unique(rows, classes, "key", "inner").select(
         "doc_id", "line_no", "first_doc", "first_line", kept.alias("kept")
     )
 
@@ -266,16 +304,17 @@ def drop_duplicate_lines(docs: DataFrame, config: LineDedup = LineDedup()) -> Da
 
     Documents none of whose lines are left have an empty text.
     """
-    gone = (
+    doc, gone = fresh("doc", docs.columns), fresh("gone", docs.columns)
+    lost = (
         line_components(docs, config)
         .where("NOT kept")
-        .groupBy(F.col("doc_id").alias("_doc"))
-        .agg(F.sort_array(F.collect_set("line_no")).alias("_gone"))
+        .groupBy(F.col("doc_id").alias(doc))
+        .agg(F.sort_array(F.collect_set("line_no")).alias(gone))
     )
-    gone = materialize(gone, "line-gone")
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left")
+    lost = materialize(lost, "line-gone")
+    joined = docs.join(lost, docs["doc_id"].cast("long") == lost[doc], "left")
     kept = F.filter(
-        F.split(docs["text"], LINE_END, -1), lambda line, i: ~F.array_contains("_gone", i)
+        F.split(docs["text"], LINE_END, -1), lambda line, i: ~F.array_contains(gone, i)
     )
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(kept, LINE_END))
+    text = F.when(F.col(gone).isNull(), docs["text"]).otherwise(F.array_join(kept, LINE_END))
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])

@@ -1,10 +1,8 @@
 import random
-import re
 
 from casemesh.llm.line_dedup import LineDedup, drop_duplicate_lines, line_components
 from helpers import clash, components, documents, similar_pairs
-
-SHINGLE = re.compile(r"(?=(.{1,12}))\S{1,8}\s*(?:\S{1,3}\s+){0,4}", re.S)
+from test_line_shingles import shingles
 
 
 def expected(ids, texts, percent=80):
@@ -16,7 +14,7 @@ def expected(ids, texts, percent=80):
     first = {}
     for place in sorted(lines):
         first.setdefault(lines[place], place)
-    sets = {place: frozenset(SHINGLE.findall(line)) for line, place in first.items()}
+    sets = {place: shingles(line) for line, place in first.items()}
     groups = components(sets, similar_pairs(sets, percent))
     return {place: groups[first[line]] for place, line in lines.items()}
 

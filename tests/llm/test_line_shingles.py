@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casemesh.llm.line_dedup import LineDedup, band_hashes, line_components, shingle_hashes
+from casemesh.llm.line_dedup import LineDedup, band_hashes, line_components, shingle_hashes, sketch_hashes
 from helpers import clash, components, documents, similar_pairs
 
 
@@ -71,11 +71,34 @@ def test_edited_words_match_brute_force(spark):
 def test_bands_begin_behind_fixed_points(spark):
     rows = spark.createDataFrame([(" ".join(f"word{n * n}" for n in range(40)),)], "line string")
     config = LineDedup()
-    row = rows.select(
-        shingle_hashes(F.col("line"), config).alias("own"), band_hashes(F.col("line"), config).alias("bands")
-    ).first()
+    sketch = sketch_hashes(F.col("line"), config)
+    row = rows.select(sketch.alias("own"), band_hashes(sketch, config).alias("bands")).first()
     own, step = row["own"], (1 << 64) // config.bands
     starts = {sum(h < n * step - (1 << 63) for h in own) % len(own) for n in range(config.bands)}
     ring = own + own[: config.rows]
     slices = spark.createDataFrame([(ring[i : i + config.rows],) for i in starts], "s array<long>")
     assert set(row["bands"]) == {r[0] for r in slices.select(F.xxhash64("s")).collect()}
+
+
+def test_sketches_begin_at_words_and_inside_long_runs(spark):
+    rng = random.Random(6)
+    lines = ["a", "two words", "日本語" * 9, "x" * 40 + " y", "a  b\tc \u2028d", "end of a very-long-run-of-characters so"]
+    lines += ["".join(rng.choices("abc  日", k=rng.randrange(1, 80))).strip() or "x" for _ in range(40)]
+
+    def anchored(line):
+        blank = " \t\n\x0b\f\r"
+        runs = [0] * len(line)
+        for at in range(1, len(line)):
+            runs[at] = 0 if line[at - 1] in blank else runs[at - 1] + 1
+        return {
+            line[at : at + 12] for at in range(len(line))
+            if line[at] not in blank and (runs[at] == 0 or runs[at] >= 12)
+        }
+
+    rows = spark.createDataFrame([(n, line) for n, line in enumerate(lines)], "n int, line string")
+    got = rows.select("n", sketch_hashes(F.col("line"), LineDedup()).alias("own")).collect()
+    pieces = [(n, piece) for n, line in enumerate(lines) for piece in anchored(line)]
+    want: dict = {}
+    for n, code in spark.createDataFrame(pieces, "n int, s string").select("n", F.xxhash64("s")).collect():
+        want.setdefault(n, set()).add(code)
+    assert {r["n"]: set(r["own"]) for r in got} == want
