@@ -1,4 +1,4 @@
-"""What the operators share: the split of the labels, bounded samples, worker state, names."""
+"""What the operators share: the split of the labels, bounded samples, names, worker state."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ import pickle
 import sys
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark import SparkContext, cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemesh.session import scratch_path, scratch_scope
+
 # Fixed values of the split: rows whose id gives this remainder never teach.
 FOLDS = 3
 HELD_OUT_FOLD = 1
@@ -50,6 +53,16 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes, as a written table; the tables it made on the way are removed."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        rows = build()
+        schema = rows.schema
+        rows.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, shared by its tasks.
 

@@ -39,13 +39,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemesh.llm.learning import fresh
+from casemesh.llm.learning import fresh, settled
 from casemesh.operators.duplicates import duplicate_clusters
 from casemesh.operators.joins import join_unique
-from casemesh.session import materialize, materialize_counted, scratch_path, scratch_scope
+from casemesh.session import materialize, materialize_counted
 
 LINE_END = "\n"
 BLANKS = " \t\r\f\v"
+# So many keys of eight bytes go to every executor, and the texts stay where they are.
+SMALL_ROWS = 1 << 20
 
 
 class LineDedup(NamedTuple):
@@ -90,44 +92,48 @@ def sketch_hashes(line: Column, config: LineDedup) -> Column:
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def band_hashes(hashes: Column, config: LineDedup) -> Column:
-    """The bands of a sketch: the hashes behind each fixed point of the circle."""
+def with_bands(sketched: DataFrame, config: LineDedup) -> DataFrame:
+    """``sketched`` with ``bands`` in place of its column ``own``, the hashes of a sketch.
+
+    A band is the hashes behind a fixed point of the circle. One step a projection: a column
+    that is used more than once is computed once, and all but small sketches stay out of
+    lambdas.
+    """
     step = (1 << 64) // config.bands
     points = [F.lit(n * step - (1 << 63)) for n in range(config.bands)]
+    keep = [c for c in sketched.columns if c != "own"]
+    # The points are sorted in with the hashes, so their places tell what follows them.
+    ringed = sketched.select(
+        *keep,
+        F.size("own").alias("size"),
+        F.concat("own", F.slice("own", 1, config.rows - 1)).alias("ring"),
+        F.sort_array(F.concat("own", F.array(*points))).alias("mixed"),
+    )
+    places = [(F.array_position("mixed", p).cast("int") - n).alias(f"at{n}") for n, p in enumerate(points)]
+    placed = ringed.select(*keep, "size", "ring", *places)
 
-    def starts(own: Column) -> Column:
-        # The points are sorted in with the hashes: one scan a point, none by lambda.
-        size = F.size(own)
-        merged = F.sort_array(F.concat(own, F.array(*points)))
-
-        def behind(mixed: Column) -> Column:
-            places = [F.array_position(mixed, p).cast("int") - n for n, p in enumerate(points)]
-            return F.array_distinct(F.array(*[F.when(i > size, 1).otherwise(i) for i in places]))
-
-        every = F.sequence(F.lit(1), size)
-        return F.when(size <= config.bands, every).otherwise(let(merged, behind))
-
-    def bands(own: Column) -> Column:
-        around = F.concat(own, F.slice(own, 1, config.rows - 1))
-        return let(
-            around,
-            lambda ring: F.transform(
-                starts(own), lambda i: F.xxhash64(F.slice(ring, i, F.lit(config.rows)))
-            ),
-        )
+    def band(start: Column) -> Column:
+        return F.xxhash64(*[F.get("ring", start + (k - 1)) for k in range(config.rows)])
 
-    return let(hashes, bands)
+    behind = [
+        band(F.when(F.col(f"at{n}") > F.col("size"), 1).otherwise(F.col(f"at{n}")))
+        for n in range(config.bands)
+    ]
+    every = F.transform(F.sequence(F.lit(1), F.col("size")), band)
+    bands = F.when(F.col("size") <= config.bands, every).otherwise(F.array_distinct(F.array(*behind)))
+    return placed.select(*keep, bands.alias("bands"))
 
 
 def keyed_lines(docs: DataFrame, config: LineDedup) -> DataFrame:
     """``doc_id, line_no``, two hashes of the line, and its bands: one pass over the texts."""
-    return lines_of(docs).select(
+    sketched = lines_of(docs).select(
         "doc_id",
         "line_no",
         F.xxhash64("line").alias("k1"),
         F.xxhash64(F.lit(7), "line").alias("k2"),
-        band_hashes(sketch_hashes(F.col("line"), config), config).alias("bands"),
+        sketch_hashes(F.col("line"), config).alias("own"),
     )
+    return with_bands(sketched, config)
 
 
 def similar(left: Column, right: Column, similarity: int) -> Column:
@@ -237,66 +243,61 @@ def line_components(docs: DataFrame, config: LineDedup = LineDedup()) -> DataFra
 
     ``first_doc`` and ``first_line`` name the line that stays for the component.
     """
+    spark = docs.sparkSession
     keyed = materialize(keyed_lines(docs, config), "line-keys")
+    classes = settled(spark, "line-classes", lambda: _classes(docs, keyed, config))
+    kept = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
+    rows = keyed.select("doc_id", "line_no", F.struct("k1", "k2").alias("key"))
+    return join_unique(rows, classes, "key", "inner").select(
+        "doc_id", "line_no", "first_doc", "first_line", kept.alias("kept")
+    )
+
+
+def _classes(docs: DataFrame, keyed: DataFrame, config: LineDedup) -> DataFrame:
+    """``key, first_doc, first_line``: for each different line the one that stays."""
     firsts = materialize(
         keyed.groupBy("k1", "k2")
         .agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
         .select(F.col("k1").alias("line"), "k2", "first.doc_id", "first.line_no"),
         "line-firsts",
     )
-    return _named(keyed.drop("bands"), firsts, _components(docs, keyed, firsts, config))
+    components = _components(docs, keyed, firsts, config)
+    grouped = firsts.join(
+        components.select(F.col("id").alias("line"), "cluster"), "line", "left"
+    ).withColumn("cluster", F.coalesce("cluster", "line"))
+    best = grouped.groupBy("cluster").agg(F.min(F.struct("doc_id", "line_no")).alias("best"))
+    return grouped.join(materialize(best, "line-best"), "cluster").select(
+        F.struct(F.col("line").alias("k1"), "k2").alias("key"),
+        F.col("best.doc_id").alias("first_doc"),
+        F.col("best.line_no").alias("first_line"),
+    )
 
 
 def _components(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, config: LineDedup) -> DataFrame:
     """``id, cluster`` of the lines that are linked."""
     spark = docs.sparkSession
 
-    def settle(links: DataFrame) -> DataFrame:
-        # Each round writes its edges; with the result written, they can go.
-        path = scratch_path(spark, "line-components")
-        with scratch_scope(spark):
-            duplicate_clusters(links).write.parquet(path)
-        return spark.read.schema("id long, cluster long").parquet(path)
+    def joined(links: DataFrame) -> DataFrame:
+        return settled(spark, "line-components", lambda: duplicate_clusters(links))
 
     members = keyed.select(F.col("k1").alias("line"), F.explode("bands").alias("band"))
-    pairs, seen = materialize_counted(_centers(members), "line-pairs")
-    if not seen["rows"]:
+    pairs = settled(spark, "line-pairs", lambda: _centers(members))
+    if pairs.isEmpty():
         return firsts.select(F.col("line").alias("id"), F.col("line").alias("cluster")).limit(0)
     named = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
+    named, seen = materialize_counted(named.distinct(), "line-named")
     text = lines_of(docs).select(F.xxhash64("line").alias("line"), F.col("line").alias("own"))
     sets = materialize(
-        text.join(named.distinct(), "line", "left_semi")
+        text.join(F.broadcast(named) if seen["rows"] <= SMALL_ROWS else named, "line", "left_semi")
         .select("line", shingle_hashes(F.col("own"), config).alias("shingles"))
         .groupBy("line")
         .agg(F.first("shingles").alias("shingles")),
         "line-sets",
     )
     links = materialize(_verified(pairs, sets, config), "line-links")
-    components = settle(links)
-    more, seen = materialize_counted(_across(pairs, components, sets, config), "line-more")
-    return settle(links.unionByName(more)) if seen["rows"] else components
-
-
-def _named(keyed: DataFrame, firsts: DataFrame, components: DataFrame) -> DataFrame:
-    place = F.struct("doc_id", "line_no")
-    grouped = firsts.join(
-        components.select(F.col("id").alias("line"), "cluster"), "line", "left"
-    ).withColumn("cluster", F.coalesce("cluster", "line"))
-    best = grouped.groupBy("cluster").agg(F.min(place).alias("best"))
-    best = materialize(best, "line-best")
-    classes = materialize(
-        grouped.join(best, "cluster").select(
-            F.struct(F.col("line").alias("k1"), "k2").alias("key"),
-            F.col("best.doc_id").alias("first_doc"),
-            F.col("best.line_no").alias("first_line"),
-        ),
-        "line-classes",
-    )
-    kept = (F.col("doc_id") == F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    rows = keyed.select("doc_id", "line_no", F.struct("k1", "k2").alias("key"))
-    return join_unique(rows, classes, "key", "inner").select(
-        "doc_id", "line_no", "first_doc", "first_line", kept.alias("kept")
-    )
+    components = joined(links)
+    more = settled(spark, "line-more", lambda: _across(pairs, components, sets, config))
+    return components if more.isEmpty() else joined(links.unionByName(more))
 
 
 def drop_duplicate_lines(docs: DataFrame, config: LineDedup = LineDedup()) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casemesh.llm.line_dedup import LineDedup, band_hashes, line_components, shingle_hashes, sketch_hashes
+from casemesh.llm.line_dedup import LineDedup, line_components, shingle_hashes, sketch_hashes, with_bands
 from helpers import clash, components, documents, similar_pairs
 
 
@@ -71,13 +71,13 @@ def test_edited_words_match_brute_force(spark):
 def test_bands_begin_behind_fixed_points(spark):
     rows = spark.createDataFrame([(" ".join(f"word{n * n}" for n in range(40)),)], "line string")
     config = LineDedup()
-    sketch = sketch_hashes(F.col("line"), config)
-    row = rows.select(sketch.alias("own"), band_hashes(sketch, config).alias("bands")).first()
+    sketch = rows.select(sketch_hashes(F.col("line"), config).alias("own"), F.lit(1).alias("n"))
+    row = sketch.join(with_bands(sketch, config), "n").first()
     own, step = row["own"], (1 << 64) // config.bands
     starts = {sum(h < n * step - (1 << 63) for h in own) % len(own) for n in range(config.bands)}
     ring = own + own[: config.rows]
-    slices = spark.createDataFrame([(ring[i : i + config.rows],) for i in starts], "s array<long>")
-    assert set(row["bands"]) == {r[0] for r in slices.select(F.xxhash64("s")).collect()}
+    slices = spark.createDataFrame([ring[i : i + config.rows] for i in starts], "a long, b long, c long, d long")
+    assert set(row["bands"]) == {r[0] for r in slices.select(F.xxhash64("a", "b", "c", "d")).collect()}
 
 
 def test_sketches_begin_at_words_and_inside_long_runs(spark):
