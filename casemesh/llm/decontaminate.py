@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemesh.llm.learning import Shipped
 from casemesh.llm.words import BASE, PUNCTUATION, slices, words
 
 FOUND_SCHEMA = (
@@ -191,7 +192,7 @@ def contaminated(
     spark = docs.sparkSession
     found = None
     for block in benchmark_blocks(benchmark, config):
-        own = docs.mapInArrow(_matcher(spark.sparkContext.broadcast(block), config), FOUND_SCHEMA)
+        own = docs.mapInArrow(_matcher(Shipped(spark.sparkContext, "decontaminate", block), config), FOUND_SCHEMA)
         found = own if found is None else found.unionAll(own)
     return spark.createDataFrame([], FOUND_SCHEMA) if found is None else found
 
@@ -200,7 +201,7 @@ def _matcher(sent, config: Decontamination):
     kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("item_start", "doc_start", "length")]))
 
     def run(batches):
-        block = sent.value
+        block = sent.get()
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for part in slices(lowered(batch.column(1))):

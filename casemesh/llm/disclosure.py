@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemesh.llm.learning import worker_state
 from casemesh.llm.words import FOLDED_VALUES, PUNCTUATION, mix, slices, words
 from casemesh.session import materialize, materialize_counted
 
@@ -152,6 +153,7 @@ def find_entities(docs: DataFrame, config: Disclosure) -> DataFrame:
     """Base spans of every row, and the terms close to them. Rows get a number of their own."""
 
     def run(batches):
+        worker_state("disclosure")
         for batch in batches:
             spans, close, places = [], [], []
             for text in batch.column(2):
@@ -183,6 +185,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     """``term, documents``: over the whole corpus, counted in each task before the shuffle."""
 
     def run(batches):
+        worker_state("disclosure")
         codes, counts = [], []
         for batch in batches:
             for part in slices(batch.column(0)):
@@ -322,6 +325,7 @@ def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
     at = {name: place for place, name in enumerate(joined.columns)}
 
     def run(batches):
+        worker_state("disclosure")
         for batch in batches:
             texts = [
                 text if text is None or not own else generalise(text, [tuple(s.values()) for s in own])

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemesh.llm.learning import worker_state
 from casemesh.llm.words import WHITE, mix, shingles, slices, words
 from casemesh.operators.joins import join_unique
 from casemesh.session import materialize_counted
@@ -86,6 +87,7 @@ def measures(docs: DataFrame) -> DataFrame:
     """``doc_id, source`` and the measures of every row, one pass over the texts."""
 
     def run(batches):
+        worker_state("host_rules")
         for batch in batches:
             for part in slices(batch.column(2)):
                 rows = part.high - part.low

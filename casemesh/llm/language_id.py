@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casemesh.llm.learning import bounded_sample, held_out, teaches, worker_state
+from casemesh.llm.learning import Shipped, bounded_sample, held_out, teaches, worker_state
 from casemesh.llm.words import slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -168,19 +168,22 @@ def identify(text: str | None, memo: _Memo) -> tuple[str, float]:
     return memo.model.languages[best], float(1.0 / np.exp(mean - mean[best]).sum())
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; all columns stay."""
-    sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*names)
+def predict(
+    docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", score: str = "score"
+) -> DataFrame:
+    """``docs`` with the columns ``lang`` and ``score``, names it must not have; all others
+    stay."""
+    names = docs.columns
+    if {lang.lower(), score.lower()} & {c.lower() for c in names}:
+        raise ValueError(f"the table has a column named {lang} or {score}")
+    sent = Shipped(docs.sparkSession.sparkContext, "language", model)
     at = names.index("text")
-    key = f"{sc.applicationId}-{id(sent)}"
 
     def run(batches):
+        model = sent.get()
         state = worker_state("language")
-        if state.get("key") != key:
-            state.update(key=key, memo=_Memo(sent.value))
+        if "memo" not in state:
+            state["memo"] = _Memo(model)
         for batch in batches:
             found = [
                 identify(text, state["memo"])
@@ -193,10 +196,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     pa.array([lang for lang, _ in found], pa.string()),
                     pa.array([score for _, score in found], pa.float64()),
                 ],
-                [*names, "lang_pred", "score"],
+                [*names, lang, score],
             )
 
-    added = T.StructType().add("lang_pred", "string").add("score", "double")
+    added = T.StructType().add(lang, "string").add(score, "double")
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 
 

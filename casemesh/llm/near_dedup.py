@@ -15,8 +15,9 @@
    and only links that join components become rows.
 
 Defined cases: null or wordless texts have no shingles and no link; rows without id take no
-part and are kept; rows that repeat an id are one document for the links and all come back;
-other columns are ignored; an empty table gives an empty result.
+part and are kept; rows that repeat an id are one document and all come back; where their
+texts differ, the smallest set (by size, then fingerprint) is the one that is compared; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemesh.llm.learning import settled, worker_state
 from casemesh.llm.words import FOLDED_VALUES, constants, shingle_sets, slices, words
 from casemesh.operators.duplicates import duplicate_clusters
+from casemesh.operators.joins import join_unique
 from casemesh.session import materialize
 
 VALUE_BYTES = 4
@@ -62,6 +65,15 @@ def signature(shingle_set: np.ndarray, factors: np.ndarray) -> bytes:
     return (least >> np.uint64(32)).astype("<u4").tobytes()
 
 
+def fingerprint(shingle_set: np.ndarray) -> tuple[int, int]:
+    """Two numbers that, with the size, tell a set from others."""
+    mixed = shingle_set * (shingle_set | np.uint64(1))
+    return (
+        int(shingle_set.sum(dtype=np.uint64).view(np.int64)),
+        int(np.bitwise_xor.reduce(mixed).view(np.int64)),
+    )
+
+
 def least_agreements(config: NearDedup) -> list[tuple[int, int]]:
     """``(m, c)``: fewer than ``c`` agreements among the first ``m`` values drop a pair.
 
@@ -103,6 +115,7 @@ def sketch(docs: DataFrame, config: NearDedup) -> DataFrame:
     factors = constants(config.values, 3)
 
     def run(batches):
+        worker_state("near_dedup")
         for batch in batches:
             ids, out = batch.column(0), []
             for part in slices(batch.column(1)):
@@ -111,13 +124,7 @@ def sketch(docs: DataFrame, config: NearDedup) -> DataFrame:
                     if not len(own):
                         out.append((0, None, None, None))
                         continue
-                    mixed = own * (own | np.uint64(1))
-                    out.append((
-                        len(own),
-                        int(own.sum(dtype=np.uint64).view(np.int64)),
-                        int(np.bitwise_xor.reduce(mixed).view(np.int64)),
-                        signature(own, factors),
-                    ))
+                    out.append((len(own), *fingerprint(own), signature(own, factors)))
             counts, sums, mixes, signs = zip(*out) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [
@@ -136,20 +143,29 @@ def sketch(docs: DataFrame, config: NearDedup) -> DataFrame:
 
 
 def shingle_table(docs: DataFrame, config: NearDedup) -> DataFrame:
-    """``doc_id, shingles``: the sorted set as packed 64-bit values."""
+    """``doc_id, n, total, mixed, shingles``: the sorted set as packed 64-bit values, and
+    what tells it apart from others."""
 
     def run(batches):
+        worker_state("near_dedup")
         for batch in batches:
             ids = batch.column(0)
             for part in slices(batch.column(1)):
                 found = words(part.data, part.bounds, values=FOLDED_VALUES)
-                sets = [own.tobytes() for own in shingle_sets(found, config.width)]
+                sets = list(shingle_sets(found, config.width))
+                marks = [fingerprint(own) for own in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(part.low, part.high - part.low), pa.array(sets, pa.binary())],
-                    ["doc_id", "shingles"],
+                    [
+                        ids.slice(part.low, part.high - part.low),
+                        pa.array([len(own) for own in sets], pa.int64()),
+                        pa.array([total for total, _ in marks], pa.int64()),
+                        pa.array([mixed for _, mixed in marks], pa.int64()),
+                        pa.array([own.tobytes() for own in sets], pa.binary()),
+                    ],
+                    ["doc_id", "n", "total", "mixed", "shingles"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, n long, total long, mixed long, shingles binary")
 
 
 def _prune(pairs: DataFrame, firsts: DataFrame, config: NearDedup) -> DataFrame:
@@ -160,6 +176,7 @@ def _prune(pairs: DataFrame, firsts: DataFrame, config: NearDedup) -> DataFrame:
     )
 
     def run(batches):
+        worker_state("near_dedup")
         for batch in batches:
             left = _signatures(batch.column(2), config.values)
             right = _signatures(batch.column(3), config.values)
@@ -191,6 +208,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, config: NearDedup) -> DataFrame:
     ).join(sets.select(F.col("a").alias("b"), F.col("shingles").alias("right")), "b")
 
     def run(batches):
+        worker_state("near_dedup")
         for batch in batches:
             keep = pa.array(
                 [
@@ -293,6 +311,7 @@ def _across(members: DataFrame, firsts: DataFrame, sets: DataFrame, config: Near
         )
 
     def run(batches):
+        worker_state("near_dedup")
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
@@ -340,38 +359,77 @@ def near_duplicates(docs: DataFrame, config: NearDedup = NearDedup()) -> DataFra
 
     ``component_id`` is the smallest id linked to the row, directly or through others.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketched = materialize(sketch(docs, config), "near-sketches")
-    whole = ["n_shingles", "set_sum", "set_mix"]
+    # A set is one column, so that joins can be salted where many texts share it.
+    whole = F.when(F.col("n_shingles") > 0, F.struct("n_shingles", "set_sum", "set_mix"))
+    sketched = materialize(sketch(docs, config), "near-sketches").withColumn("whole", whole)
+    several = settled(spark, "near-several", lambda: _several(sketched))
+    if several.isEmpty():
+        own = sketched
+    else:
+        sketched = join_unique(sketched, several, "doc_id")
+        own = sketched.where("chosen IS NULL OR chosen = whole")
+        sketched = sketched.withColumn("whole", F.coalesce("chosen", "whole"))
+    named = settled(spark, "near-classes", lambda: _classes(docs, own, config))
+    rows = sketched.select("doc_id", "n_shingles", "whole")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return (
+        join_unique(rows, named, "whole")
+        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    )
+
+
+def _several(sketched: DataFrame) -> DataFrame:
+    """``doc_id, chosen``: the set that counts for an id whose rows differ, the smallest."""
+    return (
+        sketched.where("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(
+            F.min("whole").alias("chosen"),
+            F.max("whole").alias("largest"),
+            F.count("whole").alias("filled"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .where("chosen <> largest OR (filled > 0 AND filled < rows)")
+        .select("doc_id", "chosen")
+    )
+
+
+def _classes(docs: DataFrame, sketched: DataFrame, config: NearDedup) -> DataFrame:
+    """``whole, component_id`` of each different set."""
+    spark = docs.sparkSession
     firsts = materialize(
-        sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy(*whole)
+        sketched.where("whole IS NOT NULL AND doc_id IS NOT NULL")
+        .groupBy("whole")
         .agg(F.min("doc_id").alias("a"), F.first("signature").alias("signature")),
         "near-firsts",
     )
     bands = _bands(firsts, config)
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(bands.join(buckets, "band").select("a", "band", "members"), "near-shared")
-    pairs = materialize(_centers(shared), "near-pairs")
+    pairs = settled(spark, "near-pairs", lambda: _centers(shared))
     close = materialize(_prune(pairs, firsts, config), "near-plausible")
     banded = shared.select(F.col("a").alias("doc_id")).distinct()
-    sets = materialize(
-        shingle_table(docs.join(banded, "doc_id", "left_semi"), config), "near-sets"
-    ).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "a")
+    # Written one per id, so that joins with them can be split where a center is hot.
+    sets = settled(
+        spark,
+        "near-sets",
+        lambda: materialize(
+            shingle_table(docs.join(banded, "doc_id", "left_semi"), config), "near-all-sets"
+        )
+        .where("n > 0")
+        .groupBy("doc_id")
+        .agg(F.min_by("shingles", F.struct("n", "total", "mixed")).alias("shingles"))
+        .withColumnRenamed("doc_id", "a"),
+    )
     links = materialize(_verify(close, sets, config), "near-links")
-    components = materialize(duplicate_clusters(links), "near-components")
+    components = settled(spark, "near-components", lambda: duplicate_clusters(links))
     members = materialize(_blocks(pairs, components, config), "near-outside")
-    more = materialize(_across(members, firsts, sets, config), "near-more-links")
+    more = settled(spark, "near-more-links", lambda: _across(members, firsts, sets, config))
     if not more.isEmpty():
         components = duplicate_clusters(links.unionByName(more))
-    named = firsts.join(components, F.col("a") == F.col("id"), "left").select(
-        *whole, F.coalesce("cluster", "a").alias("component_id")
-    )
-    named = materialize(named, "near-classes")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return (
-        sketched.drop("signature")
-        .join(named, whole, "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return firsts.join(components, F.col("a") == F.col("id"), "left").select(
+        "whole", F.coalesce("cluster", "a").alias("component_id")
     )

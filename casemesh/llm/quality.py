@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemesh.llm.boosting import Boosting, Trees, train
-from casemesh.llm.learning import bounded_sample, held_out, teaches
+from casemesh.llm.learning import Shipped, bounded_sample, held_out, teaches
 from casemesh.llm.statistics import statistics
 from casemesh.llm.words import slices
 
@@ -96,9 +96,9 @@ def fit_quality(
 
 def predict_quality(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession.sparkContext, "quality", model)
     scored = score_column(
-        docs, lambda data, bounds: sent.value.probability(statistics(data, bounds))
+        docs, lambda data, bounds: sent.get().probability(statistics(data, bounds))
     )
     return scored.select(
         "doc_id",

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from casemesh.llm.boosting import Boosting, Isotonic, Trees, isotonic, train
 from casemesh.llm.host_rules import per_text
-from casemesh.llm.learning import held_out
+from casemesh.llm.learning import Shipped, held_out
 from casemesh.llm.quality import TRAIN_ROWS, collect_features, labelled_sample, score_column
 from casemesh.llm.statistics import DIGIT, LOWER, PUNCT, SHOUT, UPPER
 from casemesh.llm.words import (
@@ -257,10 +257,10 @@ def fit_toxicity(
 
 def predict_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession.sparkContext, "toxicity", model)
 
     def score(data, bounds):
-        own = sent.value
+        own = sent.get()
         return own.calibration(own.trees.probability(toxic_features(data, bounds, own.lexicon)))
 
     return score_column(docs, score).select(

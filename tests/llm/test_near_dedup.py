@@ -70,3 +70,16 @@ def test_blocks_link_each_pair_of_components_once():
     sign = np.ones((3, 2), dtype=np.uint32)
     block = np.array([4, 7, 9]), np.array([4, 7, 9]), sign, sets
     assert links_between(block, block, config) == [(7, 4)]
+
+
+def test_ids_with_different_texts_are_one_document_whatever_the_layout(spark):
+    base = " ".join(f"w{n}" for n in range(60))
+    other = " ".join(f"x{n}" for n in range(40))
+    texts = [base, other, other, base, None, other + " y"]
+    ids = [7, 7, 3, 2, 7, 9]
+    for partitions in (1, 2, 5):
+        rows = near_duplicates(documents(spark, texts, ids, partitions=partitions)).collect()
+        # The smaller set of id 7 counts for all of its rows.
+        assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [
+            (2, 2), (3, 3), (7, 3), (7, 3), (7, 3), (9, 3),
+        ]
