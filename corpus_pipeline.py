@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemesh.llm.decontaminate import contaminated
 from casemesh.llm.language_id import UNDETERMINED, fit, predict
+from casemesh.llm.learning import fresh, settled
 from casemesh.llm.line_dedup import drop_duplicate_lines
 from casemesh.llm.near_dedup import near_duplicates
 from casemesh.llm.packing import pack
@@ -19,8 +22,9 @@ LEAST_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without letters go."""
-    known = predict(docs, fit(docs))
-    told = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+    lang, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    known = predict(docs, fit(docs), lang, score)
+    told = (F.col(lang) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)
     return known.where(told).select(*docs.columns)
 
 
@@ -60,8 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn; what a stage keeps is written and read again for the next one."""
+    """Every stage in turn; what a stage keeps is written and read again for the next one,
+    and the tables it made on the way are removed."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, f"pipeline-{name}", partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
