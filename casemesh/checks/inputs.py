@@ -113,3 +113,24 @@ def two_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("url").alias("media_path"),
         (F.col("lang") == "fr").alias("is_file"),
     )
+
+
+def spoken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per turn of a conversation: its first two words as a phrase, and its third."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"))
+    forcing = F.col("conv_id") % 5 != 0
+    return (
+        table(spark, sf_dir, "conversations")
+        .select("conv_id", "turn", words.alias("w"))
+        .where(F.size("w") >= 3)
+        .select(
+            F.concat_ws("-", F.lit("R"), "conv_id", "turn").alias("rule"),
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("priority"),
+            F.array(
+                F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))), F.get("w", F.lit(2))
+            ).alias("keywords"),
+            F.when(forcing, F.concat(F.lit("Officer_"), "turn")).alias("officer"),
+            F.when(forcing & (F.col("turn") == 0), F.lit("High")).alias("priority_label"),
+            F.lit(None).cast("string").alias("eta_label"),
+        )
+    )

@@ -65,6 +65,36 @@ FIELDS = f"""
 
 TRIAGE_RULES = f"WITH {STAGED} SELECT complaint_id, status, {FIELDS} FROM staged"
 
+SPOKEN_WORD = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+TRIAGE_RULE_TABLE = f"""
+WITH {STAGED},
+spoken AS (SELECT conv_id, turn, {SPOKEN_WORD} AS w FROM conversations),
+rule AS (
+  SELECT 'R-' || conv_id || '-' || turn AS rule, conv_id * 1000 + turn AS priority,
+    conv_id % 5 <> 0 AS forcing, 'Officer_' || turn AS officer, turn, w
+  FROM spoken WHERE len(w) >= 3),
+keyword AS (
+  SELECT DISTINCT rule, unnest([w[1] || ' ' || w[2], w[3]]) AS word FROM rule),
+near AS MATERIALIZED (
+  SELECT complaint_id, text, word FROM staged, (SELECT DISTINCT word FROM keyword)
+  WHERE contains(lower(text), word)),
+hit AS (
+  SELECT DISTINCT complaint_id, word FROM near
+  WHERE regexp_matches(lower(text), '(^|[^{WORD}])(' || word || ')([^{WORD}]|$)')),
+fired AS (
+  SELECT complaint_id, rule, forcing, officer, turn FROM hit JOIN keyword USING (word) JOIN rule USING (rule)
+  QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY forcing, priority, rule) = 1)
+SELECT s.complaint_id,
+  CASE WHEN status IN ('pending', 'failure', 'rejected') THEN status
+    WHEN f.rule IS NULL THEN 'model' WHEN forcing THEN f.rule ELSE 'out_of_scope' END AS status,
+  CASE WHEN status NOT IN ('pending', 'failure', 'rejected') THEN f.rule END AS rule,
+  CASE WHEN status NOT IN ('pending', 'failure', 'rejected') AND forcing THEN officer END AS forced_officer,
+  CASE WHEN status NOT IN ('pending', 'failure', 'rejected') AND forcing AND turn = 0 THEN 'High' END
+    AS forced_priority,
+  NULL::VARCHAR AS forced_eta
+FROM staged s LEFT JOIN fired f USING (complaint_id)
+"""
+
 ETA_LABEL = """
 SELECT event_id,
   CASE WHEN event_type = 'error' THEN '0.1 Days' ELSE printf('%.1f', value) || ' Days' END
@@ -440,6 +470,7 @@ ORACLE_SQL = {
     "text_features": TEXT_FEATURES,
     "similar_text_topk": SIMILAR_TEXT_TOPK,
     "triage_explained": TRIAGE_EXPLAINED,
+    "triage_rule_table": TRIAGE_RULE_TABLE,
     "duplicate_pairs": DUPLICATE_PAIRS,
     "duplicate_clusters": DUPLICATE_CLUSTERS,
     "eval_metrics": EVAL_METRICS,

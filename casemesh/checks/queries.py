@@ -14,6 +14,7 @@ from casemesh.functions.hashing import md5_bucket
 from casemesh.operators import duplicates, evaluate, features, learn, modality, report, rules
 from casemesh.operators.clean import ROWS_PER_RANGE, clean_history, with_position_id
 from casemesh.operators.neighbours import Layout, k_nearest, with_payload
+from casemesh.operators.phrases import apply_rule_table
 from casemesh.plans import training
 from casemesh.plans.lookup import similar_text
 from casemesh.plans.triage import triage, triage_rules
@@ -35,6 +36,16 @@ def q_triage_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select(*DECISION)
 
 
+def q_triage_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules as rows: some thousands of them, taken from what is said in conversations."""
+    requests = inputs.requests(spark, sf_dir).withColumnRenamed("text_input", "complaint_text")
+    blank = tx.is_blank(F.col("complaint_text"))
+    usable = requests.withColumn("complaint_text", F.when(~blank, F.col("complaint_text")))
+    return apply_rule_table(usable, inputs.spoken_rules(spark, sf_dir)).select(
+        "complaint_id", "status", "rule", "forced_officer", "forced_priority", "forced_eta"
+    )
+
+
 def q_triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions, taken while the two tables arrive as streams."""
 
