@@ -349,15 +349,27 @@ SELECT complaint_id, rank, doc_id, round(distance, 4) AS distance FROM nearest
 """
 
 DUPLICATES = f"""
-{DOCUMENT_TEXTS}, {HASHED},
+{DOCUMENT_TEXTS},
+counts AS (
+  SELECT id, term, count(*) AS c
+  FROM (SELECT id, unnest({TOKENS % 'text'}) AS term FROM all_texts) GROUP BY id, term),
+idf AS (
+  SELECT term, ln(((SELECT count(*) FROM all_texts) + 1.0) / (count(*) + 1.0)) AS idf
+  FROM counts GROUP BY term),
+weights AS (SELECT id, term, c * idf AS w FROM counts JOIN idf USING (term) WHERE idf > 0),
+lengths AS (SELECT id, sqrt(sum(w * w)) AS length FROM weights GROUP BY id),
 firsts AS (
   SELECT id, min(id) OVER (PARTITION BY array_to_string({TOKENS % 'text'}, ' ')) AS first
   FROM all_texts),
-reps AS (SELECT d.id, d.v FROM dense d JOIN firsts f ON f.id = d.id AND f.first = d.id),
+reps AS (
+  SELECT w.id, term, w / length AS w
+  FROM weights w JOIN lengths USING (id) JOIN firsts f ON f.id = w.id AND f.first = f.id),
+products AS (
+  SELECT x.id AS a, y.id AS b, round(1 - sum(x.w * y.w), 9) AS distance
+  FROM reps x JOIN reps y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id),
 pairs AS (
-  SELECT x.id AS a, y.id AS b, round(1 - list_inner_product(x.v, y.v), 9) AS distance
-  FROM reps x JOIN reps y ON x.id < y.id
-  WHERE round(1 - list_inner_product(x.v, y.v), 9) <= round(1 - {inputs.DUPLICATE_COSINE}, 9)
+  SELECT a, b, distance FROM products
+  WHERE distance <= round(1 - {inputs.DUPLICATE_COSINE}, 9)
   UNION ALL
   SELECT first, id, 0.0 FROM firsts WHERE first < id)
 """

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemesh.operators.features import TOKEN_PATTERN, as_array, fit_featurize
+from casemesh.operators.features import TOKEN_PATTERN
 from casemesh.operators.joins import join_unique
-from casemesh.operators.neighbours import Layout, links_within, pairs_within
-from casemesh.session import materialize, materialize_counted
+from casemesh.operators.text_join import (
+    TextJoin,
+    similar_text_links,
+    similar_texts,
+    text_vectors,
+)
+from casemesh.session import materialize_counted
 
 
 def word_key(text):
@@ -41,16 +46,10 @@ def split_copies(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return firsts.select(F.col("a").alias(id_col)), copies.where("a < b").select("a", "b")
 
 
-def _distinct_text_vectors(df, id_col, text_col):
-    """Vectors of the first of every text, weighted by all texts, and the copy links.
-
-    Vectors are written because the join reads them more than once.
-    """
+def _distinct_text_vectors(df, id_col, text_col, config: TextJoin):
+    """Vectors of the first of every text, weighted by all texts, and the copy links."""
     firsts, copies = split_copies(df, id_col, text_col)
-    texts = df.select(id_col, F.col(text_col).alias("complaint_text"))
-    _, featured = fit_featurize(texts, keep_text=False)
-    vectors = featured.select(id_col, as_array(F.col("features")).alias("embedding"))
-    return materialize(vectors.join(firsts, id_col, "left_semi"), "text-vectors"), copies
+    return text_vectors(df, id_col, text_col, config.threshold, firsts), copies
 
 
 def duplicate_pairs(
@@ -58,16 +57,17 @@ def duplicate_pairs(
     threshold: float = 0.95,
     id_col: str = "id",
     text_col: str = "complaint_text",
-    layout: Layout = Layout(),
+    block: int = TextJoin().block,
 ) -> DataFrame:
     """``a, b, similarity``: each copy of a text with the first of them, and every pair of
-    such firsts whose cosine is at least ``threshold``.
+    such firsts whose cosine of weighted words is at least ``threshold``.
 
     Two copies of one text, and a near copy of a first with that first's copies, are paired
     by way of the first only. Texts without words are in no pair.
     """
-    vectors, copies = _distinct_text_vectors(df, id_col, text_col)
-    near = pairs_within(vectors, 1.0 - threshold, id_col=id_col, metric="cosine", layout=layout)
+    config = TextJoin(threshold, block)
+    vectors, copies = _distinct_text_vectors(df, id_col, text_col, config)
+    near = similar_texts(vectors, config)
     return near.select("a", "b", (1.0 - F.col("distance")).alias("similarity")).unionByName(
         copies.withColumn("similarity", F.lit(1.0))
     )
@@ -78,12 +78,12 @@ def duplicate_groups(
     threshold: float = 0.95,
     id_col: str = "id",
     text_col: str = "complaint_text",
-    layout: Layout = Layout(),
+    block: int = TextJoin().block,
 ) -> DataFrame:
     """``id_col, cluster``: the groups ``duplicate_pairs`` would connect, without its pairs."""
-    vectors, copies = _distinct_text_vectors(df, id_col, text_col)
-    links = links_within(vectors, 1.0 - threshold, id_col=id_col, metric="cosine", layout=layout)
-    groups = duplicate_clusters(links.unionByName(copies))
+    config = TextJoin(threshold, block)
+    vectors, copies = _distinct_text_vectors(df, id_col, text_col, config)
+    groups = duplicate_clusters(similar_text_links(vectors, config).unionByName(copies))
     return groups.withColumnRenamed("id", id_col)
 
 

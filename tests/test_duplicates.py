@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from casemesh.operators.cells import Layout
 from casemesh.operators.duplicates import (
     duplicate_clusters,
     duplicate_groups,
@@ -10,8 +9,6 @@ from casemesh.operators.duplicates import (
     split_copies,
 )
 
-SMALL = Layout(block_rows=20, query_rows=15, broadcast_bytes=0)
-
 
 def components(pairs):
     parent = {}
@@ -69,11 +66,11 @@ def test_copies_are_linked_to_their_first(spark):
     assert sorted(tuple(r) for r in copies.collect()) == [(0, i) for i in range(70, 105)]
 
 
-@pytest.mark.parametrize("layout", [Layout(), SMALL])
-def test_pairs_and_groups_agree(spark, layout):
+@pytest.mark.parametrize("block", [256, 4])
+def test_pairs_and_groups_agree(spark, block):
     df, _ = texts(spark)
-    pairs = duplicate_pairs(df, 0.95, layout=layout).collect()
+    pairs = duplicate_pairs(df, 0.95, block=block).collect()
     linked = {(r.a, r.b) for r in pairs}
     assert len(linked) == len(pairs) and {(i, 60 + i) for i in range(10)} <= linked
-    groups = duplicate_groups(df, 0.95, layout=layout).collect()
+    groups = duplicate_groups(df, 0.95, block=block).collect()
     assert {r.id: r.cluster for r in groups} == components(linked)
