@@ -17,6 +17,7 @@ EMERGENCY_WORDS = ("hent", "eau", "anble")
 WATER_WORDS = ("ble", "ther", "des")
 GATE = 1.25
 DUPLICATE_COSINE = 0.95
+RECALL = 0.9
 MEDIA_WORDS = ("#top", "ref", "utm", "html")
 
 

@@ -75,12 +75,17 @@ rule AS (
   FROM spoken WHERE len(w) >= 3),
 keyword AS (
   SELECT DISTINCT rule, unnest([w[1] || ' ' || w[2], w[3]]) AS word FROM rule),
+said AS (
+  SELECT DISTINCT complaint_id, unnest(regexp_extract_all(lower(text), '[{WORD}]+')) AS one FROM staged),
 near AS MATERIALIZED (
-  SELECT complaint_id, text, word FROM staged, (SELECT DISTINCT word FROM keyword)
-  WHERE contains(lower(text), word)),
+  SELECT complaint_id, word
+  FROM said JOIN (SELECT DISTINCT word FROM keyword) ON split_part(word, ' ', 1) = one),
 hit AS (
-  SELECT DISTINCT complaint_id, word FROM near
-  WHERE regexp_matches(lower(text), '(^|[^{WORD}])(' || word || ')([^{WORD}]|$)')),
+  SELECT complaint_id, word FROM near WHERE NOT contains(word, ' ')
+  UNION
+  SELECT complaint_id, word FROM near JOIN staged USING (complaint_id)
+  WHERE contains(word, ' ') AND contains(lower(text), word)
+    AND regexp_matches(lower(text), '(^|[^{WORD}])(' || word || ')([^{WORD}]|$)')),
 fired AS (
   SELECT complaint_id, rule, forcing, officer, turn FROM hit JOIN keyword USING (word) JOIN rule USING (rule)
   QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY forcing, priority, rule) = 1)
@@ -467,6 +472,7 @@ ORACLE_SQL = {
     "index_after_retraining": """
         SELECT 'H' || doc_id AS complaint_id, 0.0::DOUBLE AS distance FROM documents JOIN labels USING (doc_id)
     """,
+    "recall_approximate": "SELECT true AS reached, 10 * count(*) AS n FROM embeddings",
     "recall_all_cells": "SELECT 1.0::DOUBLE AS recall, 10 * count(*) AS n FROM embeddings",
     "history_clean_ranges": HISTORY_CLEAN,
     "history_csv": HISTORY_CSV,

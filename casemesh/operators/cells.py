@@ -177,6 +177,7 @@ def candidate_cells(
     need: int = 1,
     nprobe: int | None = None,
     radius: float | None = None,
+    share: float = 1.0,
 ) -> DataFrame:
     """Adds ``cells``: those that may hold an answer to the query.
 
@@ -185,12 +186,13 @@ def candidate_cells(
     left out only when even its nearest possible point, by its radii or by the plane
     between the two pivots, is further away. With ``nprobe``
     the nearest that many cells are taken instead, and more where they hold fewer than
-    ``need`` entries.
+    ``need`` entries. A ``share`` below 1 leaves out cells that begin further away than that
+    share of the largest useful distance, but never the query's own.
     """
     pivots = queries.sparkSession.sparkContext.broadcast(cells.pivots[cells.stats["cell"]])
     metric = cells.metric
     ids, sizes = cells.stats["cell"].astype(np.int32), cells.stats["n"]
-    low, high = cells.stats["low"], cells.stats["high"]
+    stats = cells.stats
     fields = [f for f in queries.schema.fields if f.name != "bound"]
     names = [f.name for f in fields] + ["cells"]
     schema = T.StructType(fields + [T.StructField("cells", T.ArrayType(T.IntegerType()))])
@@ -198,14 +200,8 @@ def candidate_cells(
     def reach(batch, to_pivot):
         if radius is not None:
             return np.full(len(to_pivot), radius)
-        full = sizes >= need
-        sure = np.full(len(to_pivot), np.inf)
-        if full.any():
-            sure = (to_pivot + high)[:, full].min(axis=1)
-        if "bound" in batch.schema.names:
-            seen = batch["bound"].to_numpy(zero_copy_only=False).astype(np.float64)
-            sure = np.fmin(sure, np.where(np.isnan(seen), np.inf, seen))
-        return sure
+        bound = batch["bound"] if "bound" in batch.schema.names else None
+        return useful_distance(to_pivot, stats, need, bound)
 
     def choose(batches):
         for batch, to_pivot in _by_strips(batches, pivots.value, metric, "query"):
@@ -214,9 +210,10 @@ def candidate_cells(
                 enough = (np.cumsum(sizes[near], axis=1) < need).sum(axis=1) + 1
                 lists = [ids[row[: max(nprobe, n)]] for row, n in zip(near, enough)]
             else:
-                gap = np.maximum(to_pivot - high, low - to_pivot)
-                np.maximum(gap, _beyond_planes(to_pivot, pivots.value), out=gap)
-                lists = [ids[row] for row in gap <= reach(batch, to_pivot)[:, None] + SLACK]
+                gap = cell_gaps(to_pivot, pivots.value, stats)
+                visited = gap <= share * reach(batch, to_pivot)[:, None] + SLACK
+                visited[np.arange(len(gap)), to_pivot.argmin(axis=1)] = True
+                lists = [ids[row] for row in visited]
             kept = [batch[f.name] for f in fields]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(lists, pa.list_(pa.int32()))], names=names
@@ -225,6 +222,25 @@ def candidate_cells(
     return materialize(queries.mapInArrow(choose, schema), "query-cells")
 
 
+def useful_distance(to_pivot: np.ndarray, stats: dict, need: int, bound=None) -> np.ndarray:
+    """The distance no answer of a query lies beyond: its ``bound``, or what the cell radii
+    alone guarantee for ``need`` entries."""
+    full = stats["n"] >= need
+    sure = np.full(len(to_pivot), np.inf)
+    if full.any():
+        sure = (to_pivot + stats["high"])[:, full].min(axis=1)
+    if bound is not None:
+        seen = bound.to_numpy(zero_copy_only=False).astype(np.float64)
+        sure = np.fmin(sure, np.where(np.isnan(seen), np.inf, seen))
+    return sure
+
+
+def cell_gaps(to_pivot: np.ndarray, pivots: np.ndarray, stats: dict) -> np.ndarray:
+    """How far from each query each cell begins, at least."""
+    gap = np.maximum(to_pivot - stats["high"], stats["low"] - to_pivot)
+    return np.maximum(gap, _beyond_planes(to_pivot, pivots), out=gap)
+
+
 def _beyond_planes(to_pivot: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """How far each query is from the plane between its own pivot and every other one.
 

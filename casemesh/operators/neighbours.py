@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,19 @@ from casemesh.operators.blocks import (
     DECIMALS,
     k_nearest_in_block,
     links_in_block,
+    matrix_of,
     pairs_in_block,
+    square_distances,
 )
 from casemesh.operators.cells import CellIndex, Layout
 from casemesh.operators.joins import join_unique
 from casemesh.session import materialize, materialize_counted
 
 METRICS = ("l2sq", "cosine")
+# Queries whose exact answers tell how far others have to look, and how many standard errors
+# below its mean their recall must still reach the target.
+RECALL_QUERIES = 400
+RECALL_ERRORS = 2.0
 BYTES_PER_NUMBER = 8
 
 
@@ -91,17 +98,24 @@ def k_nearest(
     metric: str = "l2sq",
     exclude_self: bool = False,
     nprobe: int | None = None,
+    recall: float | None = None,
     layout: Layout = Layout(),
 ) -> DataFrame:
     """The k nearest index entries of every query: ``query_id, rank, id, distance``.
 
-    Exact by default; ``nprobe`` looks only into that many nearest cells. Ties are broken
+    Exact by default; ``nprobe`` looks only into that many nearest cells. With ``recall``
+    each query stops by its own evidence: it leaves out cells that begin beyond a share of
+    the k-th distance it has already, and that share is fitted on the exact answers of a
+    hashed sample of the queries, so that the share of exact matches found is ``recall`` at
+    least. An index small enough to be broadcast is searched exactly all the same. Ties are broken
     by ``index_id``. Each query row has its own answer, ids that repeat included. Both
     inputs may be read more than once: hand in
     tables, or ``materialize`` what is costly to derive.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    if recall is not None and (nprobe is not None or not 0.0 < recall <= 1.0):
+        raise ValueError("recall is a share, and instead of nprobe")
     left = _vectors(queries, query_id, query_vec, "qid")
     depth = k + 1 if exclude_self else k
     compare = k_nearest_in_block(metric, k, exclude_self)
@@ -112,7 +126,7 @@ def k_nearest(
             raise ValueError(f"cells were prepared for {index.metric}, k < {index.depth}")
         id_type = index.entries.schema["ids"].dataType.elementType.simpleString()
         schema = f"qid {qid_type}, rank int, id {id_type}, distance double"
-        found = _through_cells(left, index, k, depth, nprobe, compare, schema)
+        found = _through_cells(left, index, k, depth, nprobe, recall, compare, schema)
     else:
         right = _vectors(index, index_id, index_vec, "id")
         id_type = right.schema["id"].dataType.simpleString()
@@ -125,21 +139,74 @@ def k_nearest(
             found = left.sparkSession.createDataFrame([], schema)
         else:
             cells = ce.build_cells(right, rows, metric, depth, layout)
-            found = _through_cells(left, cells, k, depth, nprobe, compare, schema)
+            found = _through_cells(left, cells, k, depth, nprobe, recall, compare, schema)
     return found.select(F.col("qid").alias(query_id), "rank", "id", "distance")
 
 
-def _through_cells(left, cells: CellIndex, k, depth, nprobe, compare, schema) -> DataFrame:
+def _through_cells(left, cells: CellIndex, k, depth, nprobe, recall, compare, schema) -> DataFrame:
     # Rows are told apart by a number of their own; it is written, as two passes use it.
-    left = materialize(left.withColumn("qkey", F.monotonically_increasing_id()), "query-rows")
+    numbered = left.withColumn("qkey", F.monotonically_increasing_id())
+    left, seen = materialize_counted(numbered, "query-rows")
     schema = f"qkey long, {schema}"
+    share = 1.0
     if nprobe is None:
         left = _with_bound(left, cells, k, compare, schema)
-    candidates = ce.candidate_cells(left, cells, depth, nprobe)
+        if recall is not None:
+            left = materialize(left, "query-bounds")
+            share = _fitted_share(left, seen["rows"], cells, k, depth, recall, compare, schema)
+    candidates = ce.candidate_cells(left, cells, depth, nprobe, share=share)
+    return _best_of(candidates, cells, k, compare, schema).drop("qkey")
+
+
+def _best_of(candidates: DataFrame, cells: CellIndex, k: int, compare, schema: str) -> DataFrame:
     partial = ce.compare_visits(ce.all_visits(candidates, cells), cells, compare, schema)
     ranked = Window.partitionBy("qkey").orderBy("distance", "id")
     merged = partial.withColumn("rank", F.row_number().over(ranked))
-    return merged.where(F.col("rank") <= k).drop("qkey")
+    return merged.where(F.col("rank") <= k)
+
+
+def _fitted_share(queries, rows, cells: CellIndex, k, depth, recall, compare, schema) -> float:
+    """The smallest share of their useful distance that sampled queries could have stopped at.
+
+    The sample and its answers, at most ``RECALL_QUERIES`` times k rows, come to the driver.
+    """
+    scale = 1 << 40
+    chosen = F.pmod(F.xxhash64("qkey", F.lit(2)), F.lit(scale))
+    few = queries.where(chosen < int(scale * min(1.0, 2 * RECALL_QUERIES / max(rows, 1))))
+    few = materialize(few.orderBy(chosen, "qkey").limit(RECALL_QUERIES), "recall-queries")
+    exact = _best_of(ce.candidate_cells(few, cells, depth), cells, k, compare, schema)
+    exact = materialize(exact.select("qkey", "id"), "recall-answers")
+    wanted = F.broadcast(exact.select("id").distinct())
+    homes = cells.entries.select(F.explode("ids").alias("id"), "cell").join(wanted, "id", "left_semi")
+    found = exact.join(F.broadcast(homes), "id").toPandas()
+    sample = few.toArrow()
+    if not len(found):
+        return 1.0
+    pivots = cells.pivots[cells.stats["cell"]]
+    vectors = matrix_of(sample["vec"], cells.metric, "query")
+    to_pivot = np.sqrt(square_distances(vectors, pivots))
+    gap = np.maximum(ce.cell_gaps(to_pivot, pivots, cells.stats), 0.0)
+    gap[np.arange(len(gap)), to_pivot.argmin(axis=1)] = 0.0
+    reach = ce.useful_distance(to_pivot, cells.stats, depth, sample["bound"])
+    row = {key: n for n, key in enumerate(sample["qkey"].to_pylist())}
+    place = {cell: n for n, cell in enumerate(cells.stats["cell"].tolist())}
+    at = found["qkey"].map(row).to_numpy(), found["cell"].map(place).to_numpy()
+    needed = gap[at] / np.maximum(reach[at[0]], ce.SLACK)
+    return stop_share(needed, at[0], recall)
+
+
+def stop_share(needed: np.ndarray, query: np.ndarray, recall: float) -> float:
+    """The smallest share with which enough answers are found: ``needed`` is what each answer
+    asks for, ``query`` whose it is. The mean over the queries has to clear the target by
+    ``RECALL_ERRORS`` standard errors."""
+    _, query = np.unique(query, return_inverse=True)
+    all_of = np.bincount(query)
+    for share in np.unique(np.clip(needed, 0.0, 1.0)):
+        found = np.bincount(query, needed <= share + ce.SLACK) / all_of
+        error = found.std(ddof=1) / np.sqrt(len(found)) if len(found) > 1 else 0.0
+        if found.mean() - RECALL_ERRORS * error >= recall:
+            return float(share) + ce.SLACK
+    return 1.0
 
 
 def _with_bound(queries: DataFrame, cells: CellIndex, k: int, compare, schema: str) -> DataFrame:

@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 from casemesh.functions import vectors as vx
 from casemesh.operators.cells import Layout, load_cells
 from casemesh.operators.joins import join_unique
+from casemesh.operators.evaluate import recall_against
 from casemesh.operators.neighbours import (
     distance_percentile,
     k_nearest,
     links_within,
     pairs_within,
     prepare_cells,
+    stop_share,
 )
 from casemesh.session import scratch_path
 
@@ -216,3 +218,36 @@ def test_the_size_of_the_index_is_that_of_all_rows(spark):
 
     df = spark.createDataFrame([("a", []), ("bcd", [1.0] * 100)], "id string, vec array<double>")
     assert _measure(df) == (2, 804)
+
+
+def test_share_to_stop_at_clears_the_target():
+    rng = np.random.default_rng(4)
+    query, needed = np.repeat(np.arange(300), 10), rng.uniform(0, 1, 3000) ** 2
+    share = stop_share(needed, query, 0.9)
+    assert 0.9 <= (needed <= share).mean() < 0.93
+    assert stop_share(needed, query, 1.0) >= needed.max()
+    assert stop_share(np.zeros(10), np.zeros(10, int), 0.9) < 1e-3
+    assert stop_share(np.full(20, 2.0), np.arange(20), 0.9) == 1.0
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine"])
+@pytest.mark.parametrize("clusters", [1, 8])
+def test_recall_is_the_parameter(spark, metric, clusters):
+    x, q = points(900, width=10, clusters=clusters), points(300, width=10, seed=3, clusters=clusters)
+    queries = frame(spark, q).withColumnRenamed("id", "qid")
+    wide = {"query_id": "qid", "metric": metric}
+    exact = k_nearest(queries, frame(spark, x), 5, **wide)
+    got = k_nearest(queries, frame(spark, x), 5, recall=0.9, layout=SMALL, **wide)
+    assert got.count() == 1500
+    assert recall_against(exact, got, "qid").first()["recall"] >= 0.9
+    cells = prepare_cells(frame(spark, x), metric=metric, layout=SMALL)
+    again = k_nearest(queries, cells, 5, recall=0.9, **wide)
+    assert recall_against(exact, again, "qid").first()["recall"] >= 0.9
+
+
+def test_recall_needs_no_queries_and_excludes_nprobe(spark):
+    x = frame(spark, points(50))
+    none = x.limit(0).withColumnRenamed("id", "qid")
+    assert k_nearest(none, x, 2, query_id="qid", recall=0.9, layout=SMALL).count() == 0
+    with pytest.raises(ValueError):
+        k_nearest(x, x, 2, recall=0.9, nprobe=2)
