@@ -14,7 +14,8 @@ import re
 import numpy as np
 
 ID_BYTES = 4
-CACHE_ENTRIES = 600_000
+# Units kept in each of two generations; what the older one alone holds and nobody asks for goes.
+CACHE_ENTRIES = 150_000
 # Longer units hardly ever come again.
 LONGEST_UNIT = 48
 # Fixed value: the white space of the vocabulary's own pattern.
@@ -80,6 +81,7 @@ class Encoder:
         self.letters = {byte: letter for letter, byte in byte_values().items()} | {0: " "}
         self.sizes = np.array([len(b) for b in token_bytes(self.tokenizer)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -107,13 +109,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
-        known = self.known
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         cut = [
             [text] if any(special in text for special in self.specials) else UNIT.findall(text)
             for text in texts
         ]
         missed = [unit for unit in set().union(*cut) if unit not in known]
+        if before:
+            known.update((unit, before[unit]) for unit in missed if unit in before)
+            missed = [unit for unit in missed if unit not in known]
         once = {unit for unit in missed if len(unit) > LONGEST_UNIT}
         own = dict(zip(once, self._ids(list(once))))
         if missed:

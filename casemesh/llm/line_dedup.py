@@ -77,11 +77,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def shingle_hashes(line: Column, config: LineDedup) -> Column:
-    """The sorted hashes of the distinct shingles of a line."""
+    """The hashes of the distinct shingles of a line."""
     short = f"|^.{{1,{config.width - 1}}}\\z" if config.width > 1 else ""
     pattern = rf"(?s)(?=(.{{{config.width}}}{short}))."
     found = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
 
 def sketch_hashes(line: Column, config: LineDedup) -> Column:
@@ -137,7 +137,7 @@ def keyed_lines(docs: DataFrame, config: LineDedup) -> DataFrame:
 
 
 def similar(left: Column, right: Column, similarity: int) -> Column:
-    """The verdict on two sorted sets of hashes."""
+    """The verdict on two sets of hashes."""
     common = F.size(F.array_intersect(left, right))
     return 100 * common >= similarity * (F.size(left) + F.size(right) - common)
 
@@ -168,15 +168,20 @@ def _centers(members: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, config: LineDedup) -> DataFrame:
-    """The pairs ``a, b`` that are similar."""
-    left = sets.select(F.col("line").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("line").alias("b"), F.col("shingles").alias("right"))
-    alike = similar(F.col("left"), F.col("right"), config.similarity)
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, config: LineDedup) -> DataFrame:
+    """The pairs ``a, b`` that are similar. A line moves as its text, an eighth of its set,
+    and the set of a center is made once."""
+    left = texts.select(F.col("line").alias("a"), F.col("own").alias("left"))
+    centers = texts.join(pairs.select(F.col("b").alias("line")).distinct(), "line", "left_semi")
+    right = centers.select(F.col("line").alias("b"), shingle_hashes(F.col("own"), config).alias("right"))
+    alike = let(
+        shingle_hashes(F.col("left"), config),
+        lambda own: similar(own, F.col("right"), config.similarity),
+    )
+    return pairs.join(left, "a").join(materialize(right, "line-center-sets"), "b").where(alike).select("a", "b")
 
 
-def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: LineDedup) -> DataFrame:
+def _across(pairs: DataFrame, components: DataFrame, texts: DataFrame, config: LineDedup) -> DataFrame:
     """Links ``a, b`` of lines to a line of each other component with a similar one."""
 
     def owned(rows: DataFrame, key: str) -> DataFrame:
@@ -200,9 +205,9 @@ def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: Li
         members.join(materialize(sizes, "line-split"), "b")
         .withColumn("block", F.pmod(F.xxhash64("a"), F.ceil(count / config.block)).cast("int"))
         .withColumn("last", (F.ceil(F.col("out") / config.block) - 1).cast("int"))
-        .join(sets.withColumnRenamed("line", "a"), "a")
+        .join(texts.select(F.col("line").alias("a"), F.col("own").alias("text")), "a")
         .groupBy("b", "outside", "block", "last")
-        .agg(F.collect_list(F.struct("component", "a", "shingles")).alias("own"))
+        .agg(F.collect_list(F.struct("component", "a", "text")).alias("own"))
     )
     blocks = materialize(dealt, "line-blocks")
     # Blocks outside meet each other once, and every block inside.
@@ -210,7 +215,17 @@ def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: Li
     left = blocks.select("b", F.explode(F.sequence(first, "last")).alias("other"), F.col("own").alias("left"))
     right = blocks.where("outside").select("b", F.col("block").alias("other"), F.col("own").alias("right"))
 
-    def links(x: Column) -> Column:
+    def with_sets(members: Column) -> Column:
+        return F.transform(
+            members,
+            lambda m: F.struct(
+                m["component"].alias("component"),
+                m["a"].alias("a"),
+                shingle_hashes(m["text"], config).alias("shingles"),
+            ),
+        )
+
+    def links(x: Column, others: Column) -> Column:
         def fits(y: Column) -> Column:
             one, two = F.size(x["shingles"]), F.size(y["shingles"])
             sized = 100 * F.least(one, two) >= config.similarity * F.greatest(one, two)
@@ -219,7 +234,7 @@ def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: Li
 
         # Of several lines of a component the first of the sorted ones is enough.
         found = F.array_sort(
-            F.transform(F.filter("right", fits), lambda y: F.struct(y["component"], y["a"].alias("b")))
+            F.transform(F.filter(others, fits), lambda y: F.struct(y["component"], y["a"].alias("b")))
         )
         return let(
             found,
@@ -232,9 +247,13 @@ def _across(pairs: DataFrame, components: DataFrame, sets: DataFrame, config: Li
             ),
         )
 
-    linked = left.join(right, ["b", "other"]).select(
-        F.explode(F.flatten(F.transform("left", links))).alias("l")
+    found = let(
+        with_sets(F.col("right")),
+        lambda others: F.flatten(
+            F.transform(with_sets(F.col("left")), lambda x: links(x, others))
+        ),
     )
+    linked = left.join(right, ["b", "other"]).select(F.explode(found).alias("l"))
     return linked.select("l.a", "l.b")
 
 
@@ -287,16 +306,15 @@ def _components(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, config: Li
     named = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line")))
     named, seen = materialize_counted(named.distinct(), "line-named")
     text = lines_of(docs).select(F.xxhash64("line").alias("line"), F.col("line").alias("own"))
-    sets = materialize(
+    texts = materialize(
         text.join(F.broadcast(named) if seen["rows"] <= SMALL_ROWS else named, "line", "left_semi")
-        .select("line", shingle_hashes(F.col("own"), config).alias("shingles"))
         .groupBy("line")
-        .agg(F.first("shingles").alias("shingles")),
-        "line-sets",
+        .agg(F.min("own").alias("own")),
+        "line-texts",
     )
-    links = materialize(_verified(pairs, sets, config), "line-links")
+    links = settled(spark, "line-links", lambda: _verified(pairs, texts, config))
     components = joined(links)
-    more = settled(spark, "line-more", lambda: _across(pairs, components, sets, config))
+    more = settled(spark, "line-more", lambda: _across(pairs, components, texts, config))
     return components if more.isEmpty() else joined(links.unionByName(more))
 
 

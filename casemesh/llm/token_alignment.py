@@ -39,7 +39,7 @@ from casemesh.llm.words import slices
 from casemesh.operators.joins import join_unique
 from casemesh.session import materialize
 
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 BLOCK_BITS = 32
 PIECE_BLANK = "▁"
 # Groups with more links than this count equal ids first.
@@ -57,7 +57,7 @@ class Alignment(NamedTuple):
 
     bytes_path: str
     pieces_path: str
-    block_links: int = 2_000_000
+    block_links: int = 1_000_000
 
 
 class Side(NamedTuple):

@@ -54,7 +54,7 @@ FOOTER = "<IBI"
 DIRECTORY_HEADER = "<4sII"
 DIRECTORY_MAGIC = b"TOKD"
 DIRECTORY_ENTRY = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("tokens", "<i8")])
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 READ_BYTES = 1 << 22
 LOW_32 = (1 << 32) - 1
 
@@ -248,6 +248,7 @@ def read_documents(located: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        worker_state("token_reader")
         name, source, file = None, None, None
         for batch in batches:
             shards, names, places = (batch.column(n).to_pylist() for n in range(3))
