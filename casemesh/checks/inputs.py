@@ -18,6 +18,7 @@ WATER_WORDS = ("ble", "ther", "des")
 GATE = 1.25
 DUPLICATE_COSINE = 0.95
 RECALL = 0.9
+QUOTA, FOLDS = 50, 5
 MEDIA_WORDS = ("#top", "ref", "utm", "html")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from casemesh.checks import inputs
 from casemesh.functions.text import CONTENT_CLASS
 from casemesh.operators import rules as r
+from casemesh.operators.evaluate import POISSON
 
 WORD = r"\p{L}\p{N}_"
 TOKENS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
@@ -449,6 +450,44 @@ UNION ALL
 SELECT 'mae', round(avg(abs(a - p)), 6) FROM scored
 """
 
+CHANCE = "('0x' || substr(md5(vec_id || '-' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+DRAWN = " + ".join(f"(u >= {at})::BIGINT" for at in POISSON)
+EVAL_INTERVALS = f"""
+WITH {_nearest(1, 'l2sq', 'id')},
+drawn AS (
+  SELECT r, own_label AS a, label AS p, {CHANCE} AS u
+  FROM nearest, (SELECT unnest(range(101)) AS r)),
+weighted AS (SELECT r, a, p, CASE WHEN r = 0 THEN 1 ELSE {DRAWN} END AS n FROM drawn),
+seen AS (SELECT DISTINCT a AS label FROM weighted UNION SELECT DISTINCT p FROM weighted),
+per_label AS (
+  SELECT r, label, sum(CASE WHEN a = label THEN n ELSE 0 END) AS support,
+    sum(CASE WHEN p = label THEN n ELSE 0 END) AS called,
+    sum(CASE WHEN a = label AND p = label THEN n ELSE 0 END) AS hits
+  FROM weighted, seen GROUP BY r, label),
+scores AS (
+  SELECT 'weighted_f1' AS metric, r,
+    sum(2.0::DOUBLE * hits / nullif(support + called, 0) * support) / sum(support) AS value
+  FROM per_label GROUP BY r
+  UNION ALL
+  SELECT 'mae', r, sum(abs(a - p) * n)::DOUBLE / sum(n) FROM weighted GROUP BY r)
+SELECT metric, round(max(value) FILTER (r = 0), 6) AS value,
+  round(quantile_cont(value, 0.025) FILTER (r > 0), 6) AS low,
+  round(quantile_cont(value, 0.975) FILTER (r > 0), 6) AS high
+FROM scores GROUP BY metric
+"""
+
+TRAINING_SAMPLE = f"""
+WITH t AS (
+  SELECT doc_id, lang, array_to_string({TOKENS % 'text'}, ' ') AS words,
+    row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS place,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM documents WHERE lang IS NOT NULL)
+SELECT doc_id, lang, round(n / least(n, {inputs.QUOTA})::DOUBLE, 6) AS weight,
+  ('0x' || substr(md5(CASE WHEN words <> '' THEN sha256(words) ELSE doc_id::VARCHAR END), 1, 8))::BIGINT
+    % {inputs.FOLDS} AS fold
+FROM t WHERE place <= {inputs.QUOTA}
+"""
+
 RECALL_AT_K = f"""
 WITH {_nearest(10, 'l2sq', 'id')},
 ks AS (SELECT unnest([2, 5, 10])::BIGINT AS k),
@@ -492,5 +531,7 @@ ORACLE_SQL = {
     "duplicate_pairs": DUPLICATE_PAIRS,
     "duplicate_clusters": DUPLICATE_CLUSTERS,
     "eval_metrics": EVAL_METRICS,
+    "eval_intervals": EVAL_INTERVALS,
+    "training_sample": TRAINING_SAMPLE,
     "recall_at_k": RECALL_AT_K,
 }

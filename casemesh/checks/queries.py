@@ -11,7 +11,7 @@ from casemesh.checks import inputs
 from casemesh.checks.inputs import table
 from casemesh.functions import text as tx
 from casemesh.functions.hashing import md5_bucket
-from casemesh.operators import duplicates, evaluate, features, learn, modality, report, rules
+from casemesh.operators import duplicates, evaluate, features, learn, modality, report, rules, sampling
 from casemesh.operators.clean import ROWS_PER_RANGE, clean_history, with_position_id
 from casemesh.operators.neighbours import Layout, k_nearest, with_payload
 from casemesh.operators.phrases import apply_rule_table
@@ -372,6 +372,26 @@ def q_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f1.unionByName(mae)
 
 
+def q_eval_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same numbers with intervals: every replicate in one aggregate."""
+    nearest = _labelled(spark, sf_dir, _nearest_vectors(spark, sf_dir, 1)).select(
+        "vec_id", F.col("label").alias("predicted")
+    )
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("actual"))
+    found = evaluate.bootstrap_metrics(own.join(nearest, "vec_id"), "vec_id")
+    return found.select("metric", *[F.round(c, 6).alias(c) for c in ("value", "low", "high")])
+
+
+def q_training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most fifty documents of every language, with what each stands for, and their fold."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    sample = sampling.stratified_sample(documents, "lang", inputs.QUOTA, "doc_id")
+    fold = sampling.text_fold(F.col("text"), inputs.FOLDS, F.col("doc_id"))
+    return sample.select(
+        "doc_id", "lang", F.round("weight", 6).alias("weight"), fold.cast("long").alias("fold")
+    )
+
+
 def q_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _labelled(spark, sf_dir, _nearest_vectors(spark, sf_dir, 10))
     own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("actual"))
