@@ -8,6 +8,10 @@ the first reaches ``share`` of the second in at least ``support`` documents, t d
 and t is sanitised in the documents that hold e close to it. The share is below 1, which only
 a term that occurs nowhere else could reach.
 
+An exact value seldom recurs, so every entity counts at three levels: its value, what it
+belongs to (the domain of a mail address, the network of an address, the issuer of a card,
+the area of a phone number), and its kind. A term that gives away one of them is sanitised.
+
 A span is ``kind:start:end`` in code points, end exclusive. Disclosing terms have the kind
 ``term``; they never overlap a base span, and base spans always stay.
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemesh.llm.learning import worker_state
+from casemesh.llm.learning import fresh, worker_state
 from casemesh.llm.words import FOLDED_VALUES, PUNCTUATION, mix, slices, words
 from casemesh.session import materialize, materialize_counted
 
@@ -42,6 +46,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
+# Leading digits that name the issuer of a card, and the country and area of a phone.
+AREA_DIGITS = {"card": 6, "phone": 4}
 
 Span = tuple[str, int, int]
 
@@ -103,17 +109,30 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def entity_code(kind: str, value: str) -> int:
-    """One number per entity, whatever its case or separators."""
+def entity_levels(kind: str, value: str) -> tuple[str, str, str]:
+    """The entity itself, what it belongs to, and its kind, whatever its case or separators."""
     plain = value.lower() if kind == "email" else re.sub("[^0-9.]", "", value)
-    digest = hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest()
-    return int.from_bytes(digest, "little", signed=True)
+    if kind == "email":
+        wider = plain[plain.index("@") :]
+    elif kind == "ip":
+        wider = ".".join(plain.split(".")[:2])
+    else:
+        wider = plain.replace(".", "")[: AREA_DIGITS[kind]]
+    return f"{kind}:{plain}", f"{kind}<{wider}", kind
+
+
+def entity_codes(kind: str, value: str) -> list[int]:
+    """One number per level of an entity."""
+    return [
+        int.from_bytes(hashlib.blake2b(level.encode(), digest_size=8).digest(), "little", signed=True)
+        for level in entity_levels(kind, value)
+    ]
 
 
 def near_terms(
     text: str, spans: list[Span], near: int
 ) -> tuple[list[tuple[int, int]], list[tuple[int, list[int]]]]:
-    """``(entity, term)`` of the terms close to each entity of a text, and once per term the
+    """``(entity, term)`` of the terms close to each entity of a text, at all its levels, and once per term the
     starts and ends of all its places in the text that overlap no base span."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     found = words(data, np.array([0, len(data)]), PUNCTUATION, FOLDED_VALUES)
@@ -125,12 +144,13 @@ def near_terms(
     code = found.code.view(np.int64)
     pairs: dict[tuple[int, int], None] = {}
     for kind, low, high in spans:
-        entity = entity_code(kind, text[low:high])
+        entities = entity_codes(kind, text[low:high])
         first, last = np.searchsorted(end, low, "right"), np.searchsorted(start, high, "left")
         around = np.r_[max(0, first - near) : first, last : last + near]
         around = around[around < len(code)]
         for term in code[around[free[around]]].tolist():
-            pairs[entity, term] = None
+            for entity in entities:
+                pairs[entity, term] = None
     close = np.array(sorted({term for _, term in pairs}), dtype=np.int64)
     at = np.flatnonzero(np.isin(code, close) & free)
     at = at[np.argsort(code[at], kind="stable")]
@@ -320,7 +340,8 @@ def generalise(text: str, spans: list[Span]) -> str:
 def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``doc_id, spans`` generalised or removed in ``text``; ids
     must be unique. Rows without spans stay as they are."""
-    joined = docs.join(spans.select("doc_id", F.col("spans").alias("_spans")), "doc_id", "left")
+    added = fresh("spans", docs.columns)
+    joined = docs.join(spans.select("doc_id", F.col("spans").alias(added)), "doc_id", "left")
     names = list(docs.columns)
     at = {name: place for place, name in enumerate(joined.columns)}
 
@@ -330,7 +351,7 @@ def sanitise(docs: DataFrame, spans: DataFrame) -> DataFrame:
             texts = [
                 text if text is None or not own else generalise(text, [tuple(s.values()) for s in own])
                 for text, own in zip(
-                    batch.column(at["text"]).to_pylist(), batch.column(at["_spans"]).to_pylist()
+                    batch.column(at["text"]).to_pylist(), batch.column(at[added]).to_pylist()
                 )
             ]
             yield pa.RecordBatch.from_arrays(

@@ -5,11 +5,12 @@ known word scores its log frequency in every language. An unseen word scores by
 n-grams that are known at all, averaged; shorter n-grams are asked only where no longer one
 is known. A text scores the mean over its words.
 
-The model is fitted on a bounded sample of the labelled rows (``train_rows``) and holds at
-most ``max_entries`` words and as many n-grams, the most frequent ones.
+The model is fitted on a bounded sample of the labelled rows (``train_rows`` per language)
+and holds the ``max_entries`` most frequent words of each language and as many n-grams.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is
-everything if nothing teaches; languages that are null teach nothing; rows without id
+everything if nothing teaches; languages that are null teach nothing, and every other one
+that teaches at all can be predicted; rows without id
 neither teach nor are held out; repeated rows all come back; other columns are ignored.
 """
 
@@ -24,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from casemesh.llm.learning import Shipped, bounded_sample, held_out, teaches, worker_state
+from casemesh.llm.learning import Shipped, held_out, teaches, worker_state
 from casemesh.llm.words import slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -79,16 +81,20 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "size int, entry string, lang string, n long")
 
 
-def _most_frequent(totals: DataFrame, bound: int) -> DataFrame:
-    """The entries above the smallest count that leaves at most ``bound`` of them."""
-    found = totals.groupBy("total").count().orderBy(F.desc("total"))
-    kept, least = 0, None
-    for row in found.toLocalIterator():
-        kept += row["count"]
-        if kept > bound:
-            break
-        least = row["total"]
-    return totals.where(F.lit(False) if least is None else F.col("total") >= least)
+def _most_frequent(counts: DataFrame, quota: int) -> DataFrame:
+    """``entry``: the ``quota`` most frequent entries of every language; ties go to the first
+    in order, so no class of equal counts comes or goes at once."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry"))
+    return counts.withColumn("place", place).where(F.col("place") <= quota).select("entry").distinct()
+
+
+def _sample(labelled: DataFrame, quota: int) -> DataFrame:
+    """About ``quota`` rows of every language, chosen by hash; all rows of smaller ones."""
+    scale = 1 << 30
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    bound = F.least(F.lit(scale), F.floor(F.lit(float(scale)) * quota / F.col("rows"))).cast("long")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.col("bound")
+    return labelled.join(sizes.select("lang", bound.alias("bound")), "lang").where(chosen).drop("bound")
 
 
 def _scores(rows: pa.Table, languages: tuple[str, ...]) -> tuple[dict[str, int], np.ndarray]:
@@ -103,18 +109,21 @@ def _scores(rows: pa.Table, languages: tuple[str, ...]) -> tuple[dict[str, int],
     return index, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def fit(docs: DataFrame, train_rows: int = 20_000, max_entries: int = 100_000) -> LanguageModel:
-    """Learns from the rows of ``docs`` that may teach. Only the bounded model is collected."""
+def fit(docs: DataFrame, train_rows: int = 5_000, max_entries: int = 25_000) -> LanguageModel:
+    """Learns from the rows of ``docs`` that may teach. Only the bounded model is collected.
+
+    Both bounds hold for each language of its own, so that a rare one is learned as well
+    beside one that has most of the rows.
+    """
     labelled = docs.where(teaches() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(labelled.select("doc_id", "lang", "text"), train_rows, "doc_id")
+    sample = _sample(labelled.select("doc_id", "lang", "text"), train_rows)
     counts = _count(sample).groupBy("size", "entry", "lang").agg(F.sum("n").alias("n")).persist()
     try:
         languages = tuple(sorted(r["lang"] for r in counts.select("lang").distinct().collect()))
         kinds = []
         for kind in (F.col("size") == 0, F.col("size") > 0):
             own = counts.where(kind)
-            totals = own.groupBy("entry").agg(F.sum("n").alias("total"))
-            kept = _most_frequent(totals, max_entries)
+            kept = _most_frequent(own, max_entries)
             rows = own.join(kept, "entry", "left_semi").select("entry", "lang", "n").toArrow()
             kinds += _scores(rows, languages)
     finally:

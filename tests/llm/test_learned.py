@@ -127,3 +127,70 @@ def test_statistics_of_odd_texts():
     assert rows.shape == (4, len(NAMES)) and np.isfinite(rows).all() and not rows[0].any()
     assert rows[1][NAMES.index("repeated_words")] == pytest.approx(1 / 3)
     assert rows[2][NAMES.index("repeated_lines")] == 0.5
+
+
+def test_a_rare_language_is_learned_beside_a_common_one(spark):
+    from casemesh.llm.language_id import fit, predict
+
+    rng = random.Random(4)
+    common = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(900)]
+    rare = ["".join(rng.choices("opqrstuv", k=rng.randrange(2, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(common, k=30)) for _ in range(600)]
+    texts += [" ".join(rng.choices(rare, k=30)) for _ in range(9)]
+    docs = documents(spark, texts, langs=["xx"] * 600 + ["yy"] * 9)
+    model = fit(docs, train_rows=20, max_entries=50)
+    assert model.languages == ("xx", "yy") and len(model.words) <= 100
+    rows = predict(docs, model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in rows)
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    """The model again in a few lines: words first, then the longest n-grams that are known."""
+    import math
+    import re
+    import zlib
+
+    from casemesh.llm.language_id import EVIDENCE, LONGEST, SMOOTHING, fit, predict
+
+    rng = random.Random(8)
+    spoken = {lang: ["".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(40)]
+              for lang, letters in (("aa", "abcdef"), ("bb", "defghi"), ("cc", "ghiabc"))}
+    texts, langs = [], []
+    for n in range(90):
+        lang = rng.choice(sorted(spoken))
+        texts.append(" ".join(rng.choices(spoken[lang], k=rng.randrange(1, 12))) + f" x{n}")
+        langs.append(lang)
+    docs = documents(spark, texts, langs=langs)
+    words, grams = {}, {}
+    for n, (text, lang) in enumerate(zip(texts, langs)):
+        if zlib.crc32(str(n).encode()) % 3 == 1:
+            continue
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            words.setdefault(word, dict.fromkeys(spoken, 0))[lang] += 1
+            padded = f" {word} "
+            for size in range(1, LONGEST + 1):
+                for i in range(len(padded) - size + 1):
+                    grams.setdefault(padded[i : i + size], dict.fromkeys(spoken, 0))[lang] += 1
+
+    def logs(table):
+        total = {lang: sum(own[lang] + SMOOTHING for own in table.values()) for lang in spoken}
+        return {e: {lang: math.log((n + SMOOTHING) / total[lang]) for lang, n in own.items()} for e, own in table.items()}
+
+    words, grams = logs(words), logs(grams)
+
+    def scores(word):
+        if word in words:
+            return words[word]
+        padded = f" {word} "
+        for size in range(min(LONGEST, len(padded)), 0, -1):
+            known = [grams[g] for i in range(len(padded) - size + 1) if (g := padded[i : i + size]) in grams]
+            if known:
+                return {lang: sum(k[lang] for k in known) / len(known) for lang in spoken}
+        return dict.fromkeys(spoken, 0.0)
+
+    for r in predict(docs, fit(docs)).collect():
+        found = re.findall(r"[^\W\d_]+", r["text"].lower())
+        means = {lang: sum(scores(w)[lang] for w in found) / len(found) * min(EVIDENCE, len(found)) for lang in spoken}
+        best = max(means.values())
+        want = 1 / sum(math.exp(m - best) for m in means.values())
+        assert means[r["lang_pred"]] > best - 1e-3 and abs(r["score"] - want) < 1e-3
