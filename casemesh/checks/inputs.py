@@ -117,6 +117,39 @@ def two_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WAIT_SECONDS = 600
+
+
+def awaited_events(documents: DataFrame) -> DataFrame:
+    """Documents as events: German ones are typed and sent twice; Spanish ones come as a file
+    whose transcript follows, French ones as a file whose transcript came first, some of
+    either too far apart; of others only the file comes. Later events move the clock."""
+    # Twice the wait between documents, so that the events of one are those of its time.
+    second = F.lit(WAIT_SECONDS * 1000) + F.col("doc_id") * 2 * WAIT_SECONDS
+    apart = (F.col("doc_id") % 900).cast("long")
+    lang = F.col("lang")
+    none = F.lit(None).cast("string")
+    path = F.concat(F.lit("file"), "doc_id")
+
+    def event(kind, text, path, at):
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), path.alias("path"), at.alias("at"))
+
+    typed = F.array(event("request", F.col("text"), none, second), event("request", F.col("text"), none, second))
+    file = event("request", none, path, second)
+    after = F.array(file, event("transcript", F.col("text"), none, second + apart))
+    before = F.array(event("transcript", F.col("text"), none, second - apart), file)
+    own = F.when(lang == "de", typed).when(lang == "es", after).when(lang == "fr", before)
+    clock = event("clock", none, none, F.lit(1 << 33))
+    late = F.when(F.col("doc_id") % 50 == 0, F.array(clock)).otherwise(F.slice(F.array(clock), 1, 0))
+    events = F.concat(own.otherwise(F.array(file)), late)
+    return documents.select(
+        F.concat(F.lit("D"), "doc_id").alias("complaint_id"), F.explode(events).alias("e")
+    ).select(
+        "complaint_id", "e.kind", "e.text", F.col("e.path").alias("media_path"),
+        F.timestamp_seconds("e.at").alias("at"),
+    )
+
+
 def spoken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule per turn of a conversation: its first two words as a phrase, and its third."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"))

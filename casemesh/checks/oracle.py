@@ -101,6 +101,16 @@ SELECT s.complaint_id,
 FROM staged s LEFT JOIN fired f USING (complaint_id)
 """
 
+STREAM_AWAITED = f"""
+SELECT 'D' || doc_id AS complaint_id,
+  CASE WHEN {_not_blank('text')}
+    AND (lang = 'de' OR (lang IN ('es', 'fr') AND doc_id % 900 <= {inputs.WAIT_SECONDS})) THEN text END
+    AS complaint_text,
+  CASE WHEN lang = 'de' THEN NULL ELSE 'file' || doc_id END AS media_path,
+  {inputs.WAIT_SECONDS} * (1000 + 2 * doc_id) AS requested_at
+FROM documents
+"""
+
 ETA_LABEL = """
 SELECT event_id,
   CASE WHEN event_type = 'error' THEN '0.1 Days' ELSE printf('%.1f', value) || ' Days' END
@@ -527,6 +537,7 @@ ORACLE_SQL = {
     "text_features": TEXT_FEATURES,
     "similar_text_topk": SIMILAR_TEXT_TOPK,
     "triage_explained": TRIAGE_EXPLAINED,
+    "stream_awaited": STREAM_AWAITED,
     "triage_rule_table": TRIAGE_RULE_TABLE,
     "duplicate_pairs": DUPLICATE_PAIRS,
     "duplicate_clusters": DUPLICATE_CLUSTERS,

@@ -23,6 +23,7 @@ from casemesh.session import materialize, scratch_path, scratch_root
 from casemesh.sources import history as history_csv
 from casemesh.sources.index import index_entries, index_history, index_with_model, load_index
 from casemesh.sources.models import TriageModels, load_models
+from casemesh.streaming.awaited import awaited_requests
 from casemesh.streaming.triage_stream import rules_stream, triage_stream
 
 DECISION = ["complaint_id", "status", "officer", "priority", "eta_label"]
@@ -63,6 +64,24 @@ def q_triage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def q_stream_awaited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that arrive with, before or after their transcripts, or without any."""
+    schema = table(spark, sf_dir, "documents").schema
+    documents = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
+    decided = awaited_requests(inputs.awaited_events(documents), inputs.WAIT_SECONDS)
+    out = scratch_path(spark, "stream-awaited")
+    query = (
+        decided.writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(decided.schema).parquet(out).select(
+        "complaint_id", "complaint_text", "media_path",
+        F.unix_timestamp("requested_at").alias("requested_at"),
+    )
+
+
 def q_eta_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     forced = F.when(F.col("event_type") == "error", "0.1 Days")
     return table(spark, sf_dir, "events").select(
