@@ -16,8 +16,8 @@ spaces. Lines are compared by the Jaccard similarity of their full sets of shing
    small sketches use a band behind each hash.
 3. In each band the lines are compared with its most central one, the line that meets others
    most often over all bands, on their full sets of shingles. No link may be lost to that:
-   lines that are not in the component of their center are compared with all others of that
-   center in blocks of bounded size, and linked to one line of each other component in which
+   lines that are not in the component of their center meet all others of that center that
+   share a band with them, in blocks of bounded size, and are linked to one line of each other component in which
    a similar one is found.
 4. Links join into components by large-star and small-star rounds. The first line of each
    component, by document and line, stays.
@@ -205,9 +205,9 @@ def _across(pairs: DataFrame, components: DataFrame, texts: DataFrame, config: L
         members.join(materialize(sizes, "line-split"), "b")
         .withColumn("block", F.pmod(F.xxhash64("a"), F.ceil(count / config.block)).cast("int"))
         .withColumn("last", (F.ceil(F.col("out") / config.block) - 1).cast("int"))
-        .join(texts.select(F.col("line").alias("a"), F.col("own").alias("text")), "a")
+        .join(texts.select(F.col("line").alias("a"), F.col("own").alias("text"), "bands"), "a")
         .groupBy("b", "outside", "block", "last")
-        .agg(F.collect_list(F.struct("component", "a", "text")).alias("own"))
+        .agg(F.collect_list(F.struct("component", "a", "bands", "text")).alias("own"))
     )
     blocks = materialize(dealt, "line-blocks")
     # Blocks outside meet each other once, and every block inside.
@@ -215,12 +215,19 @@ def _across(pairs: DataFrame, components: DataFrame, texts: DataFrame, config: L
     left = blocks.select("b", F.explode(F.sequence(first, "last")).alias("other"), F.col("own").alias("left"))
     right = blocks.where("outside").select("b", F.col("block").alias("other"), F.col("own").alias("right"))
 
+    def meets(x: Column, others: Column) -> Column:
+        return F.exists(
+            others,
+            lambda y: (x["component"] != y["component"]) & F.arrays_overlap(x["bands"], y["bands"]),
+        )
+
     def with_sets(members: Column) -> Column:
         return F.transform(
             members,
             lambda m: F.struct(
                 m["component"].alias("component"),
                 m["a"].alias("a"),
+                m["bands"].alias("bands"),
                 shingle_hashes(m["text"], config).alias("shingles"),
             ),
         )
@@ -230,7 +237,8 @@ def _across(pairs: DataFrame, components: DataFrame, texts: DataFrame, config: L
             one, two = F.size(x["shingles"]), F.size(y["shingles"])
             sized = 100 * F.least(one, two) >= config.similarity * F.greatest(one, two)
             alike = similar(x["shingles"], y["shingles"], config.similarity)
-            return (x["component"] != y["component"]) & sized & alike
+            banded = F.arrays_overlap(x["bands"], y["bands"])
+            return (x["component"] != y["component"]) & sized & banded & alike
 
         # Of several lines of a component the first of the sorted ones is enough.
         found = F.array_sort(
@@ -247,10 +255,17 @@ def _across(pairs: DataFrame, components: DataFrame, texts: DataFrame, config: L
             ),
         )
 
+    def linked_in(mine: Column, others: Column) -> Column:
+        return let(
+            with_sets(others),
+            lambda sets: F.flatten(F.transform(with_sets(mine), lambda x: links(x, sets))),
+        )
+
+    # Sets are made of those members alone that share a band with one of another component.
     found = let(
-        with_sets(F.col("right")),
-        lambda others: F.flatten(
-            F.transform(with_sets(F.col("left")), lambda x: links(x, others))
+        F.filter("left", lambda x: meets(x, F.col("right"))),
+        lambda mine: let(
+            F.filter("right", lambda y: meets(y, mine)), lambda others: linked_in(mine, others)
         ),
     )
     linked = left.join(right, ["b", "other"]).select(F.explode(found).alias("l"))
@@ -309,9 +324,11 @@ def _components(docs: DataFrame, keyed: DataFrame, firsts: DataFrame, config: Li
     texts = materialize(
         text.join(F.broadcast(named) if seen["rows"] <= SMALL_ROWS else named, "line", "left_semi")
         .groupBy("line")
-        .agg(F.min("own").alias("own")),
+        .agg(F.min("own").alias("text")),
         "line-texts",
     )
+    sketched = texts.select("line", "text", sketch_hashes(F.col("text"), config).alias("own"))
+    texts = materialize(with_bands(sketched, config), "line-banded").withColumnRenamed("text", "own")
     links = settled(spark, "line-links", lambda: _verified(pairs, texts, config))
     components = joined(links)
     more = settled(spark, "line-more", lambda: _across(pairs, components, texts, config))
