@@ -4,6 +4,9 @@
     spark-submit -m casemesh.jobs triage --requests r --models m --index i --out o
     spark-submit -m casemesh.jobs search --requests r --models m --index i --out o --k 5
     spark-submit -m casemesh.jobs stream --requests r --models m --index i --out o --state s
+
+``triage`` and ``stream`` take ``--transcripts`` of media files; ``triage`` also takes a folder
+of files (``--media``) beside its requests, and rules of any number (``--rule-table``).
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casemesh.operators import rules
 from casemesh.operators.learn import ForestSettings
@@ -18,11 +22,12 @@ from casemesh.operators.neighbours import with_payload
 from casemesh.plans.lookup import similar_text
 from casemesh.plans.training import train
 from casemesh.plans.triage import triage
-from casemesh.schemas import REQUEST
+from casemesh.schemas import REQUEST, RULES
 from casemesh.sources.history import read_history
 from casemesh.session import scratch_scope
 from casemesh.sources.index import check_stamp, index_entries, index_with_model, load_index
 from casemesh.sources.models import TriageModels, load_models
+from casemesh.sources.media import read_media, read_transcripts
 from casemesh.sources.results import write_results
 from casemesh.sources.tables import read_table
 from casemesh.streaming.triage_stream import triage_stream
@@ -55,12 +60,32 @@ def _artifacts(spark: SparkSession, args) -> tuple[TriageModels, DataFrame]:
     return models, load_index(spark, args.index)
 
 
+def _requests(spark: SparkSession, args) -> DataFrame:
+    """The request table, and a request per media file, known by its path."""
+    requests = read_table(spark, args.requests)
+    if not args.media:
+        return requests
+    files = read_media(spark, args.media).select(
+        F.col("media_path").alias("complaint_id"), "media_path"
+    )
+    return requests.unionByName(files, allowMissingColumns=True)
+
+
+def _transcripts(spark: SparkSession, args) -> DataFrame | None:
+    return read_transcripts(spark, args.transcripts) if args.transcripts else None
+
+
 def run_triage(spark: SparkSession, args) -> dict:
-    cascade = None if args.precedence != "text_first" else _rules(spark, args.rules)
+    cascade = None
+    if args.rule_table:
+        cascade = spark.read.schema(RULES).json(args.rule_table)
+    elif args.precedence == "text_first":
+        cascade = _rules(spark, args.rules)
     models, index = _artifacts(spark, args)
     result = triage(
-        read_table(spark, args.requests), models, index, cascade, gate=args.gate, k=args.k,
-        precedence=args.precedence, nprobe=args.nprobe,
+        _requests(spark, args), models, index, cascade, gate=args.gate, k=args.k,
+        precedence=args.precedence, nprobe=args.nprobe, recall=args.recall,
+        transcripts=_transcripts(spark, args),
     )
     return write_results(result, args.out)
 
@@ -68,7 +93,7 @@ def run_triage(spark: SparkSession, args) -> dict:
 def run_search(spark: SparkSession, args) -> dict:
     texts = read_table(spark, args.requests).withColumnRenamed("text_input", "complaint_text")
     models, index = _artifacts(spark, args)
-    near = similar_text(texts, index, models.text, args.k, metric="l2sq", nprobe=args.nprobe)
+    near = similar_text(texts, index, models.text, args.k, metric="l2sq", nprobe=args.nprobe, recall=args.recall)
     with_payload(near, index.drop("embedding")).write.mode("append").parquet(args.out)
     return {}
 
@@ -81,7 +106,7 @@ def run_stream(spark: SparkSession, args) -> dict:
     query = triage_stream(
         arriving.parquet(args.requests), models, lambda: load_index(spark, args.index), args.out,
         args.state, _rules(spark, args.rules), gate=args.gate, k=args.k, nprobe=args.nprobe,
-        available_now=args.once,
+        recall=args.recall, transcripts=_transcripts(spark, args), available_now=args.once,
     )
     query.awaitTermination()
     return {}
@@ -109,10 +134,14 @@ def parser() -> argparse.ArgumentParser:
         else:
             job.add_argument("--k", type=int, default=2)
             job.add_argument("--nprobe", type=int, help="look into so many nearest cells only")
+            job.add_argument("--recall", type=float, help="share of exact matches to find")
         if name in ("triage", "stream"):
             job.add_argument("--gate", type=float, default=rules.GATE)
             job.add_argument("--rules", help="JSON lines with a rules table")
+            job.add_argument("--transcripts", help="table of media_path and transcript")
         if name == "triage":
+            job.add_argument("--media", help="folder of media files, each a request")
+            job.add_argument("--rule-table", help="JSON lines with rules, joined and not compiled")
             choices = ["text_first", "file_first", "flag"]
             job.add_argument("--precedence", choices=choices, default="text_first")
         if name == "stream":

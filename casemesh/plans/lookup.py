@@ -30,6 +30,7 @@ def similar_text(
     metric: str = "cosine",
     layout: Layout = Layout(),
     nprobe: int | None = None,
+    recall: float | None = None,
 ) -> DataFrame:
     """``query_id, rank, id, distance`` of the k cases nearest to each ``complaint_text``.
 
@@ -37,5 +38,5 @@ def similar_text(
     """
     return k_nearest(
         text_vectors(queries, query_id, model), index, k, query_id=query_id,
-        index_id=index_id, metric=metric, layout=layout, nprobe=nprobe,
+        index_id=index_id, metric=metric, layout=layout, nprobe=nprobe, recall=recall,
     )

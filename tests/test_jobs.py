@@ -26,3 +26,25 @@ def test_jobs_from_csv_to_decisions(spark, tmp_path):
     jobs.main(["stream", *asked, "--out", paths["live"], "--state", str(tmp_path / "s"), "--once"])
     live = {r.complaint_id: r.status for r in spark.read.parquet(paths["live"]).collect()}
     assert live == {"a": "model", "b": "rejected"}
+
+    media = tmp_path / "media"
+    media.mkdir()
+    for name in ("call1.wav", "call2.wav", "water_leak.mp4"):
+        (media / name).write_bytes(b"x")
+    spoken = spark.createDataFrame(
+        [(f"file:{media}/call1.wav", "There is smoke in the hall"), (f"file:{media}/call2.wav", "!!")],
+        "media_path string, transcript string",
+    )
+    spoken.write.parquet(str(tmp_path / "spoken"))
+    (tmp_path / "rules.json").write_text(
+        '{"rule": "smoke", "priority": 1, "keywords": ["smoke"], "officer": "Brigade"}\n'
+        '{"rule": "holes", "priority": 2, "keywords": ["pothole near"]}\n'
+    )
+    options = ["--media", str(media), "--transcripts", str(tmp_path / "spoken"), "--recall", "0.9"]
+    options += ["--rule-table", str(tmp_path / "rules.json"), "--out", str(tmp_path / "all")]
+    assert jobs.main(["triage", *asked, *options])["rows"] == 5
+    rows = {r.complaint_id.split("/")[-1]: r for r in spark.read.parquet(str(tmp_path / "all")).collect()}
+    assert {k: r.status for k, r in rows.items() if k != "water_leak.mp4"} == {
+        "a": "out_of_scope", "b": "rejected", "call1.wav": "smoke", "call2.wav": "rejected",
+    }
+    assert rows["call1.wav"].officer == "Brigade" and rows["water_leak.mp4"].complaint_text
