@@ -212,14 +212,13 @@ def _across(pairs: DataFrame, components: DataFrame, texts: DataFrame, config: L
     blocks = materialize(dealt, "line-blocks")
     # Blocks outside meet each other once, and every block inside.
     first = F.when(F.col("outside"), F.col("block")).otherwise(F.lit(0))
-    left = blocks.select("b", F.explode(F.sequence(first, "last")).alias("other"), F.col("own").alias("left"))
+    left = blocks.select(
+        "b", "outside", "block", F.explode(F.sequence(first, "last")).alias("other"), F.col("own").alias("left")
+    )
     right = blocks.where("outside").select("b", F.col("block").alias("other"), F.col("own").alias("right"))
 
-    def meets(x: Column, others: Column) -> Column:
-        return F.exists(
-            others,
-            lambda y: (x["component"] != y["component"]) & F.arrays_overlap(x["bands"], y["bands"]),
-        )
+    def all_bands(members: str) -> Column:
+        return F.flatten(F.transform(members, lambda m: m["bands"]))
 
     def with_sets(members: Column) -> Column:
         return F.transform(
@@ -261,14 +260,23 @@ def _across(pairs: DataFrame, components: DataFrame, texts: DataFrame, config: L
             lambda sets: F.flatten(F.transform(with_sets(mine), lambda x: links(x, sets))),
         )
 
-    # Sets are made of those members alone that share a band with one of another component.
-    found = let(
-        F.filter("left", lambda x: meets(x, F.col("right"))),
-        lambda mine: let(
-            F.filter("right", lambda y: meets(y, mine)), lambda others: linked_in(mine, others)
-        ),
+    # Bands that both blocks hold, or that a block compared with itself holds twice. Sets are
+    # made of those members alone that have one.
+    twice = let(
+        F.sort_array(all_bands("left")),
+        lambda own: F.filter(own, lambda v, i: (i > 0) & (v == F.get(own, F.greatest(i - 1, F.lit(0))))),
     )
-    linked = left.join(right, ["b", "other"]).select(F.explode(found).alias("l"))
+    same = F.col("outside") & (F.col("block") == F.col("other"))
+    common = F.when(same, twice).otherwise(F.array_intersect(all_bands("left"), all_bands("right")))
+
+    def having(members: Column) -> Column:
+        return F.filter(members, lambda m: F.arrays_overlap(m["bands"], F.col("common")))
+
+    found = linked_in(having(F.col("left")), having(F.col("right")))
+    # Few bytes mean much work here: the number of tasks is not left to their size.
+    tasks = 2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.repartition(tasks, "b", "other").join(right, ["b", "other"])
+    linked = met.withColumn("common", common).select(F.explode(found).alias("l"))
     return linked.select("l.a", "l.b")
 
 
