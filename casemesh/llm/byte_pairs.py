@@ -15,7 +15,7 @@ import numpy as np
 
 ID_BYTES = 4
 # Units kept in each of two generations; what the older one alone holds and nobody asks for goes.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 320_000
 # Longer units hardly ever come again.
 LONGEST_UNIT = 48
 # Fixed value: the white space of the vocabulary's own pattern.
