@@ -251,3 +251,23 @@ def test_recall_needs_no_queries_and_excludes_nprobe(spark):
     assert k_nearest(none, x, 2, query_id="qid", recall=0.9, layout=SMALL).count() == 0
     with pytest.raises(ValueError):
         k_nearest(x, x, 2, recall=0.9, nprobe=2)
+
+
+def test_what_leaves_the_tasks_does_not_grow_with_the_cells_visited(spark):
+    """Every query visits every cell, and a task gives its k best and not k of each cell."""
+    from casemesh.operators import cells as ce
+    from casemesh.operators.blocks import k_nearest_in_block
+
+    x = points(400, copies=40)
+    index = prepare_cells(frame(spark, x), max_k=3, layout=Layout(block_rows=10, broadcast_bytes=0))
+    assert len(index.stats["cell"]) > 10
+    queries = frame(spark, x).select(
+        F.col("id").alias("qkey"), F.col("id").alias("qid"), F.col("embedding").alias("vec")
+    )
+    visits = ce.Visits(index, probing=True)
+    slices = ce.query_slices(queries, index, visits, 400, 3, nprobe=1000)
+    schema = "qkey long, qid long, rank int, id long, distance double"
+    found = ce.compare_slices(slices, 400, index, visits, k_nearest_in_block("l2sq", 3, False), schema, 3)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    _, parts = ce.tasks_of(400, index)
+    assert found.count() == 3 * 400 * parts == 1200
