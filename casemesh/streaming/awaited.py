@@ -1,5 +1,8 @@
 """Requests that wait for their transcripts: state per request, timers, each decided once.
 
+Requests are kept in buckets by the hash of their id, each with one timer: that of its first
+request whose time ends. A bucket is read and written as a whole.
+
 Events are ``complaint_id, kind, text, media_path, at``: a ``request``, typed or with a media
 file, or the ``transcript`` of one. They arrive in any order and more than once.
 
@@ -17,7 +20,9 @@ typed request that was sent again is that of the one which came first.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,11 +32,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from casemesh.functions import text as tx
 
 REQUEST, TRANSCRIPT = "request", "transcript"
-RESULT = "complaint_id string, complaint_text string, media_path string, requested_at timestamp"
-# What is known of an id: a transcript or a request that waits for the other, or a decision.
-STATE = "stage string, text string, media_path string, at long"
+EVENT = ["complaint_id", "kind", "text", "media_path", "at_ms"]
+DECISION = ["complaint_id", "complaint_text", "media_path", "at_ms"]
+RESULT = "complaint_id string, complaint_text string, media_path string, at_ms long"
+# What is known of the ids of a bucket, each a transcript or a request that waits for the other,
+# or a decision.
+STATE = (
+    "ids array<string>, stages array<string>, texts array<string>, paths array<string>, "
+    "ats array<long>, dues array<long>"
+)
 HEARD, WAITING, DECIDED = "heard", "waiting", "decided"
-COLUMNS = ["complaint_id", "kind", "text", "media_path", "at"]
+# A call per id costs milliseconds, so ids share a call and a state by their hash.
+BUCKETS = 4096
 
 
 def usable(events: DataFrame) -> DataFrame:
@@ -47,80 +59,104 @@ def usable(events: DataFrame) -> DataFrame:
     return plain.where(F.coalesce(F.when(F.col("at").isNotNull(), known), F.lit(False)))
 
 
-def _millis(at) -> int:
-    return int(pd.Timestamp(at).value // 1_000_000)
+class Known(NamedTuple):
+    """What is known of an id, and the event time at which that ends."""
+
+    stage: str
+    text: str | None
+    path: str | None
+    at: int
+    due: int
 
 
-def _first(rows: pd.DataFrame) -> tuple | None:
-    """``(at, text, media_path)`` of the earliest row, ties by text."""
-    found = [
-        (_millis(at), text if isinstance(text, str) else None, path if isinstance(path, str) else None)
-        for at, text, path in zip(rows["at"], rows["text"], rows["media_path"])
-    ]
-    return min(found, key=lambda row: (row[0], row[1] is None, row[1] or ""), default=None)
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
 
 
-def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, wait: int):
-    """What the events of one id, and what is known of it, come to."""
-    stage, text, path, at = state.get if state.exists else (None, None, None, None)
+def _decide(known: Known | None, asked: list, heard: list, wait: int, watermark: int):
+    """What is known of one id after its events, and the text it is decided with, if it is now.
 
-    def row(text, path, at) -> pd.DataFrame:
-        return pd.DataFrame({
-            "complaint_id": [key[0]], "complaint_text": [text], "media_path": [path],
-            "requested_at": [pd.Timestamp(at, unit="ms")],
-        })
+    ``asked`` are the ``(at, text, path)`` of its requests, ``heard`` the ``(at, text)`` of
+    transcripts.
+    """
 
-    def remember(*known) -> None:
-        state.update(known)
+    def remember(stage, text, path, at) -> Known:
         # The watermark itself is the earliest moment a timer may be set to.
-        state.setTimeoutTimestamp(max(known[3] + wait, state.getCurrentWatermarkMs() + 1))
+        return Known(stage, text, path, at, max(at + wait, watermark + 1))
 
-    if state.hasTimedOut:
-        state.remove()
-        if stage == WAITING:
-            yield row(None, path, at)
-        return
-    events = pd.concat(list(frames))
+    stage = known.stage if known else None
     if stage == DECIDED:
-        remember(stage, text, path, at)
-        return
-    asked = _first(events[events["kind"] == REQUEST])
-    if stage == WAITING:
-        asked = (at, None, path)
-    heard = [
-        (_millis(a), t) for a, t in zip(*(events[events["kind"] == TRANSCRIPT][c] for c in ("at", "text")))
-    ]
+        return remember(DECIDED, known.text, known.path, known.at), False, None
     if stage == HEARD:
-        heard.append((at, text))
-    if asked is None:
-        first = min(heard)
-        remember(HEARD, first[1], None, first[0])
-        return
-    when, said, path = asked
+        heard = [*heard, (known.at, known.text)]
+    if stage == WAITING:
+        when, said, path = known.at, None, known.path
+    elif asked:
+        when, said, path = min(asked, key=lambda row: (row[0], row[1] is None, row[1] or ""))
+    else:
+        at, text = min(heard)
+        return remember(HEARD, text, None, at), False, None
     if said is None:
         near = [(a, t) for a, t in heard if abs(a - when) <= wait]
         said = min(near)[1] if near else None
     if said is None:
-        remember(WAITING, None, path, when)
-        return
-    remember(DECIDED, None, path, when)
-    yield row(said, path, when)
+        return remember(WAITING, None, path, when), False, None
+    return remember(DECIDED, None, path, when), True, said
+
+
+def _decide_bucket(frames: Iterator[pd.DataFrame], state: GroupState, wait: int):
+    """Decides the ids of a bucket that have events, and ends those whose time is over."""
+    watermark = state.getCurrentWatermarkMs()
+    held = {row[0]: Known(*row[1:]) for row in zip(*state.get)} if state.exists else {}
+    asked, heard = defaultdict(list), defaultdict(list)
+    if not state.hasTimedOut:
+        for frame in frames:
+            for name, kind, text, path, at in zip(*(frame[c].tolist() for c in EVENT)):
+                if kind == REQUEST:
+                    asked[name].append((at, _text(text), _text(path)))
+                else:
+                    heard[name].append((at, text))
+    rows = []
+    for name, known in list(held.items()):
+        if known.due < watermark and name not in asked and name not in heard:
+            if known.stage == WAITING:
+                rows.append((name, None, known.path, known.at))
+            del held[name]
+    for name in dict.fromkeys([*asked, *heard]):
+        known, decided, text = _decide(held.get(name), asked[name], heard[name], wait, watermark)
+        held[name] = known
+        if decided:
+            rows.append((name, text, known.path, known.at))
+    if held:
+        state.update(tuple(list(column) for column in zip(*((name, *k) for name, k in held.items()))))
+        state.setTimeoutTimestamp(max(min(k.due for k in held.values()), watermark + 1))
+    elif state.exists:
+        state.remove()
+    if rows:
+        yield pd.DataFrame(rows, columns=DECISION).astype({"at_ms": "int64"})
 
 
-def awaited_requests(events: DataFrame, wait_seconds: int, lateness: str = "10 minutes") -> DataFrame:
+def awaited_requests(
+    events: DataFrame, wait_seconds: int, lateness: str = "10 minutes", buckets: int = BUCKETS
+) -> DataFrame:
     """``complaint_id, complaint_text, media_path, requested_at`` of a stream of events, each
     request once. ``lateness`` is how far behind the latest event others may come; ``at`` is a
-    timestamp, and events of any other kind only move the clock."""
+    timestamp, and events of any other kind only move the clock. ``buckets`` must stay the same
+    as long as a checkpoint is used."""
     wait = wait_seconds * 1000
 
     def decide(key, frames, state):
-        yield from _decide(key, frames, state, wait)
+        yield from _decide_bucket(frames, state, wait)
 
-    return (
-        usable(events.withWatermark("at", lateness))
-        .groupBy("complaint_id")
-        .applyInPandasWithState(decide, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # The time itself stays too, as it is what late events are known by.
+    known = usable(events.withWatermark("at", lateness)).select(
+        F.pmod(F.xxhash64("complaint_id"), F.lit(buckets)).alias("bucket"),
+        "*", F.unix_millis("at").alias("at_ms"),
+    )
+    decided = known.groupBy("bucket").applyInPandasWithState(
+        decide, RESULT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return decided.select(*DECISION[:3], F.timestamp_millis("at_ms").alias("requested_at"))
 
 
 def awaited_batch(events: DataFrame, wait_seconds: int, until: Column | None = None) -> DataFrame:

@@ -80,3 +80,26 @@ def test_requests_still_waiting_are_left_out_until_their_time(spark):
     names = {r["complaint_id"] for r in awaited_batch(events, 120, until).collect()}
     assert names == {"typed", "late", "early", "two", "far"}
     assert awaited_batch(events.limit(0), 120).count() == 0
+
+
+def test_ids_share_states_and_still_end_by_their_own_time(spark, tmp_path):
+    """The calls of a batch grow with the buckets, not with the ids."""
+    events = [event(f"n{n}", "request", 30 * n, None, f"{n}.wav") for n in range(40)]
+    events += [event(f"n{n}", "transcript", 30 * n + 100, f"said {n}") for n in range(0, 40, 4)]
+    source, out, held = f"{tmp_path}/in", f"{tmp_path}/out", []
+    for n, rows in enumerate([events[:20], events[20:], [event("clock", "clock", 1500)], [END]]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{source}/{n:03d}")
+        arriving = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).parquet(source)
+        query = (
+            awaited_requests(arriving, 120, "600 seconds", buckets=2)
+            .writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        held.append((query.recentProgress[0].stateOperators[0].numRowsTotal, spark.read.parquet(out).count()))
+    assert max(rows for rows, _ in held) <= 2
+    # The clock is at 1180, then at 1500: those end that were asked 600 + 120 seconds before.
+    ended = [sum(n % 4 != 0 and 30 * n < clock - 720 for n in range(40)) for clock in (1180, 1500)]
+    assert [decided for _, decided in held[1:3]] == [10 + n for n in ended]
+    got = {(r["complaint_id"], r["complaint_text"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(f"n{n}", f"said {n}" if n % 4 == 0 else None) for n in range(40)} | {("end", "end")}
