@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from casemesh.operators.blocks import best_of, matrix_of, square_distances, strips_of
 from casemesh.session import materialize, materialize_counted, scratch_path
@@ -52,14 +52,14 @@ class Layout:
 
 @dataclass(frozen=True)
 class CellIndex:
-    """A prepared index: entries ``ids, vec, cell, radius``, the same in chunks
-    ``chunk_cells, chunk`` (Arrow streams), pivots, and figures per cell.
+    """A prepared index: chunks of entries ``ids, vec, cell, radius`` (Arrow streams) with
+    figures of their cells, pivots, and figures per cell.
 
     ``depth`` is how many ids sharing one vector were kept, so the largest k it answers.
     """
 
-    entries: DataFrame
     chunks: DataFrame
+    id_type: str
     pivots: np.ndarray
     stats: dict[str, np.ndarray]
     metric: str
@@ -67,25 +67,21 @@ class CellIndex:
     layout: Layout
 
 
-def distinct_vectors(index: DataFrame, depth: int) -> DataFrame:
-    """One row per distinct vector with the ``depth`` smallest ids that share it.
+def _first_copies(batch: pa.RecordBatch, depth: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The ``depth`` smallest ids of each vector of a batch, vectors in a row, and where each begins.
 
-    Ties go to the smaller id, so no later copy can appear in an answer: this loses
-    nothing, and a vector shared by a third of all rows shrinks to one entry. Vectors are
-    known by 128 bits of hash, so the shuffle and its sorts never compare them; the window
-    limits each partition before the shuffle, and the grouping after it needs none.
+    Ties go to the smaller id, so no later copy can appear in an answer: this loses nothing,
+    and a vector shared by a third of all rows shrinks to a few rows a batch. Vectors are known
+    by 128 bits of hash.
     """
-    copies = Window.partitionBy("h", "g").orderBy("id")
-    return (
-        index.select(
-            "id", "vec", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(1), "vec").alias("g")
-        )
-        .withColumn("copy", F.row_number().over(copies))
-        .where(F.col("copy") <= depth)
-        .groupBy("h", "g")
-        .agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec"))
-        .select("ids", "vec")
-    )
+    order = pc.sort_indices(batch, [(name, "ascending") for name in ("h", "g", "id")])
+    batch = batch.take(order)
+    h, g = batch["h"].to_numpy(), batch["g"].to_numpy()
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    place = np.arange(len(h))
+    keep = place - np.maximum.accumulate(np.where(new, place, 0)) < depth
+    return batch.filter(pa.array(keep)), np.flatnonzero(new[keep])
 
 
 def _choose_pivots(index: DataFrame, rows: int, metric: str, layout: Layout) -> np.ndarray:
@@ -112,14 +108,17 @@ def _by_strips(batches, pivots: np.ndarray, metric: str, side: str):
             yield part, np.sqrt(square_distances(vectors[strip], pivots))
 
 
-def _with_home(entries: DataFrame, pivots, metric: str) -> DataFrame:
-    """Adds the nearest pivot ``cell`` and the distance ``radius`` to it."""
+def _with_home(index: DataFrame, pivots, metric: str, depth: int | None) -> DataFrame:
+    """``index`` (``id, vec, h, g``) with the nearest pivot ``cell`` and the distance ``radius``
+    to it; copies beyond ``depth`` in a batch go."""
     schema = T.StructType(
-        entries.schema.fields
+        index.schema.fields
         + [T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]
     )
 
     def assign(batches):
+        if depth is not None:
+            batches = (_first_copies(batch, depth)[0] for batch in batches if batch.num_rows)
         for batch, to_pivot in _by_strips(batches, pivots.value, metric, "index"):
             cell = to_pivot.argmin(axis=1)
             radius = to_pivot[np.arange(len(cell)), cell]
@@ -128,21 +127,23 @@ def _with_home(entries: DataFrame, pivots, metric: str) -> DataFrame:
                 names=[*batch.schema.names, "cell", "radius"],
             )
 
-    return entries.mapInArrow(assign, schema)
+    return index.mapInArrow(assign, schema)
 
 
-def _cell_stats(entries: DataFrame) -> dict[str, np.ndarray]:
+def _cell_stats(chunks: DataFrame) -> dict[str, np.ndarray]:
     """Rows and radius range per cell: at most ``max_cells`` rows, whatever the index holds."""
-    rows = entries.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high")
+    rows = chunks.select(F.explode(F.arrays_zip("chunk_cells", "n", "low", "high")).alias("c"))
+    rows = rows.groupBy(F.col("c.chunk_cells").alias("cell")).agg(
+        F.sum("c.n").alias("n"), F.min("c.low").alias("low"), F.max("c.high").alias("high")
     )
     found = rows.orderBy("cell").toPandas()
     return {name: found[name].to_numpy() for name in ("cell", "n", "low", "high")}
 
 
 def _stream_of(part: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, part.schema) as stream:
+    # Compressed, as vectors of texts hold many zeros.
+    sink, packing = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, part.schema, options=packing) as stream:
         stream.write_batch(part)
     return sink.getvalue().to_pybytes()
 
@@ -155,23 +156,64 @@ def _parts(rows: int, width: int) -> int:
     return max(1, math.ceil(rows * width * 8 / PART_BYTES))
 
 
-def _packed_entries(entries: DataFrame, rows: int, width: int) -> DataFrame:
-    """``chunk_cells, chunk``: entries of neighbouring cells as Arrow streams."""
+CHUNK = "chunk_cells array<int>, n array<long>, low array<double>, high array<double>, chunk binary"
+
+
+def _packed_entries(homed: DataFrame, rows: int, width: int, depth: int | None) -> DataFrame:
+    """Entries of neighbouring cells as Arrow streams, with the figures of their cells.
+
+    A batch that ends within the copies of a vector makes two entries of it, each with
+    its smallest ids.
+    """
     step = max(1, CHUNK_NUMBERS // width)
 
+    def entries_of(batch: pa.RecordBatch) -> pa.Table:
+        if depth is None:
+            starts = np.arange(batch.num_rows)
+        else:
+            batch, starts = _first_copies(batch, depth)
+        offsets = pa.array(np.append(starts, batch.num_rows).astype(np.int32))
+        firsts = batch.take(pa.array(starts)).select(["vec", "cell", "radius"])
+        entries = pa.Table.from_batches([firsts])
+        entries = entries.add_column(0, "ids", pa.ListArray.from_arrays(offsets, batch["id"]))
+        return entries.sort_by("cell").combine_chunks()
+
     def pack(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                cells = np.unique(part["cell"].to_numpy())
+            if not batch.num_rows:
+                continue
+            entries = entries_of(batch)
+            for at in range(0, entries.num_rows, step):
+                part = entries.slice(at, step).combine_chunks().to_batches()[0]
+                radius = part["radius"].to_numpy()
+                cells, first, n = np.unique(
+                    part["cell"].to_numpy(), return_index=True, return_counts=True
+                )
+                low, high = np.minimum.reduceat(radius, first), np.maximum.reduceat(radius, first)
+                figures = [pa.array([cells], pa.list_(pa.int32())), pa.array([n], pa.list_(pa.int64()))]
+                figures += [pa.array([values], pa.list_(pa.float64())) for values in (low, high)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cells], pa.list_(pa.int32())), pa.array([_stream_of(part)], pa.binary())],
-                    ["chunk_cells", "chunk"],
+                    [*figures, pa.array([_stream_of(part)], pa.binary())],
+                    ["chunk_cells", "n", "low", "high", "chunk"],
                 )
 
-    dealt = entries.repartitionByRange(_parts(rows, width), "cell", F.xxhash64("ids"))
-    ordered = dealt.sortWithinPartitions("cell")
-    return ordered.mapInArrow(pack, "chunk_cells array<int>, chunk binary")
+    # Copies have one hash, so they meet in a partition, and those of a cell lie in a row.
+    dealt = homed.repartitionByRange(_parts(rows, width), "cell", "h")
+    return dealt.sortWithinPartitions("cell", "h", "g").mapInArrow(pack, CHUNK)
+
+
+def cells_of_ids(cells: CellIndex) -> DataFrame:
+    """``id, cell`` of all entries."""
+
+    def unpack(batches):
+        for batch in batches:
+            for stream in batch["chunk"]:
+                table = _table_of(stream)
+                ids = table["ids"].combine_chunks()
+                cell = table["cell"].combine_chunks().take(pc.list_parent_indices(ids))
+                yield pa.RecordBatch.from_arrays([ids.flatten(), cell], ["id", "cell"])
+
+    return cells.chunks.select("chunk").mapInArrow(unpack, f"id {cells.id_type}, cell int")
 
 
 def build_cells(
@@ -184,37 +226,37 @@ def build_cells(
 ) -> CellIndex:
     """Cuts ``index`` (``id, vec``) into cells; kept at ``path`` it serves many joins.
 
-    With ``depth=None`` copies of a vector stay entries of their own.
+    Vectors are shuffled once, and stored once. With ``depth=None`` copies of a vector stay
+    entries of their own.
     """
     spark = index.sparkSession
     pivots = _choose_pivots(index, rows, metric, layout)
-    if depth is None:
-        entries = index.select(F.array("id").alias("ids"), "vec")
-    else:
-        entries = distinct_vectors(index, depth)
+    known = "vec" if depth is not None else "id"
+    hashed = index.select(
+        "id", "vec", F.xxhash64(known).alias("h"), F.xxhash64(F.lit(1), known).alias("g")
+    )
     kept = path or scratch_path(spark, "index-cells")
-    homed = _with_home(entries, spark.sparkContext.broadcast(pivots), metric)
-    homed.write.parquet(f"{kept}/entries")
+    homed = _with_home(hashed, spark.sparkContext.broadcast(pivots), metric, depth)
+    packed = _packed_entries(homed, rows, pivots.shape[1], depth)
+    packed.write.parquet(f"{kept}/chunks")
+    id_type = index.schema["id"].dataType.simpleString()
     if path is not None:
         table = pa.table({"cell": np.arange(len(pivots)), "pivot": list(pivots)})
         spark.createDataFrame(table).coalesce(1).write.parquet(f"{path}/pivots")
-        facts = spark.createDataFrame([(metric, depth or 1)], "metric string, depth int")
+        facts = [(metric, depth or 1, id_type)]
+        facts = spark.createDataFrame(facts, "metric string, depth int, id_type string")
         facts.coalesce(1).write.parquet(f"{path}/facts")
-    stored = spark.read.schema(homed.schema).parquet(f"{kept}/entries")
-    stats = _cell_stats(stored)
-    packed = _packed_entries(stored, int(stats["n"].sum()), pivots.shape[1])
-    packed.write.parquet(f"{kept}/chunks")
     chunks = spark.read.schema(packed.schema).parquet(f"{kept}/chunks")
-    return CellIndex(stored, chunks, pivots, stats, metric, depth or 1, layout)
+    return CellIndex(chunks, id_type, pivots, _cell_stats(chunks), metric, depth or 1, layout)
 
 
 def load_cells(spark: SparkSession, path: str, layout: Layout = Layout()) -> CellIndex:
-    entries = spark.read.parquet(f"{path}/entries")
+    chunks = spark.read.schema(CHUNK).parquet(f"{path}/chunks")
     pivots = spark.read.parquet(f"{path}/pivots").orderBy("cell").toArrow()["pivot"]
     facts = spark.read.parquet(f"{path}/facts").first()
     return CellIndex(
-        entries, spark.read.parquet(f"{path}/chunks"), matrix_of(pivots, "l2sq", "index"),
-        _cell_stats(entries), facts["metric"], facts["depth"], layout,
+        chunks, facts["id_type"], matrix_of(pivots, "l2sq", "index"), _cell_stats(chunks),
+        facts["metric"], facts["depth"], layout,
     )
 
 
@@ -261,7 +303,7 @@ class Visits:
 
     def __init__(self, cells: CellIndex, probing: bool = False, share: float = 1.0, home_only: bool = False):
         places = cells.stats["cell"]
-        self.pivots = cells.entries.sparkSession.sparkContext.broadcast(cells.pivots[places])
+        self.pivots = cells.chunks.sparkSession.sparkContext.broadcast(cells.pivots[places])
         self.stats, self.metric = cells.stats, cells.metric
         self.probing, self.share, self.home_only = probing, share, home_only
 
@@ -354,40 +396,56 @@ def _slice_row(key: int, cells: np.ndarray, part: pa.RecordBatch) -> pa.RecordBa
     )
 
 
+BOUNDED = "slice long, cells array<int>, reach array<double>"
+
+
 def bounded_slices(slices: DataFrame, bounds: DataFrame, rows: int, cells: CellIndex, visits: Visits) -> DataFrame:
-    """The slices with the reach of their queries cut to ``bounds`` (``slice, qkey, bound``),
-    and the cells that are left."""
+    """The slices with the ``reach`` of their queries cut to ``bounds`` (``slice, qkey, bound``),
+    and the cells that are left. Vectors are not written again."""
     metric = cells.metric
+
+    def beside(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if rows <= BROADCAST_BOUNDS else small
+
     of_slice = bounds.groupBy("slice").agg(
         F.collect_list(F.struct("qkey", "bound")).alias("bounds")
     )
-    if rows <= BROADCAST_BOUNDS:
-        of_slice = F.broadcast(of_slice)
 
     def cut(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                part = _table_of(batch["data"][row]).combine_chunks().to_batches()[0]
-                queries = _queries_of(part, metric)
+                table = _table_of(batch["data"][row])
+                queries = _queries_of(table, metric)
                 known = batch["bounds"][row].values
                 if known is not None:
-                    keys = part["qkey"].to_numpy()
+                    keys = table["qkey"].to_numpy()
                     order = np.argsort(keys)
                     at = order[np.searchsorted(keys, known.field("qkey").to_numpy(), sorter=order)]
                     reach = queries["reach"].copy()
                     reach[at] = np.minimum(reach[at], known.field("bound").to_numpy())
                     queries["reach"] = reach
-                    part = part.set_column(part.schema.get_field_index("reach"), "reach", pa.array(reach))
-                yield _slice_row(batch["slice"][row].as_py(), visits.cells_of(queries), part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["slice"].slice(row, 1),
+                        pa.array([visits.cells_of(queries)], pa.list_(pa.int32())),
+                        pa.array([queries["reach"]], pa.list_(pa.float64())),
+                    ],
+                    ["slice", "cells", "reach"],
+                )
 
-    joined = slices.join(of_slice, "slice", "left").select("slice", "data", "bounds")
-    return materialize(joined.mapInArrow(cut, SLICE), "query-slices")
+    joined = slices.join(beside(of_slice), "slice", "left").select("slice", "data", "bounds")
+    bounded = materialize(joined.mapInArrow(cut, BOUNDED), "query-reach")
+    return slices.drop("cells").join(beside(bounded), "slice")
 
 
 def unpacked(slices: DataFrame) -> pa.Table:
-    """The rows of a few slices, on the driver."""
-    streams = slices.select("data").toArrow()["data"]
-    return pa.concat_tables([_table_of(stream) for stream in streams])
+    """The rows of a few bounded slices, on the driver."""
+    found = slices.select("data", "reach").toArrow()
+    tables = []
+    for stream, reach in zip(found["data"], found["reach"]):
+        table = _table_of(stream)
+        tables.append(table.set_column(table.schema.get_field_index("reach"), "reach", reach.values))
+    return pa.concat_tables(tables)
 
 
 def tasks_of(rows: int, cells: CellIndex) -> tuple[int, int]:
@@ -416,7 +474,7 @@ def compare_slices(
     pairs = (
         slices.coalesce(left).hint("shuffle_replicate_nl")
         .join(cells.chunks.coalesce(right), F.arrays_overlap("cells", "chunk_cells"))
-        .select("slice", "data", "chunk")
+        .select("slice", "data", "chunk", *[c for c in slices.columns if c == "reach"])
     )
     if carry_slice:
         schema = f"slice long, {schema}"
@@ -457,6 +515,8 @@ def compare_slices(
                     held, count, current = [], 0, key
                     table = _table_of(batch["data"][row])
                     queries = _queries_of(table, metric)
+                    if "reach" in batch.schema.names:
+                        queries["reach"] = batch["reach"][row].values.to_numpy()
                 found = meet(table, queries, _table_of(batch["chunk"][row]))
                 if found is None or not found.num_rows:
                     continue

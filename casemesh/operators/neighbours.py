@@ -137,8 +137,7 @@ def k_nearest(
     if isinstance(index, CellIndex):
         if index.metric != metric or index.depth < depth:
             raise ValueError(f"cells were prepared for {index.metric}, k < {index.depth}")
-        id_type = index.entries.schema["ids"].dataType.elementType.simpleString()
-        schema = f"qid {qid_type}, rank int, id {id_type}, distance double"
+        schema = f"qid {qid_type}, rank int, id {index.id_type}, distance double"
         found = _through_cells(left, index, k, depth, nprobe, recall, compare, schema)
     else:
         right = _vectors(index, index_id, index_vec, "id")
@@ -157,10 +156,9 @@ def k_nearest(
 
 
 def _through_cells(left, cells: CellIndex, k, depth, nprobe, recall, compare, schema) -> DataFrame:
-    # Rows are told apart by a number of their own; it is written, as two passes use it.
-    numbered = left.withColumn("qkey", F.monotonically_increasing_id())
-    left, seen = materialize_counted(numbered, "query-rows")
-    rows = seen["rows"]
+    # Rows are told apart by a number of their own; it is written with the slices.
+    rows = left.count()
+    left = left.withColumn("qkey", F.monotonically_increasing_id())
     schema = f"qkey long, {schema}"
     if nprobe is not None:
         visits = ce.Visits(cells, probing=True)
@@ -195,7 +193,7 @@ def _fitted_share(queries, rows, cells: CellIndex, k, depth, recall, compare, sc
     exact = exact.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     exact = materialize(exact.select("qkey", "id"), "recall-answers")
     wanted = F.broadcast(exact.select("id").distinct())
-    homes = cells.entries.select(F.explode("ids").alias("id"), "cell").join(wanted, "id", "left_semi")
+    homes = ce.cells_of_ids(cells).join(wanted, "id", "left_semi")
     found = exact.join(F.broadcast(homes), "id").toPandas()
     if not len(found):
         return 1.0

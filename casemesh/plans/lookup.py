@@ -13,10 +13,11 @@ from casemesh.session import materialize
 
 
 def text_vectors(df: DataFrame, key: str, model: PipelineModel) -> DataFrame:
-    """``key, embedding`` of ``complaint_text``, written because joins read it repeatedly."""
+    """``key, embedding`` of ``complaint_text``, written, as sparse vectors, because joins read
+    it repeatedly."""
     texts = df.where(F.col("complaint_text").isNotNull()).select(key, "complaint_text")
-    vector = as_array(F.col("features")).alias("embedding")
-    return materialize(featurize(texts, model).select(key, vector), "text-vectors")
+    kept = materialize(featurize(texts, model).select(key, "features"), "text-vectors")
+    return kept.select(key, as_array(F.col("features")).alias("embedding"))
 
 
 def similar_text(

@@ -271,3 +271,30 @@ def test_what_leaves_the_tasks_does_not_grow_with_the_cells_visited(spark):
     assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
     _, parts = ce.tasks_of(400, index)
     assert found.count() == 3 * 400 * parts == 1200
+
+
+def test_vectors_are_shuffled_and_stored_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("casemesh.session.scratch_root", lambda _: str(tmp_path))
+    x = points(200, copies=20)
+    queries = frame(spark, x).withColumnRenamed("id", "qid")
+    got = k_nearest(queries, frame(spark, x), 2, query_id="qid", layout=SMALL)
+    assert found(got) == brute(x, x, 2, "l2sq")
+    tables = [
+        path for path in tmp_path.rglob("*")
+        if path.is_dir() and any(part.stat().st_size > 4000 for part in path.glob("*.parquet"))
+    ]
+    assert sorted(path.relative_to(tmp_path).parts[0].rsplit("-", 1)[0] for path in tables) == [
+        "index-cells", "query-slices"
+    ]
+
+
+def test_copies_in_several_batches(spark):
+    """Batches end within the copies of a vector, and a batch may hold nothing else."""
+    x = points(120, copies=50)
+    df = frame(spark, x).withColumnRenamed("id", "qid")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = k_nearest(df, frame(spark, x), 3, query_id="qid", exclude_self=True, layout=SMALL)
+        assert found(got) == brute(x, x, 3, "l2sq", exclude_self=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
