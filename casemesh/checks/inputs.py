@@ -38,6 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as they lie. A vector join reads its index several times and deals it
+    itself, so a table spread over the cores would be shuffled whole for each reading."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def damage(quality, toxic):
     """No document is blank, symbols only or an error, so labels give such requests too."""
     return (
