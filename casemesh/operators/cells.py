@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casemesh.operators.blocks import best_of, matrix_of, square_distances, strips_of
-from casemesh.session import materialize, materialize_counted, scratch_path
+from casemesh.session import materialize, scratch_path, shuffles_dropped
 
 # Numbers in the vectors of one slice of queries and of one chunk of the index.
 SLICE_NUMBERS = 1 << 19
@@ -238,7 +238,8 @@ def build_cells(
     kept = path or scratch_path(spark, "index-cells")
     homed = _with_home(hashed, spark.sparkContext.broadcast(pivots), metric, depth)
     packed = _packed_entries(homed, rows, pivots.shape[1], depth)
-    packed.write.parquet(f"{kept}/chunks")
+    with shuffles_dropped(spark):
+        packed.write.parquet(f"{kept}/chunks")
     id_type = index.schema["id"].dataType.simpleString()
     if path is not None:
         table = pa.table({"cell": np.arange(len(pivots)), "pivot": list(pivots)})
@@ -379,7 +380,8 @@ def query_slices(
     left, _ = tasks_of(rows, cells)
     dealt = queries.mapInArrow(settle, schema).repartitionByRange(left, "home", F.xxhash64("qkey"))
     packed = dealt.sortWithinPartitions("home").mapInArrow(pack, SLICE)
-    return materialize(packed, "query-slices")
+    with shuffles_dropped(queries.sparkSession):
+        return materialize(packed, "query-slices")
 
 
 SLICE = "slice long, cells array<int>, data binary"

@@ -27,7 +27,7 @@ from casemesh.operators.blocks import (
 )
 from casemesh.operators.cells import CHUNK_NUMBERS, CellIndex, Layout
 from casemesh.operators.joins import join_unique
-from casemesh.session import materialize, materialize_counted
+from casemesh.session import materialize, materialize_counted, shuffles_dropped
 
 METRICS = ("l2sq", "cosine")
 # Queries whose exact answers tell how far others have to look, and how many standard errors
@@ -244,7 +244,8 @@ def _bounded(queries, rows, cells: CellIndex, k, depth, compare, schema, share:
         F.sqrt(F.min("distance") * scale).alias("bound")
     )
     visits = ce.Visits(cells, share=share)
-    bound = materialize(bound, "query-bounds")
+    with shuffles_dropped(queries.sparkSession):
+        bound = materialize(bound, "query-bounds")
     return ce.bounded_slices(slices, bound, rows, cells, visits), visits
 
 
@@ -309,7 +310,8 @@ def with_payload(matches: DataFrame, index: DataFrame, index_id: str = "id") ->
     The matches are written first: they are costly, and counting the hot ones reads them.
     """
     payload = index.withColumnRenamed(index_id, "id") if index_id != "id" else index
-    found, seen = materialize_counted(matches, "matches")
+    with shuffles_dropped(matches.sparkSession):
+        found, seen = materialize_counted(matches, "matches")
     return join_unique(found, payload, "id", "inner", left_rows=seen["rows"])
 
 
