@@ -34,7 +34,7 @@ from casemesh.llm.learning import settled, worker_state
 from casemesh.llm.words import FOLDED_VALUES, constants, shingle_sets, slices, words
 from casemesh.operators.duplicates import duplicate_clusters
 from casemesh.operators.joins import join_unique
-from casemesh.session import materialize
+from casemesh.session import materialize, small_batches
 
 VALUE_BYTES = 4
 
@@ -363,7 +363,8 @@ def near_duplicates(docs: DataFrame, config: NearDedup = NearDedup()) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # A set is one column, so that joins can be salted where many texts share it.
     whole = F.when(F.col("n_shingles") > 0, F.struct("n_shingles", "set_sum", "set_mix"))
-    sketched = materialize(sketch(docs, config), "near-sketches").withColumn("whole", whole)
+    with small_batches(spark):
+        sketched = materialize(sketch(docs, config), "near-sketches").withColumn("whole", whole)
     several = settled(spark, "near-several", lambda: _several(sketched))
     if several.isEmpty():
         own = sketched

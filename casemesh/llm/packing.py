@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from casemesh.llm.learning import worker_state
 from casemesh.llm.words import slices
-from casemesh.session import materialize_counted
+from casemesh.session import materialize_counted, small_batches
 
 ID_BYTES = 4
-CACHE_ENTRIES = 500_000
+# Pieces kept in each of two generations; what the older one alone holds and nobody asks for goes.
+CACHE_ENTRIES = 150_000
 GROUP_CHARS = 1 << 20
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 # Fixed value: how the vocabulary's own file cuts usual characters in lower case into words.
@@ -75,6 +76,13 @@ class _Encoder:
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[number] = token.endswith(WORD_END)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _missing(self, pieces: set[str]) -> set[str]:
+        """The pieces that no generation has; those of the older one come into the new one."""
+        if self.before:
+            self.known.update((piece, self.before[piece]) for piece in pieces if piece in self.before)
+        return {piece for piece in pieces if piece not in self.known}
 
     def _learn(self, words: list[str]) -> None:
         text = self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)
@@ -94,14 +102,14 @@ class _Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts that together should be of moderate size: their pieces are held at once."""
         if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
+            self.known, self.before = {}, self.known
         known = self.known
         usual = [not UNUSUAL.search(text) and SPECIAL not in text for text in texts]
         cut = [text.lower().split() if plain else [] for text, plain in zip(texts, usual)]
-        new = {piece for found in cut for piece in found if piece not in known}
+        new = self._missing({piece for found in cut for piece in found if piece not in known})
         mixed = {piece: WORD_PATTERN.findall(piece) for piece in new if not piece.isalpha()}
         words = {piece for piece in new if piece not in mixed}
-        words.update(word for found in mixed.values() for word in found if word not in known)
+        words |= self._missing({word for found in mixed.values() for word in found if word not in known})
         if words:
             self._learn(list(words))
         for piece, found in mixed.items():
@@ -211,7 +219,8 @@ def pack_shard(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, config: Packing) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset``. Sequence ids are unique and not gapless: shards count for themselves."""
-    pieces, seen = materialize_counted(token_pieces(docs, config), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        pieces, seen = materialize_counted(token_pieces(docs, config), "pack-pieces")
     capacity = config.capacity
     # The written table is read in the same splits each time, which makes row ids lasting.
     numbered = pieces.withColumn("row", F.monotonically_increasing_id())

@@ -14,7 +14,7 @@ from casemesh.llm.line_dedup import drop_duplicate_lines
 from casemesh.llm.near_dedup import near_duplicates
 from casemesh.llm.packing import pack
 from casemesh.llm.queries import packing_config, table
-from casemesh.session import materialize
+from casemesh.session import materialize, small_batches
 
 # A text of one language scores near 1; one that no language fits scores like a guess.
 LEAST_SCORE = 0.5
@@ -43,7 +43,9 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(found, "pipeline-contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    with small_batches(spark):
+        found = materialize(found, "pipeline-contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
