@@ -34,9 +34,14 @@ from casemesh.llm.learning import settled, worker_state
 from casemesh.llm.words import FOLDED_VALUES, constants, shingle_sets, slices, words
 from casemesh.operators.duplicates import duplicate_clusters
 from casemesh.operators.joins import join_unique
-from casemesh.session import materialize, small_batches
+from casemesh.session import few_tasks, materialize, materialize_counted, small_batches
 
 VALUE_BYTES = 4
+# So many rows are enough for a Python task: pairs of signatures, pairs of sets, texts, pairs of blocks.
+TASK_SIGNATURES = 1 << 14
+TASK_SETS = 1 << 12
+TASK_TEXTS = 1 << 12
+TASK_BLOCKS = 1 << 6
 
 
 class NearDedup(NamedTuple):
@@ -185,7 +190,8 @@ def _prune(pairs: DataFrame, firsts: DataFrame, config: NearDedup) -> DataFrame:
                 [batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"]
             )
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    both = few_tasks(both.select("a", "b", "left", "right"), pairs.count(), TASK_SIGNATURES)
+    return both.mapInArrow(run, "a long, b long")
 
 
 def linked(one: np.ndarray, two: np.ndarray, similarity: int) -> bool:
@@ -201,8 +207,8 @@ def _set(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), dtype=np.uint64)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, config: NearDedup) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+def _verify(pairs: DataFrame, rows: int, sets: DataFrame, config: NearDedup) -> DataFrame:
+    """The pairs, ``rows`` of them, whose full sets reach the threshold."""
     both = pairs.join(
         sets.select("a", F.col("shingles").alias("left")), "a"
     ).join(sets.select(F.col("a").alias("b"), F.col("shingles").alias("right")), "b")
@@ -221,7 +227,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, config: NearDedup) -> DataFrame:
                 [batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"]
             )
 
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    both = few_tasks(both.select("a", "b", "left", "right"), rows, TASK_SETS)
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _bands(firsts: DataFrame, config: NearDedup) -> DataFrame:
@@ -283,15 +290,16 @@ def _blocks(pairs: DataFrame, components: DataFrame, config: NearDedup) -> DataF
 def _across(members: DataFrame, firsts: DataFrame, sets: DataFrame, config: NearDedup) -> DataFrame:
     """Links ``a, b`` between members of different components, enough to join them."""
     payload = F.struct("a", "component", "signature", "shingles")
-    blocks = materialize(
+    # Blocks outside meet each other once, and every block inside.
+    first = F.when(F.col("outside"), F.col("block")).otherwise(F.lit(0))
+    blocks, seen = materialize_counted(
         members.join(firsts.select("a", "signature"), "a")
         .join(sets, "a")
         .groupBy("b", "outside", "block", "out_blocks")
         .agg(F.collect_list(payload).alias("members")),
         "near-blocks",
+        met=F.sum(F.col("out_blocks") - first),
     )
-    # Blocks outside meet each other once, and every block inside.
-    first = F.when(F.col("outside"), F.col("block")).otherwise(F.lit(0))
     left = blocks.select(
         "b",
         F.explode(F.sequence(first, F.col("out_blocks") - 1)).alias("other"),
@@ -301,6 +309,7 @@ def _across(members: DataFrame, firsts: DataFrame, sets: DataFrame, config: Near
         "b", F.col("block").alias("other"), F.col("members").alias("right")
     )
     both = left.join(right, ["b", "other"]).select("left", "right")
+    both = few_tasks(both, int(seen["met"] or 0), TASK_BLOCKS)
 
     def unpack(members):
         return (
@@ -401,7 +410,7 @@ def _several(sketched: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, sketched: DataFrame, config: NearDedup) -> DataFrame:
     """``whole, component_id`` of each different set."""
     spark = docs.sparkSession
-    firsts = materialize(
+    firsts, texts = materialize_counted(
         sketched.where("whole IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("whole")
         .agg(F.min("doc_id").alias("a"), F.first("signature").alias("signature")),
@@ -411,21 +420,20 @@ def _classes(docs: DataFrame, sketched: DataFrame, config: NearDedup) -> DataFra
     buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialize(bands.join(buckets, "band").select("a", "band", "members"), "near-shared")
     pairs = settled(spark, "near-pairs", lambda: _centers(shared))
-    close = materialize(_prune(pairs, firsts, config), "near-plausible")
+    close, left = materialize_counted(_prune(pairs, firsts, config), "near-plausible")
     banded = shared.select(F.col("a").alias("doc_id")).distinct()
+    shared_texts = few_tasks(docs.join(banded, "doc_id", "left_semi"), texts["rows"], TASK_TEXTS)
     # Written one per id, so that joins with them can be split where a center is hot.
     sets = settled(
         spark,
         "near-sets",
-        lambda: materialize(
-            shingle_table(docs.join(banded, "doc_id", "left_semi"), config), "near-all-sets"
-        )
+        lambda: materialize(shingle_table(shared_texts, config), "near-all-sets")
         .where("n > 0")
         .groupBy("doc_id")
         .agg(F.min_by("shingles", F.struct("n", "total", "mixed")).alias("shingles"))
         .withColumnRenamed("doc_id", "a"),
     )
-    links = materialize(_verify(close, sets, config), "near-links")
+    links = materialize(_verify(close, left["rows"], sets, config), "near-links")
     components = settled(spark, "near-components", lambda: duplicate_clusters(links))
     members = materialize(_blocks(pairs, components, config), "near-outside")
     more = settled(spark, "near-more-links", lambda: _across(members, firsts, sets, config))

@@ -13,7 +13,11 @@ from casemesh.operators.text_join import (
     similar_texts,
     text_vectors,
 )
-from casemesh.session import materialize_counted
+from casemesh.session import few_tasks, materialize_counted
+
+# Up to so many edges, two numbers each, a few tasks are enough and the least neighbours go to
+# every executor.
+SMALL_EDGES = 1 << 17
 
 
 def word_key(text):
@@ -99,7 +103,7 @@ def duplicate_clusters(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     )
     for _ in range(max_rounds):
         starred = _small_star(_large_star(edges, state["rows"]), state["rows"])
-        edges, after = _settle_edges(starred)
+        edges, after = _settle_edges(starred, state["rows"])
         if after == state:
             break
         state = after
@@ -110,17 +114,29 @@ def duplicate_clusters(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     return members.unionByName(roots)
 
 
-def _settle_edges(edges: DataFrame) -> tuple[DataFrame, dict]:
+def _settle_edges(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, dict]:
     """The distinct edges as a table, with marks that for all practical purposes are equal
     only for equal sets of edges."""
     return materialize_counted(
-        edges.select("v", "u").distinct(),
+        _gathered(edges.select("v", "u").distinct(), rows),
         "cluster-edges",
         mixed=F.bit_xor(F.xxhash64("v", "u")),
         total=F.sum(F.hash("v", "u").cast("long")),
     )
 
 
+def _gathered(edges: DataFrame, rows: int | None) -> DataFrame:
+    """Few edges in few tasks."""
+    return edges if rows is None or rows > SMALL_EDGES else few_tasks(edges, rows, SMALL_EDGES)
+
+
+def _join_least(edges: DataFrame, least: DataFrame, key: str, rows: int) -> DataFrame:
+    """Few edges stay where they are, so no key is hot."""
+    if rows <= SMALL_EDGES:
+        return edges.join(F.broadcast(least), key)
+    return join_unique(edges, least, key, "inner", left_rows=rows)
+
+
 def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node next to it."""
     both = edges.select(F.col("v").alias("node"), F.col("u").alias("next")).unionByName(
@@ -130,17 +146,18 @@ def _large_star(edges: DataFrame, rows: int) -> DataFrame:
         "node", F.least("m", "node").alias("m")
     )
     larger = both.where(F.col("next") > F.col("node"))
-    return (
-        join_unique(larger, least, "node", "inner", left_rows=rows)
+    linked = (
+        _join_least(larger, _gathered(least, rows), "node", rows)
         .select(F.col("next").alias("v"), F.col("m").alias("u"))
         .distinct()
     )
+    return _gathered(linked, rows)
 
 
 def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = join_unique(edges, least, "v", "inner", left_rows=rows)
+    least = _gathered(edges.groupBy("v").agg(F.min("u").alias("m")), rows)
+    moved = _join_least(edges, least, "v", rows)
     return moved.where(F.col("u") > F.col("m")).select(
         F.col("u").alias("v"), F.col("m").alias("u")
     ).unionByName(least.select("v", F.col("m").alias("u")))
