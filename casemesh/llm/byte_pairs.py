@@ -20,10 +20,11 @@ CACHE_ENTRIES = 320_000
 LONGEST_UNIT = 48
 # Fixed value: the white space of the vocabulary's own pattern.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-# Letters whose run ends at ASCII punctuation or digits, where the pattern always cuts.
+# Letters whose run ends at ASCII punctuation or digits, where the pattern always cuts; so it
+# does between a single line end and a letter. A run of letters is looked at once.
 LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-WORD = rf"[{LETTER}]+(?=[!-@\[-`{{-~])"
-UNIT = re.compile(f"[{BLANK}]*(?:{WORD}|[^{BLANK}]+)|[{BLANK}]+")
+WORD = rf"[{LETTER}]++(?:(?=[!-@\[-`{{-~])|[^{BLANK}]*+)"
+UNIT = re.compile(rf"\n(?=[{LETTER}])|[{BLANK}]*+(?:{WORD}|[^{BLANK}]++)|[{BLANK}]++")
 USUAL = re.compile(f"[{LETTER}]+")
 
 
@@ -99,12 +100,11 @@ class Encoder:
             cuts = np.searchsorted(ends, sizes)
             if cuts[-1] != len(ends) - 1 or (ends[cuts] != sizes).any():
                 raise ValueError("the vocabulary is not byte-level")
-            packed, low = packed.tobytes(), 0
-            for unit, high in zip(whole, ((cuts + 1) * ID_BYTES).tolist()):
-                self.known[unit] = packed[low:high]
-                low = high
-        others = [unit for unit in units if unit not in self.known]
-        self.known.update(zip(others, self._ids(others)))
+            packed, highs = packed.tobytes(), ((cuts + 1) * ID_BYTES).tolist()
+            self.known.update(zip(whole, map(packed.__getitem__, map(slice, [0, *highs], highs))))
+        if len(whole) < len(units):
+            others = [unit for unit in units if unit not in self.known]
+            self.known.update(zip(others, self._ids(others)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -42,6 +42,7 @@ from pyspark.sql.window import Window
 from casemesh.llm.byte_pairs import ID_BYTES, Encoder
 from casemesh.llm.learning import worker_state
 from casemesh.llm.words import slices
+from casemesh.session import small_batches
 
 # Fixed values of the public seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -226,7 +227,8 @@ def write_token_files(docs: DataFrame, path: str, config: TokenFiles) -> DataFra
             out.close()
 
     index = ordered.select("doc_id", "text").mapInArrow(run, INDEX_SCHEMA)
-    index.write.parquet(f"{path.rstrip('/')}/index")
+    with small_batches(docs.sparkSession):
+        index.write.parquet(f"{path.rstrip('/')}/index")
     return open_index(docs.sparkSession, path)
 
 
