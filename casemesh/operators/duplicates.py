@@ -52,8 +52,8 @@ def split_copies(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 def _distinct_text_vectors(df, id_col, text_col, config: TextJoin):
     """Vectors of the first of every text, weighted by all texts, and the copy links."""
-    firsts, copies = split_copies(df, id_col, text_col)
-    return text_vectors(df, id_col, text_col, config.threshold, firsts), copies
+    _, copies = split_copies(df, id_col, text_col)
+    return text_vectors(df, id_col, text_col, config.threshold, copies.select("b")), copies
 
 
 def duplicate_pairs(
